@@ -1,5 +1,8 @@
 """All registered queries of the catalogue jobs."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import addresses, funnels, serving  # noqa: F401  they register their queries
+from .registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "f1_registry_funnel"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
