@@ -1,0 +1,101 @@
+"""Media containers, personal data and the pipeline."""
+
+import hashlib
+import re
+import zlib
+
+import pytest
+
+import corpus_pipeline
+from loomspark.llm import media, pii
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 64 * 256, 64 * 256 + 1, 64 * 700 + 5])
+def test_container_round_trip(size):
+    data = bytes(k * 7 % 256 for k in range(size))
+    file = media.store(media.padded(data))
+    found = media.sample_table(file)
+    back = media.payload_of(file, found)
+    assert back[:size] == data and not any(back[size:]) and len(back) % 64 == 0 and len(back) >= 64
+    assert found["codec"] == "raw " and found["duration"] == len(back) and len(found["keys"]) == -(-len(found["sizes"]) // media.KEY)
+    assert [p[-1] for p, *_ in media.walk(file)][:2] == [b"ftyp", b"moov"]
+
+
+def test_probe_says_what_is_wrong(spark):
+    good = media.store(media.padded(b"abc" * 900))
+    rows = [(1, good), (2, None), (3, b""), (4, good[:-5]), (5, b"\0\0\0\x08free"), (6, good.replace(b"stsc", b"stsx"))]
+    out = {r.doc_id: r for r in media.probe(spark.createDataFrame(rows, "doc_id long, media binary"), keep=("doc_id",)).collect()}
+    assert out[1].error is None and out[1].codec == "raw " and out[1].samples == 43 and out[1].key_frames[1].length == 64
+    assert good[out[1].key_frames[1].offset :][:64] == media.padded(b"abc" * 900)[1024:1088]
+    assert all(out[k].error and out[k].codec is None for k in range(2, 7))
+
+
+def test_round_trip_rows(spark):
+    rows = [(1, "é" * 50), (1, "é" * 50), (2, ""), (None, None), (3, "x" * 200_000)]
+    out = media.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    want = {}
+    for i, t in rows:
+        p = media.padded((t or "").encode())
+        want[i] = (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    assert len(out) == 5 and all((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == want[r.doc_id] for r in out)
+    assert len({r.media_sha256 for r in out if r.doc_id == 1}) == 1
+    kept = media.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), with_media=True).collect()
+    assert all(hashlib.sha256(r.media).hexdigest() == r.media_sha256 for r in kept)
+
+
+FORMS = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain_spans(text):
+    out = []
+    for k, (kind, form) in enumerate(FORMS.items()):
+        for m in form.finditer(text):
+            digits = [int(c) for c in m[0] if c.isdigit() and c.isascii()]
+            luhn = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+            fine = {"email": True, "ip": all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}
+            if fine[kind]:
+                out.append((m.start(), k, m.end()))
+    return ",".join(f"{[*FORMS][k]}:{a}:{b}" for a, k, b in sorted(out))
+
+
+ODD = ["a@b.c%x@d.e", "@@a@b.c", "x@y..z", "1.2.3.4.5.6.7.8", "300.1.1.1 1.1.1.300", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (499) 555-6503", "+12", "é a@b.co 10.0.0.1", "", "9" * 5000, "a" * 50_000 + "@", "1.1.1." + "9" * 5000, "1.1.1." + "0" * 5000 + "7"]
+
+
+def test_base_spans_are_the_forms(spark):
+    texts = ODD + [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").collect()]
+    for t in texts:
+        assert pii.joined(pii.base_spans(t)) == plain_spans(t)
+
+
+def test_contexts_find_unseen_identifiers(spark):
+    rows = [(k, f"Hello user{k}. contact: name{k}@mail.com and that is all that there is to say here about it") for k in range(30)]
+    rows += [(100 + k, f"Some other words. contact: ZX-99{k}8817 is written here") for k in range(5)] + [(200, "The the serial ZX-7788990 of a thing"), (201, None), (202, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in pii.find(df, ["doc_id"]).collect()}
+    assert len(out) == len(rows) and all(out[100 + k].spans.startswith("id:27:") and out[100 + k].base == "" for k in range(5))
+    assert out[200].spans == "" and out[201].spans == "" and out[0].n_base[0] == 1
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[1] == rows[1][1].replace("name1@mail.com", "[EMAIL]") and "[ID] is written" in clean[101] and clean[201] is None
+    assert pii.find(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR)
+        if name != "mixing":
+            assert docs.columns == columns
+            now = docs.count()
+            assert 0 < now <= before and (name != "personal_data" or now == before)
+            before = now
+            docs = docs.cache()
+    assert set(columns) <= set(docs.columns) and docs.count() > 0
+    assert corpus_pipeline.run(spark, DIR).count() == docs.count()
