@@ -21,6 +21,10 @@ from pyspark.sql import types as T
 from .common import grouped, shingle_hashes, stored, text_bytes, text_key, word_hashes, word_weights
 
 
+#: Sets are also kept as the parity of their shingles in 2**BITS cells.
+BITS = 9
+
+
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct shingles of a text's word hashes."""
     return np.unique(shingle_hashes(hashes, n))
@@ -32,14 +36,14 @@ def _sets(rows: DataFrame, n: int, num: int, den: int, weights: np.ndarray, keep
     shared = spark.sparkContext.broadcast(weights)
     bits = int(np.log2(len(weights)))
     source = rows.select(*keep, text_bytes().alias("text_utf8"))
-    schema = source.drop("text_utf8").schema.add("n_shingles", "long").add("set_key", "binary").add("prefix", T.ArrayType(T.LongType()))
+    schema = source.drop("text_utf8").schema.add("n_shingles", "long").add("set_key", "binary").add("bits", T.ArrayType(T.LongType())).add("prefix", T.ArrayType(T.LongType()))
 
     def work(batches):
         import pyarrow as pa
 
         weights = shared.value
         for batch in batches:
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, bits_of, prefixes = [], [], [], []
             for _, texts in grouped(batch.column(batch.num_columns - 1)):
                 hashes, first = word_hashes([t.lower() for t in texts])
                 common = weights[(hashes >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64)
@@ -47,6 +51,7 @@ def _sets(rows: DataFrame, n: int, num: int, den: int, weights: np.ndarray, keep
                     shingles = shingle_hashes(hashes[a:b], n)
                     distinct, where = np.unique(shingles, return_index=True)
                     sizes.append(len(distinct))
+                    bits_of.append(np.packbits(np.bincount((distinct >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS) & 1).view(np.int64))
                     keys.append(hashlib.blake2b(distinct.tobytes(), digest_size=16).digest())
                     if not len(distinct):
                         prefixes.append(np.zeros(0, np.int64))
@@ -62,7 +67,10 @@ def _sets(rows: DataFrame, n: int, num: int, den: int, weights: np.ndarray, keep
             lengths = np.cumsum([0] + [len(p) for p in prefixes])
             flat = np.concatenate([np.zeros(0, np.int64), *prefixes])
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))]
+            flat_bits = pa.array(np.concatenate([np.zeros(0, np.int64), *bits_of]), pa.int64())
+            words = (1 << BITS) // 64
+            bits_column = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * words, pa.int32()), flat_bits)
+            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), bits_column, pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
 
     return source.mapInArrow(work, schema)
@@ -78,6 +86,17 @@ def _close(n1: Column, i1: Column, n2: Column, i2: Column, num: int, den: int) -
     return (den * least >= num * F.greatest(n1, n2)) & ((num + den) * F.least(n1 - i1, n2 - i2) >= num * (n1 + n2))
 
 
+def _maybe(n1: Column, bits1: Column, n2: Column, bits2: Column, num: int, den: int) -> Column:
+    """Whether sets of these sizes and parity bits can be similar enough.
+
+    A shingle in one set only flips at most one bit, so as many shingles differ
+    as bits do, at least; num / den allows (den - num) / (den + num) of n1 + n2.
+    Unknown bits (null) say nothing.
+    """
+    unlike = sum((F.bit_count(bits1[k].bitwiseXOR(bits2[k])) for k in range((1 << BITS) // 64)), F.lit(0))
+    return F.coalesce((num + den) * unlike <= (den - num) * (n1 + n2), F.lit(True))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of classes whose whole texts have the similarity.
 
@@ -166,7 +185,7 @@ def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     some = sets.filter("n_shingles > 0")
     keys = some.groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id"))
     one = W.partitionBy("set_key").orderBy(F.lit(1))
-    classes = some.select("set_key", "text_key", "n_shingles", "prefix").join(keys, ["set_key", "text_key"]).withColumn("_i", F.row_number().over(one)).filter("_i = 1").drop("_i")
+    classes = some.select("set_key", "text_key", "n_shingles", "bits", "prefix").join(keys, ["set_key", "text_key"]).withColumn("_i", F.row_number().over(one)).filter("_i = 1").drop("_i")
     # a group: same size and same prefix; it is named by its least class
     group = F.min("set_key").over(W.partitionBy("n_shingles", F.md5(F.array_join("prefix", ",").cast("binary"))))
     classes = stored(classes.withColumn("group", group), "classes")
@@ -178,6 +197,14 @@ def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     spots = spots.withColumn("hub", F.first(F.struct("i", "n_shingles", "group")).over(by_token.orderBy("i", "group"))).withColumn("size", F.count("*").over(by_token))
     spots = stored(spots.filter("size > 1"), "spots")
 
+    def filtered(pairs: DataFrame) -> DataFrame:
+        """Pairs of classes that their sizes and parity bits allow."""
+        own = classes.select("set_key", "n_shingles", "bits")
+        for side in "ab":
+            pairs = pairs.join(own.select(F.col("set_key").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+        least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+        return pairs.filter((den * least >= num * most) & _maybe(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), num, den)).drop("n_a", "n_b", "bits_a", "bits_b")
+
     def expanded(pairs: DataFrame) -> DataFrame:
         """Pairs of classes of pairs of groups."""
         p = pairs.select("g", "h").distinct()
@@ -187,24 +214,25 @@ def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     first = spots.filter((F.col("group") != F.col("hub.group")) & _close(F.col("n_shingles"), F.col("i"), F.col("hub.n_shingles"), F.col("hub.i"), num, den))
     first = expanded(first.select(F.col("hub.group").alias("g"), F.col("group").alias("h")))
     inside = classes.filter("group <> set_key").select(F.col("group").alias("a"), F.col("set_key").alias("b"))
-    links = stored(_verified(stored(first.union(inside).distinct(), "pairs"), classes, docs, n, num, den), "links")
+    links = stored(_verified(stored(filtered(first.union(inside).distinct()), "pairs"), classes, docs, n, num, den), "links")
     # second round: pairs of groups of a shingle, its hub apart, that are not yet wholly in one component
     root = connected(links)
-    of = classes.join(root.withColumnRenamed("node", "set_key"), "set_key", "left").select("group", "set_key", F.coalesce("root", "set_key").alias("root"))
-    whole = of.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    of = stored(of, "roots")
+    of = stored(classes.join(root.withColumnRenamed("node", "set_key"), "set_key", "left").select("group", "set_key", "n_shingles", "bits", F.coalesce("root", "set_key").alias("root")), "roots")
+    # the parity bits of a group are known if it is a single class
+    whole = of.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
     left = stored(spots.filter("size > 2").filter(F.col("group") != F.col("hub.group")).select("token", "group", "n_shingles", "i").join(whole, "group"), "left")
     open_ = left.groupBy("token").agg(F.min("r0").alias("t0"), F.max("r1").alias("t1")).filter("t0 <> t1").select("token")
     left = left.join(open_, "token", "left_semi")
     x, y = left.alias("x"), left.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group"))
     apart = (F.col("x.r0") != F.col("y.r1")) | (F.col("x.r1") != F.col("y.r0"))
-    second = x.join(y, on & apart & _close(F.col("x.n_shingles"), F.col("x.i"), F.col("y.n_shingles"), F.col("y.i"), num, den))
-    second = expanded(second.select(F.col("x.group").alias("g"), F.col("y.group").alias("h")))
+    near = _close(F.col("x.n_shingles"), F.col("x.i"), F.col("y.n_shingles"), F.col("y.i"), num, den) & _maybe(F.col("x.n_shingles"), F.col("x.bits"), F.col("y.n_shingles"), F.col("y.bits"), num, den)
+    second = expanded(x.join(y, on & apart & near).select(F.col("x.group").alias("g"), F.col("y.group").alias("h")))
     # and pairs within a group, its first class apart
     p, q = of.filter("group <> set_key").alias("p"), of.filter("group <> set_key").alias("q")
-    mates = p.join(q, (F.col("p.group") == F.col("q.group")) & (F.col("p.set_key") < F.col("q.set_key")) & (F.col("p.root") != F.col("q.root"))).select(F.col("p.set_key").alias("a"), F.col("q.set_key").alias("b"))
-    more = second.union(mates).distinct()
+    alike = _maybe(F.col("p.n_shingles"), F.col("p.bits"), F.col("q.n_shingles"), F.col("q.bits"), num, den)
+    mates = p.join(q, (F.col("p.group") == F.col("q.group")) & (F.col("p.set_key") < F.col("q.set_key")) & (F.col("p.root") != F.col("q.root")) & alike).select(F.col("p.set_key").alias("a"), F.col("q.set_key").alias("b"))
+    more = filtered(second.union(mates).distinct())
     ra, rb = of.select(F.col("set_key").alias("a"), F.col("root").alias("ra")), of.select(F.col("set_key").alias("b"), F.col("root").alias("rb"))
     more = stored(more.join(ra, "a").join(rb, "b").filter("ra <> rb").select("a", "b", "ra", "rb"), "pairs")
     found = _verified(more.select("a", "b"), classes, docs, n, num, den)
