@@ -22,7 +22,7 @@ from .common import grouped, shingle_hashes, stored, text_bytes, text_key, word_
 
 
 #: Sets are also kept as the parity of their shingles in 2**BITS cells.
-BITS = 9
+BITS = 11
 
 
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -220,9 +220,10 @@ def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     of = stored(classes.join(root.withColumnRenamed("node", "set_key"), "set_key", "left").select("group", "set_key", "n_shingles", "bits", F.coalesce("root", "set_key").alias("root")), "roots")
     # the parity bits of a group are known if it is a single class
     whole = of.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
-    left = stored(spots.filter("size > 2").filter(F.col("group") != F.col("hub.group")).select("token", "group", "n_shingles", "i").join(whole, "group"), "left")
+    left = spots.filter("size > 2").filter(F.col("group") != F.col("hub.group")).select("token", "group", "n_shingles", "i")
+    left = stored(left.join(whole.drop("bits"), "group"), "left")
     open_ = left.groupBy("token").agg(F.min("r0").alias("t0"), F.max("r1").alias("t1")).filter("t0 <> t1").select("token")
-    left = left.join(open_, "token", "left_semi")
+    left = left.join(open_, "token", "left_semi").join(whole.select("group", "bits"), "group")
     x, y = left.alias("x"), left.alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group"))
     apart = (F.col("x.r0") != F.col("y.r1")) | (F.col("x.r1") != F.col("y.r0"))
