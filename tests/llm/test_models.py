@@ -38,7 +38,7 @@ def test_quality_is_learnt(spark):
     assert min(r.score for r in quality.score(docs.limit(3), sure, ["doc_id"]).collect()) > 0.9
 
 
-def test_attention_gradient_is_the_numeric_one():
+def test_attention_learns_and_scores_alike_in_batches():
     rng = np.random.default_rng(1)
     bags = [rng.normal(size=(k, quality.WIDTH)).astype(np.float32) for k in (1, 3, 5, 2) for _ in range(30)]
     y = np.array([float(b[:, 0].max() > 0.5) for b in bags])
