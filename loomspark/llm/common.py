@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR.
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 _fallback: dict[str, str] = {}
+_on_the_way: ContextVar[list[str] | None] = ContextVar("on_the_way", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +41,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _on_the_way.get() is not None:
+        _on_the_way.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stores what make() returns, then removes the tables that were stored inside make().
+
+    The result is a table of its own, so nothing reads those any more; only
+    make() may use them.
+    """
+    inside: list[str] = []
+    token = _on_the_way.set(inside)
+    try:
+        df = make()
+    finally:
+        _on_the_way.reset(token)
+    out = stored(df, name)
+    for at in inside:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def fold(col: str = "doc_id", by: int = 5) -> Column:
     """crc32 of the id's text modulo `by`; null ids give null."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % by

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grouped, shingle_hashes, stored, text_bytes, text_key, word_hashes, word_weights
+from .common import grouped, settled, shingle_hashes, stored, text_bytes, text_key, word_hashes, word_weights
 
 
 #: Sets are also kept as the parity of their shingles in 2**BITS cells.
@@ -157,7 +157,7 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
     Texts without words stay, each.
     """
-    placed = stored(_placed(docs, n, num, den), "placed")
+    placed = settled(docs.sparkSession, lambda: _placed(docs, n, num, den), "placed")
     some = placed.filter("home is not null")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     best = some.groupBy("home").agg(F.min(own).alias("best"))
@@ -214,10 +214,15 @@ def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     first = spots.filter((F.col("group") != F.col("hub.group")) & _close(F.col("n_shingles"), F.col("i"), F.col("hub.n_shingles"), F.col("hub.i"), num, den))
     first = expanded(first.select(F.col("hub.group").alias("g"), F.col("group").alias("h")))
     inside = classes.filter("group <> set_key").select(F.col("group").alias("a"), F.col("set_key").alias("b"))
-    links = stored(_verified(stored(filtered(first.union(inside).distinct()), "pairs"), classes, docs, n, num, den), "links")
+    spark = docs.sparkSession
+    links = settled(spark, lambda: _verified(stored(filtered(first.union(inside).distinct()), "pairs"), classes, docs, n, num, den), "links")
     # second round: pairs of groups of a shingle, its hub apart, that are not yet wholly in one component
-    root = connected(links)
-    of = stored(classes.join(root.withColumnRenamed("node", "set_key"), "set_key", "left").select("group", "set_key", "n_shingles", "bits", F.coalesce("root", "set_key").alias("root")), "roots")
+
+    def rooted() -> DataFrame:
+        root = connected(links).withColumnRenamed("node", "set_key")
+        return classes.join(root, "set_key", "left").select("group", "set_key", "n_shingles", "bits", F.coalesce("root", "set_key").alias("root"))
+
+    of = settled(spark, rooted, "roots")
     # the parity bits of a group are known if it is a single class
     whole = of.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
     left = spots.filter("size > 2").filter(F.col("group") != F.col("hub.group")).select("token", "group", "n_shingles", "i")
@@ -236,8 +241,12 @@ def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     more = filtered(second.union(mates).distinct())
     ra, rb = of.select(F.col("set_key").alias("a"), F.col("root").alias("ra")), of.select(F.col("set_key").alias("b"), F.col("root").alias("rb"))
     more = stored(more.join(ra, "a").join(rb, "b").filter("ra <> rb").select("a", "b", "ra", "rb"), "pairs")
-    found = _verified(more.select("a", "b"), classes, docs, n, num, den)
-    late = stored(found.join(more, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")), "links")
+
+    def confirmed() -> DataFrame:
+        found = _verified(more.select("a", "b"), classes, docs, n, num, den)
+        return found.join(more, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+    late = settled(spark, confirmed, "links")
     root_2 = connected(late).withColumnRenamed("root", "top").withColumnRenamed("node", "root")
     home = of.join(root_2, "root", "left").select("set_key", F.coalesce("top", "root").alias("home"))
     return sets.select("doc_id", "text_key", "n_shingles", "set_key").join(home, "set_key", "left").drop("set_key")
