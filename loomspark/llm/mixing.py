@@ -56,16 +56,18 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size"), text_key().alias("key"), *row)
     place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lower(F.hex("key"))).cast("binary"))
     place = F.conv(F.substring(place, 1, 15), 16, 10).cast("long")
-    sized = stored(sized.withColumn("place", place).withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int")), "sizes")
-    parts = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "parts")
+    # a key of the source that is never null, so that the window and the join below share one shuffle
+    lane = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("lane")
+    sized = sized.withColumn("place", place).withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int")).withColumn("lane", lane)
+    sized = sized if keep_rows else stored(sized, "sizes")  # whole rows are read from docs again instead of being written
+    parts = stored(sized.groupBy("lane", "source", "bucket").agg(F.sum("size").alias("bucket_size")), "parts")
     goal = targets(parts.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, most)
     order = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(order), F.lit(0))).drop("bucket_size")
-    starts = starts.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    starts = starts.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
-    inside = W.partitionBy("source", "bucket").orderBy("place", "doc_id", "size", "key").rowsBetween(W.unboundedPreceding, -1)
+    starts = starts.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
+    inside = W.partitionBy("lane", "bucket").orderBy("place", "doc_id", "size", "key").rowsBetween(W.unboundedPreceding, -1)
     rows = sized.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("at", F.col("bucket_start") + F.col("before"))
+    rows = rows.join(starts, ["lane", "bucket"]).withColumn("at", F.col("bucket_start") + F.col("before"))
     whole = F.floor(F.col("target") + 1e-6)
 
     def served(k):
