@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -32,18 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As stored(), with the table's path: for one that is removed (discard) before the job ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs only the tasks that were
     running on it, never the steps before the table.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out, path = written(df, name)
     if _on_the_way.get() is not None:
         _on_the_way.get().append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
@@ -59,10 +66,23 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     finally:
         _on_the_way.reset(token)
     out = stored(df, name)
-    for at in inside:
+    del df
+    discard(spark, *inside)
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes tables that nothing reads any more, and shuffle files of finished steps.
+
+    Spark lets go of the latter when the driver collects its garbage, by itself
+    every half hour (spark.cleaner.periodicGC.interval), which is long for a
+    job of many steps whose results are stored.
+    """
+    for at in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return out
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def fold(col: str = "doc_id", by: int = 5) -> Column:

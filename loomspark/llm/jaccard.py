@@ -18,11 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grouped, settled, shingle_hashes, stored, text_bytes, text_key, word_hashes, word_weights
+from .common import discard, grouped, settled, shingle_hashes, stored, text_bytes, text_key, word_hashes, word_weights, written
 
 
 #: Sets are also kept as the parity of their shingles in 2**BITS cells.
 BITS = 11
+#: So many text keys of 16 bytes are broadcast at most, to move only their texts; more are joined by a shuffle.
+FEW = 50_000
 
 
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -100,12 +102,16 @@ def _maybe(n1: Column, bits1: Column, n2: Column, bits2: Column, num: int, den:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of classes whose whole texts have the similarity.
 
-    Texts are fetched once per class, and only for classes in a pair.
+    Texts are fetched and stored once per class, and only for classes in a pair.
     """
     needed = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(classes.select("set_key", "text_key"), "set_key")
-    texts = docs.select(text_key().alias("text_key"), text_bytes().alias("text")).join(needed, "text_key")
-    one = W.partitionBy("set_key").orderBy(F.lit(1))
-    texts = stored(texts.withColumn("_i", F.row_number().over(one)).filter("_i = 1").select("set_key", "text"), "texts")
+    needed = stored(needed, "needed")
+    source = docs.select(text_key().alias("text_key"), text_bytes().alias("text"))
+    if needed.count() <= FEW:
+        source = source.join(F.broadcast(needed.select("text_key")), "text_key", "left_semi")
+    # copies of a text fall together in the tasks that read them, before the shuffle
+    texts = source.groupBy("text_key").agg(F.first("text").alias("text"))
+    texts = stored(texts.join(needed, "text_key").select("set_key", "text"), "texts")
     left = texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(right, "b").join(left, "a")
@@ -181,21 +187,26 @@ def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     from .components import connected
 
     weights = word_weights(docs)
-    sets = stored(_sets(docs.select("doc_id", "text", text_key().alias("text_key")), n, num, den, weights, ["doc_id", "text_key"]), "sets")
-    some = sets.filter("n_shingles > 0")
-    keys = some.groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id"))
-    one = W.partitionBy("set_key").orderBy(F.lit(1))
-    classes = some.select("set_key", "text_key", "n_shingles", "bits", "prefix").join(keys, ["set_key", "text_key"]).withColumn("_i", F.row_number().over(one)).filter("_i = 1").drop("_i")
+    spark = docs.sparkSession
+    # tables with prefixes are large, so that they go as soon as what they lead to is stored
+    sets, sets_at = written(_sets(docs.select("doc_id", "text", text_key().alias("text_key")), n, num, den, weights, ["doc_id", "text_key"]), "sets")
+    owners = stored(sets.select("doc_id", "text_key", "n_shingles", "set_key"), "owners")
+    one = F.min_by(F.struct("text_key", "n_shingles", "bits", "prefix"), "text_key").alias("_c")
     # a group: same size and same prefix; it is named by its least class
     group = F.min("set_key").over(W.partitionBy("n_shingles", F.md5(F.array_join("prefix", ",").cast("binary"))))
-    classes = stored(classes.withColumn("group", group), "classes")
-    members = classes.select("group", "set_key")
-    spots = classes.filter("group = set_key").select("group", "n_shingles", F.posexplode("prefix").alias("i", "token"))
+    whole, whole_at = written(sets.filter("n_shingles > 0").groupBy("set_key").agg(one).select("set_key", "_c.*").withColumn("group", group), "classes")
+    del sets
+    discard(spark, sets_at)
+    spots = whole.filter("group = set_key").select("group", "n_shingles", F.posexplode("prefix").alias("i", "token"))
     # places beyond this can't be where two sets of any allowed sizes first meet
     spots = spots.filter((num + den) * (F.col("n_shingles") - F.col("i")) >= num * (F.col("n_shingles") + F.ceil(num * F.col("n_shingles") / den)))
     by_token = W.partitionBy("token")
     spots = spots.withColumn("hub", F.first(F.struct("i", "n_shingles", "group")).over(by_token.orderBy("i", "group"))).withColumn("size", F.count("*").over(by_token))
     spots = stored(spots.filter("size > 1"), "spots")
+    classes = stored(whole.drop("prefix"), "classes")
+    del whole
+    discard(spark, whole_at)
+    members = classes.select("group", "set_key")
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """Pairs of classes that their sizes and parity bits allow."""
@@ -214,7 +225,6 @@ def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     first = spots.filter((F.col("group") != F.col("hub.group")) & _close(F.col("n_shingles"), F.col("i"), F.col("hub.n_shingles"), F.col("hub.i"), num, den))
     first = expanded(first.select(F.col("hub.group").alias("g"), F.col("group").alias("h")))
     inside = classes.filter("group <> set_key").select(F.col("group").alias("a"), F.col("set_key").alias("b"))
-    spark = docs.sparkSession
     links = settled(spark, lambda: _verified(stored(filtered(first.union(inside).distinct()), "pairs"), classes, docs, n, num, den), "links")
     # second round: pairs of groups of a shingle, its hub apart, that are not yet wholly in one component
 
@@ -249,4 +259,4 @@ def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     late = settled(spark, confirmed, "links")
     root_2 = connected(late).withColumnRenamed("root", "top").withColumnRenamed("node", "root")
     home = of.join(root_2, "root", "left").select("set_key", F.coalesce("top", "root").alias("home"))
-    return sets.select("doc_id", "text_key", "n_shingles", "set_key").join(home, "set_key", "left").drop("set_key")
+    return owners.join(home, "set_key", "left").drop("set_key")
