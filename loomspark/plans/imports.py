@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspark.functions import cards as cd
+from loomspark.functions import urls
 from loomspark.functions.texts import stable_reference
 from loomspark.operators import records, reviews
 from loomspark.sources import pages as pg
@@ -234,3 +235,14 @@ def card_sections(t: Tables):
     place = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("\n## География проекта:\n"), "c_mktsegment")).otherwise("")
     text = F.concat(F.lit("# Проект\n## Цели проекта\n"), "c_name", F.lit("\nx"), place, F.lit("\n**Контакты**\nСайт: https://s"), s(F.col("c_custkey")), F.lit(".ru/)\nИНН: "), s(F.col("c_custkey") + 1000000000))
     return t.customer.select("c_custkey", cd.card(text).alias("c")).select("c_custkey", "c.goals", "c.geography", "c.tax_id", "c.site")
+
+
+@query("p18_platform_pages", f"SELECT page_id, 'Центр ' || page_id || ' второй' AS title, 'Центр' AS short_title, '644000, г. Омск, ул. Мира, ' || page_id AS address_raw, 'Имя ' || page_id AS director, 'a' || page_id || '@b.ru' AS emails, 'https://vk.com/c' || page_id AS vk_url FROM (SELECT page_id, {HOST.replace('u,', 'url,')} AS h FROM pages) WHERE h LIKE '%.example.org'")
+def platform_pages(t: Tables):
+    k = s(F.col("page_id"))
+    text = F.concat(
+        F.lit("[![logo](x)](y)\n\n[меню](z)\nЦентр "), k, F.lit("\nвторой\n[версия](v)\n**Директор:** Имя "), k, F.lit("\n## Контакты\n\n**Адрес:** 644000, г. Омск\nул. Мира, "), k,
+        F.lit("\n\nПочта a"), k, F.lit("@b.ru, x@example.org https://vk.com/c"), k, F.lit("\n© «Центр» . 2024"),
+    )
+    rows = t.pages.filter(urls.url_host(F.col("url")).endswith(".example.org")).select("page_id", cd.platform_page(text, "example.org").alias("p"))
+    return rows.select("page_id", "p.title", "p.short_title", "p.address_raw", "p.director", F.array_join("p.emails", ",").alias("emails"), "p.vk_url")

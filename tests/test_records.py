@@ -106,3 +106,11 @@ def test_cards(spark):
     got = one(spark, cards.card(F.col("t")), t=text)
     assert (got.goals, got.geography, got.site, got.tax_id, got.registration_id, got.description) == ("Помочь\nвсем", "Омск", "https://a.ru/", "5501234567", "1025500000000", None)
     assert set(one(spark, cards.card(F.col("t")), t=None).asDict().values()) == {None}
+
+
+def test_platform_pages(spark):
+    text = "[![l](a)](b)\n[menu](c)\nДом ухода\nг. Омска\n\nПозже\n#### Адрес\n\nОфис\n644000, Омск\\\nул. Мира\n\n**Директор:**\nИванова\n8 (3812) 11-22-33, 8 381 211 22 33 8 999 111-22-33\nA@b.ru a@b.ru x@plat.ru\n[ok](https://ok.ru/group/5)"
+    got = one(spark, cards.platform_page(F.col("t"), "plat.ru"), t=text)
+    assert (got.title, got.address_raw, got.director, got.emails, got.ok_url, got.vk_url, got.short_title) == ("Дом ухода г. Омска", "644000, Омск, ул. Мира", "Иванова", ["a@b.ru"], "https://ok.ru/group/5", None, None)
+    empty = one(spark, cards.platform_page(F.col("t"), "plat.ru"), t=None)
+    assert (empty.title, empty.address_raw, empty.phones, empty.emails) == (None, None, [], [])
