@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare words as seeds, none of which a copy can all lack, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .common import MARKS, grouped, word_hashes
 
 HITS = "array<struct<item_id:{id},score:double,word:long>>"
-N, WINDOW, SEGMENT, MIN_WORDS = 3, 3, 64, 5
+ASK, SEGMENT, MIN_WORDS, PIECE = 6, 64, 5, 1 << 16
 MATCH, MISS, GAP = 2, -1, -1
 
 
@@ -47,7 +47,7 @@ def align(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Segments of a block of test items, and the n-grams in them."""
+    """Segments of a block of test items, and the words in them."""
 
     def __init__(self, items: list[tuple], segment: int = SEGMENT):
         hashes, first = word_numbers([text or "" for _, text in items])
@@ -62,14 +62,9 @@ class Index:
                 parts = np.array_split(ids, -(-len(ids) // segment))
                 self.segments += parts
                 self.of += [item] * len(parts)
-        self.grams = np.unique(np.concatenate([self.keys(s) for s in self.segments])) if self.segments else np.zeros(0, np.int64)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.vocab >> np.uint64(44)).astype(np.int64)] = True
 
-    @staticmethod
-    def keys(ids: np.ndarray) -> np.ndarray:
-        return ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
-
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Numbers of the texts' words; words of no item are 0."""
         hashes, first = word_numbers(texts)
@@ -79,61 +74,103 @@ class Index:
         out[at] = np.where(self.vocab[place] == hashes[at], place + 1, 0)
         return [out[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
-    def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a text where a known n-gram begins, and which it is."""
-        known = ids > 0
-        at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:]) if len(ids) >= N else np.zeros(0, np.int64)
-        keys = ids[at] << 42 | ids[at + 1] << 21 | ids[at + 2]
-        gram = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
-        hit = self.grams[gram] == keys
-        return at[hit], gram[hit]
-
-    def seed(self, counts: np.ndarray) -> None:
-        """Keeps, of every WINDOW consecutive n-grams of a segment, the rarest in the corpus.
+    def seed(self, counts: np.ndarray, threshold: float) -> None:
+        """Takes the rarest words of each segment, so many that every copy holds ASK of them.
 
-        Any N + WINDOW - 1 words that a text shares with a segment in a row then hold a seed.
+        An alignment of M matches and E misses and gaps reaches the threshold only if
+        2 * M - E >= 2 * threshold * length. So at least need = threshold * length places match,
+        within 3 * length - 2 * threshold * length words of a text; of any length - need + ASK
+        places of the segment at least ASK match. counts: how often each word of
+        vocab occurs in the corpus, which says only which places are cheapest.
         """
-        self.posts: dict[int, list[tuple[int, int]]] = {}
-        for k, s in enumerate(self.segments):
-            gram = np.searchsorted(self.grams, self.keys(s))
-            rare = counts[gram]
-            picked = {int(a + np.argmin(rare[a : a + WINDOW])) for a in range(max(1, len(gram) - WINDOW + 1))}
-            for at in picked:
-                self.posts.setdefault(int(gram[at]), []).append((k, at))
-        self.is_seed = np.zeros(len(self.grams), bool)
-        self.is_seed[list(self.posts)] = True
-
-
-def windows_of(index: Index, ids: np.ndarray, threshold: float):
-    """(segment, start, end) of every stretch of a text to align with a segment.
-
-    Seeds on nearby diagonals share a stretch. One in which too few of the
-    segment's words occur can't reach the threshold and is left out.
+        sizes = np.array([len(s) for s in self.segments], np.int64)
+        self.need = np.maximum(1, np.ceil(threshold * sizes - 1e-6).astype(np.int64))
+        self.ask = np.minimum(ASK, self.need)
+        self.span = np.maximum(1, np.floor((3 - 2 * threshold) * sizes + 1e-6).astype(np.int64))
+        words = [np.unique(s[np.argsort(counts[s - 1], kind="stable")[: max(0, n)]]) for s, n in zip(self.segments, sizes - self.need + self.ask, strict=True)]
+        word = np.concatenate(words)
+        order = np.argsort(word, kind="stable")
+        #: The segments of word w's postings are posts[first[w] : first[w] + held[w]].
+        self.posts = np.repeat(np.arange(len(words)), [len(w) for w in words])[order]
+        self.held = np.bincount(word, minlength=len(self.vocab) + 1)
+        self.first = np.cumsum(self.held) - self.held
+        self.words = [np.unique(s, return_counts=True) for s in self.segments]
+
+
+def places(index: Index, texts: list[np.ndarray]):
+    """(text, segment, start, end) of every stretch in which ASK seeds of a segment are close enough for an alignment."""
+    ids = np.concatenate([*texts, np.zeros(0, np.int64)])
+    begin = np.cumsum([0, *map(len, texts)])
+    at = np.flatnonzero(index.held[ids])
+    if not len(at):
+        return
+    text = np.searchsorted(begin, at, "right") - 1
+    apart = 2 * int(index.span.max())  # so far apart that no stretch reaches into the next text
+    n = index.held[ids[at]]
+    segment = index.posts[np.repeat(index.first[ids[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    order = np.argsort(segment, kind="stable")
+    segment, place, text = segment[order], np.repeat(at + text * apart, n)[order], np.repeat(text, n)[order]
+    last = np.arange(len(place)) + index.ask[segment] - 1
+    end = np.minimum(last, len(place) - 1)
+    span = index.span[segment]
+    some = np.flatnonzero((last == end) & (segment[end] == segment) & (place[end] - place < span))
+    if not len(some):
+        return
+    segment, text, a, b = segment[some], text[some], (place[end] - span + 1)[some], (place + span)[some]
+    new = np.concatenate([[True], (segment[1:] != segment[:-1]) | (text[1:] != text[:-1]) | (a[1:] > b[:-1])])
+    head, tail = np.flatnonzero(new), np.flatnonzero(np.concatenate([new[1:], [True]]))
+    shift = begin[text[head]] + text[head] * apart
+    size = np.diff(begin)[text[head]]
+    yield from zip(text[head].tolist(), segment[head].tolist(), np.maximum(0, a[head] - shift).tolist(), np.minimum(size, b[tail] - shift).tolist(), strict=True)
+
+
+def stretches(index: Index, segment: int, ids: np.ndarray):
+    """(start, end) of the parts of ids to align with a segment, none over four spans.
+
+    A window of `span` words needs `need` words of the segment, each counted at
+    most as often as the segment holds it. The alignments lie in such windows, from a shared word to a shared word.
     """
-    at, gram = index.found(ids)
-    keep = index.is_seed[gram] if len(gram) else np.zeros(0, bool)
-    by: dict[int, list[int]] = {}
-    for a, g in zip(at[keep].tolist(), gram[keep].tolist(), strict=True):
-        for segment, place in index.posts[g]:
-            by.setdefault(segment, []).append(a - place)
-    for segment, diagonals in by.items():
-        words = index.segments[segment]
-        slack = len(words) // 3 + 3
-        diagonals.sort()
-        first = last = diagonals[0]
-        for d in [*diagonals[1:], None]:
-            if d is not None and d - first <= slack:
-                last = d
-                continue
-            a, b = max(0, first - slack), min(len(ids), last + len(words) + slack)
-            if np.isin(words, ids[a:b]).sum() >= threshold * len(words):
-                yield segment, a, b
-            first = last = d
+    words, times = index.words[segment]
+    need, span = int(index.need[segment]), int(index.span[segment])
+    number = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+    at = np.flatnonzero(words[number] == ids)
+    if len(at) < need:
+        return
+    word = number[at]
+    order = np.argsort(word, kind="stable")
+    back = np.arange(len(at)) - times[word[order]]
+    before = np.full(len(at), -1)
+    same = (back >= 0) & (word[order[np.maximum(back, 0)]] == word[order])
+    before[order[same]] = at[order[back[same]]]
+    # A word counts in the windows that begin after `before`, where it would be one too many.
+    steps = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(steps, np.maximum(np.maximum(before + 1, at - span + 1), 0), 1)
+    np.add.at(steps, at + 1, -1)
+    good = np.flatnonzero(np.cumsum(steps) >= need)
+    if not len(good):
+        return
+    for part in np.split(good, np.flatnonzero(np.diff(good) > span) + 1):
+        inside = at[np.searchsorted(at, part[0]) : np.searchsorted(at, part[-1] + span)]
+        a, b = int(inside[0]), int(inside[-1]) + 1
+        while True:
+            yield a, min(b, a + 4 * span)
+            if a + 4 * span >= b:
+                break
+            a += 3 * span
 
 
 def best_hits(index: Index, texts_ids: list[np.ndarray], threshold: float) -> list[list[dict]]:
     """For each text the items that it holds, each with its best score and where that stretch begins."""
-    jobs = [(t, s, a, b) for t, ids in enumerate(texts_ids) for s, a, b in windows_of(index, ids, threshold)]
+    jobs = []
+    step, over = PIECE, int(index.span.max())
+    pieces = [(t, a, ids[a : a + step + over]) for t, ids in enumerate(texts_ids) for a in range(0, max(1, len(ids)), step)]
+    block = np.cumsum([0, *(len(p[2]) for p in pieces)])[:-1] // (2 * step)
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(pieces)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        part = pieces[lo:hi]
+        for k, s, a, b in places(index, [p[2] for p in part]):
+            t, first, ids = part[k]
+            jobs += [(t, s, first + a + x, first + a + y) for x, y in stretches(index, s, ids[a:b])]
     jobs.sort(key=lambda j: (len(index.segments[j[1]]), j[3] - j[2]))
     best: list[dict] = [{} for _ in texts_ids]
     for k in range(0, len(jobs), 128):
@@ -156,8 +193,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block_
 
     An item is cut into equal segments of at most SEGMENT words. A text holds it
     if some segment's local alignment (match 2, miss and gap -1) reaches
-    `threshold` of a full match. Seeds are the rarest 3-grams, counted over all
-    documents; a shared run of N + WINDOW - 1 words always holds one.
+    `threshold` of a full match. Seeds are the segment's rarest words, counted over all
+    documents, and so many of them that no such alignment lacks them (see Index.seed).
 
     The items are taken in blocks of about block_words words, each of which is sent
     to the tasks and meets all documents: a larger benchmark means more blocks, not
@@ -176,29 +213,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block_
     for k in range(blocks):
         index = Index([(r.item_id, r.text) for r in items.filter(block == k).select("item_id", "text").collect()])
         if index.segments:
-            index.seed(_gram_counts(docs, index))
+            index.seed(_word_counts(docs, index), threshold)
             out = _with_hits(out, index, threshold, kind)
     return out
 
 
-def _gram_counts(docs: DataFrame, index: Index) -> np.ndarray:
-    """How often each of the block's n-grams occurs in all documents."""
+def _word_counts(docs: DataFrame, index: Index) -> np.ndarray:
+    """How often each of the block's words occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def count(batches):
         import pyarrow as pa
 
         index = shared.value
-        counts = np.zeros(len(index.grams), np.int64)
+        counts = np.zeros(len(index.vocab) + 1, np.int64)
         for batch in batches:
             for _, texts in grouped(batch.column(0)):
-                for ids in index.ids(texts):
-                    np.add.at(counts, index.found(ids)[1], 1)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(used, pa.int64()), "n": pa.array(counts[used], pa.int64())})
+                counts += np.bincount(np.concatenate(index.ids(texts)), minlength=len(counts))
+        used = np.flatnonzero(counts[1:])
+        yield pa.RecordBatch.from_pydict({"word": pa.array(used, pa.int64()), "n": pa.array(counts[1:][used], pa.int64())})
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(index.grams), np.int64)
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(index.vocab), np.int64)
     counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return counts
 

@@ -154,3 +154,27 @@ def test_leaks(spark, block_words):
     assert {(r.doc_id, h.item_id) for r in out for h in r.hits} == planted
     assert all(h.score >= 0.5 for r in out for h in r.hits)
     assert all(not r.hits for r in decontam.find_leaks(docs, bench.limit(0)).collect())
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_densely_edited_leaks_equal_smith_waterman(spark, threshold):
+    r = random.Random(3)
+    vocab = [f"v{k}" for k in range(60)] + ["the", "of"] * 10
+    items = {k: [r.choice(vocab) for _ in range(r.choice([5, 9, 30, 60]))] for k in range(10)}
+    docs = {}
+    for every in (2, 3, 4, 5):
+        for k, item in items.items():
+            replaced = [f"x{at}" if at % every == every - 1 else w for at, w in enumerate(item)]
+            added = [x for at, w in enumerate(item) for x in ([w, f"y{at}"] if at % every == every - 1 else [w])]
+            for edited in (replaced, added, [w for at, w in enumerate(item) if at % every != every - 1], [x for w in item for x in (w, "z")]):
+                docs[len(docs)] = [r.choice(vocab) for _ in range(r.randrange(30))] + edited + [r.choice(vocab) for _ in range(r.randrange(30))]
+    number = {w: n for n, w in enumerate(sorted({w for ws in [*docs.values(), *items.values()] for w in ws}), 1)}
+    pad = lambda rows, fill: np.array([[number[w] for w in x] + [fill] * (180 - len(x)) for x in rows])
+    pairs = [(d, k) for d in docs for k in items]
+    scores = decontam.align(pad([items[k] for _, k in pairs], -1), pad([docs[d] for d, _ in pairs], -2))
+    want = {(d, k): s / (2 * len(items[k])) for (d, k), s in zip(pairs, scores.tolist(), strict=True) if s / (2 * len(items[k])) >= threshold}
+    assert len(want) > 60
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, h.item_id): h.score for x in decontam.find_leaks(table, bench, threshold=threshold).collect() for h in x.hits}
+    assert got == want
