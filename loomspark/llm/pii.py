@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MARKS, mix, stored, word_hashes
+from .common import MARKS, grouped, mix, stored, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -29,7 +29,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.@%+-])[A-Za-z_-]*+[0-9][A-Za-z0-9_-]*+(?![@])")
 _DIGIT = re.compile(r"[0-9]")
-_BITS = 17
+_BITS = 24
 
 
 def _luhn(digits: str) -> bool:
@@ -84,7 +84,7 @@ def _hash(text: str) -> int:
 
 
 def _mentions(text: str, spans):
-    """(start, end, is seed, instance, pattern, the pattern's cell) of seeds and unknown identifiers."""
+    """(start, end, is seed, instance, pattern, the pattern's word) of seeds and unknown identifiers."""
     taken = spans
     unknown = []
     for m in _TOKEN.finditer(text):
@@ -103,35 +103,25 @@ def _mentions(text: str, spans):
             right = word_hashes([_low(text[b : b + 80])], MARKS)[0][:1]
             for side, word in ((1, left), (2, right)):
                 if len(word):
-                    yield a, b, is_seed, instance, int(mix(word + np.uint64(side)).view(np.int64)[0]), int(word[0]) >> (64 - _BITS)
+                    yield a, b, is_seed, instance, int(mix(word + np.uint64(side)).view(np.int64)[0]), int(word.view(np.int64)[0])
 
 
-MENTION = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("seed", T.BooleanType()), T.StructField("instance", T.LongType()), T.StructField("pattern", T.LongType()), T.StructField("cell", T.LongType())]))
+MENTION = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("seed", T.BooleanType()), T.StructField("instance", T.LongType()), T.StructField("pattern", T.LongType()), T.StructField("word", T.LongType())]))
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Base spans and mentions of every row, then one row per used cell of the word counts.
-
-    Document rows have `base`; the others have `cell` and `n`, how often words of
-    that cell occur in what one task read. The cells are of fixed number.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+    """Base spans and mentions of every row."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text_now"))
     fields = rows.drop("text_now").schema.fields
     fields = [T.StructField(f.name, f.dataType, True) for f in fields]
-    added = [T.StructField("base", T.StringType()), T.StructField("n_base", T.ArrayType(T.LongType())), T.StructField("mentions", MENTION), T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())]
+    added = [T.StructField("base", T.StringType()), T.StructField("n_base", T.ArrayType(T.LongType())), T.StructField("mentions", MENTION)]
     schema = T.StructType(fields + added)
 
-    def add(cells, held):
-        hashes, _ = word_hashes(held, MARKS)
-        cells += np.bincount((hashes >> np.uint64(64 - _BITS)).astype(np.int64), minlength=1 << _BITS)
-        held.clear()
-
     def work(batches):
         import pyarrow as pa
 
-        cells, held, size = np.zeros(1 << _BITS, np.int64), [], 0
         kinds = [to_arrow_type(f.dataType) for f in added]
         for batch in batches:
             base, counts, found = [], [], []
@@ -140,51 +130,94 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
                 spans = base_spans(text)
                 base.append(joined(spans))
                 counts.append([sum(k == kind for _, k, _ in spans) for kind in range(4)])
-                found.append([dict(zip(("a", "b", "seed", "instance", "pattern", "cell"), m, strict=True)) for m in _mentions(text, spans)])
-                held.append(_low(text))
-                size += len(held[-1])
-                if size > 1 << 20:
-                    add(cells, held)
-                    size = 0
-            n = len(base)
+                found.append([dict(zip(("a", "b", "seed", "instance", "pattern", "word"), m, strict=True)) for m in _mentions(text, spans)])
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            columns += [pa.array(base, kinds[0]), pa.array(counts, kinds[1]), pa.array(found, kinds[2]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            columns += [pa.array(base, kinds[0]), pa.array(counts, kinds[1]), pa.array(found, kinds[2])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        if held:
-            add(cells, held)
-        used = np.flatnonzero(cells)
-        arrow = to_arrow_schema(schema)
-        for at in range(0, len(used), 20_000):
-            part = used[at : at + 20_000]
-            nulls = [pa.nulls(len(part), f.type) for f in arrow][:-2]
-            yield pa.RecordBatch.from_arrays([*nulls, pa.array(part, pa.int64()), pa.array(cells[part], pa.int64())], names=schema.names)
 
     return rows.mapInArrow(work, schema)
 
 
-def trusted_patterns(found: DataFrame, confidence: float = 0.8, support: int = 5, rounds: int = 3) -> DataFrame:
-    """Patterns of high confidence: (pattern), from scan()'s stored rows.
+def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, total): how often each of words (word: 64-bit hashes, distinct) occurs in the texts.
+
+    The tasks get a bitmap of fixed size, in which words meet by their top _BITS
+    bits: it only spares the shuffle most other words; the join by the whole hash decides.
+    """
+    cell = F.shiftrightunsigned("word", 64 - _BITS)
+    bits = words.groupBy(F.shiftright(cell, 15).alias("at")).agg(F.bitmap_construct_agg(cell.bitwiseAND(32767)).alias("bits"))
+    table = np.zeros((1 << (_BITS - 15), 4096), np.uint8)
+    for row in bits.collect():
+        table[row["at"]] = np.frombuffer(row["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+    def work(batches):
+        import pyarrow as pa
+
+        table, held, size = shared.value, [], 0
+
+        def merged():
+            word, place = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            n = np.zeros(len(word), np.int64)
+            np.add.at(n, place, np.concatenate([n for _, n in held]))
+            return word, n
+
+        def out():
+            word, n = held.pop()
+            for at in range(0, len(word), 20_000):
+                yield pa.RecordBatch.from_pydict({"word": pa.array(word[at : at + 20_000].view(np.int64)), "n": pa.array(n[at : at + 20_000])})
+
+        for batch in batches:
+            for _, texts in grouped(batch.column(0), 1 << 20):
+                hashes, _ = word_hashes([_low(t) for t in texts], MARKS)
+                top = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
+                hashes = hashes[(table[top >> 3] >> (top & 7).astype(np.uint8) & 1).astype(bool)]
+                held.append((hashes, np.ones(len(hashes), np.int64)))
+                size += len(hashes)
+                if size > 1 << 20:
+                    held[:] = [merged()]
+                    size = len(held[0][0])
+                    if size > 1 << 19:
+                        yield from out()
+                        size = 0
+        if held:
+            held[:] = [merged()]
+            yield from out()
+
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "word long, n long")
+    return rows.groupBy("word").agg(F.sum("n").alias("total")).join(words, "word", "left_semi")
+
+
+def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = 0.8, support: int = 5, rounds: int | None = None) -> DataFrame:
+    """Patterns of high confidence: (pattern), from docs and scan()'s stored rows of them.
 
     Edges (pattern, instance) carry counts; seeds have weight 1. In each round
     a pattern's confidence is the weighted count of its instances over all
-    occurrences of its word (at least what the fixed cells count, so a
-    collision only lowers it); it needs `support` different instances. An
+    occurrences of its word; it needs `support` different instances. An
     unknown instance gets 1 minus the product of (1 - confidence) over its patterns.
+    Weights only grow, and so does the set of patterns; rounds end with the first that adds none
+    (or after `rounds`, where given). Words are counted for patterns with at least `support`
+    instances of any weight; the others can't come to be trusted.
     """
-    cells = found.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("total"))
-    edges = found.filter("cell is null").select(F.explode("mentions").alias("m")).select("m.*")
-    edges = stored(edges.groupBy("pattern", "instance", "cell").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).join(cells, "cell", "left").drop("cell"), "edges")
-    weights, good = None, None
-    for k in range(rounds):
+    edges = found.select(F.explode("mentions").alias("m")).select("m.*")
+    edges = stored(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max("word").alias("word")), "edges")
+    words = edges.groupBy("pattern").agg(F.count("*").alias("k"), F.max("word").alias("word")).filter(F.col("k") >= support)
+    words = stored(words.select("word").distinct(), "words")
+    totals = stored(word_totals(docs, words), "totals")
+    weights, good, size, k = None, None, 0, 0
+    while rounds is None or k < rounds:
         rows = edges.withColumn("w", F.col("seed").cast("double"))
         if weights is not None:
             rows = edges.join(weights, "instance", "left").withColumn("w", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
-        scored = rows.groupBy("pattern").agg(F.sum(F.col("n") * F.col("w")).alias("hits"), F.sum("n").alias("all"), F.max("total").alias("total"), F.count_if(F.col("w") >= confidence).alias("support"))
+        scored = rows.groupBy("pattern").agg(F.sum(F.col("n") * F.col("w")).alias("hits"), F.sum("n").alias("all"), F.max("word").alias("word"), F.count_if(F.col("w") >= confidence).alias("support"))
+        scored = scored.filter(F.col("support") >= support).join(totals, "word", "left")
         scored = scored.withColumn("p", F.col("hits") / F.greatest("all", F.coalesce("total", F.lit(0))))
-        good = stored(scored.filter((F.col("p") >= confidence) & (F.col("support") >= support)).select("pattern", "p"), "patterns")
-        if k + 1 < rounds:
-            linked = edges.filter("not seed").join(good, "pattern")
-            weights = linked.groupBy("instance").agg((1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("found"))
+        good = stored(scored.filter(F.col("p") >= confidence).select("pattern", "p"), "patterns")
+        before, size, k = size, good.count(), k + 1
+        if size == before:
+            break
+        linked = edges.filter("not seed").join(good, "pattern")
+        weights = linked.groupBy("instance").agg((1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("found"))
     return good.select("pattern")
 
 
@@ -196,8 +229,8 @@ def find(docs: DataFrame, keep: list[str], **options) -> DataFrame:
     kind:start:end in code points, end exclusive, sorted by start, then kind.
     """
     found = stored(scan(docs, keep).withColumn("_rid", F.monotonically_increasing_id()), "mentions")
-    good = trusted_patterns(found, **options)
-    rows = found.filter("cell is null")
+    good = trusted_patterns(docs, found, **options)
+    rows = found
     new = rows.select("_rid", F.explode("mentions").alias("m")).filter("not m.seed").select("_rid", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.pattern").alias("pattern"))
     new = new.join(good, "pattern", "left_semi").groupBy("_rid").agg(F.collect_set(F.concat_ws(":", F.lit("id"), "a", "b")).alias("_new"))
     rows = rows.join(new, "_rid", "left")

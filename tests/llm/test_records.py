@@ -86,6 +86,25 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.find(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_contexts_of_rare_words_in_a_large_vocabulary(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"Hello user{k}. contact: name{k}@mail.com") for k in range(40)] + [(100 + k, f"contact: ZX-99{k}8817") for k in range(5)]
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda j: F.concat(F.lit("w"), F.translate((F.col("id") * 1000 + j).cast("string"), "0123456789", "abcdefghij"))), " ")
+    many = spark.range(2000).select((F.col("id") + 1000).alias("doc_id"), words.alias("text"))
+    out = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").union(many), ["doc_id"]).filter("doc_id < 1000").collect()}
+    assert all(out[100 + k].startswith("id:9:") for k in range(5))
+
+
+def test_contexts_are_followed_to_the_end(spark):
+    name = lambda level, k: f"Q{'abcdef'[level]}-88{k}0{level}77"
+    texts = [f"kzero m{k}@mail.com" for k in range(200)] + [f"kzero {name(1, k)}" for k in range(5)]
+    for level in range(1, 5):
+        texts += [f"k{'abcdef'[level]} {name(level, k)}" for k in range(5)] * 40 + [f"k{'abcdef'[level]} {name(level + 1, k)}" for k in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r.spans for r in pii.find(df, ["doc_id"]).collect())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     columns, before = docs.columns, docs.count()
