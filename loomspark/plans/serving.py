@@ -6,6 +6,7 @@ points, sources and organisers are orders and line items, and results are events
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import dates, rules, urls
@@ -375,9 +376,18 @@ d AS (SELECT e.*, CAST(unnest(generate_series(s, DATE '2024-04-14', INTERVAL 1 D
 k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY day) AS n FROM d WHERE date_diff('day', CAST(date_trunc('week', s) AS DATE), day) // 7 % every = 0 AND isodow(day) IN (2, 4))
 SELECT event_id, CAST(day AS VARCHAR) AS start_date FROM k WHERE (cnt IS NULL OR n <= cnt) AND day >= DATE '2024-01-15'""")
 def occurrences(t: Tables):
+    return _occurrences(t.events.filter("event_id % 50 = 0"))
+
+
+@query("r1_all_occurrences")
+def all_occurrences(t: Tables):
+    return _occurrences(t.events)
+
+
+def _occurrences(events: DataFrame) -> DataFrame:
     rule = F.concat(F.lit("FREQ=WEEKLY;INTERVAL="), (1 + F.col("event_id") % 2).cast("string"), F.lit(";BYDAY=TU,TH"), F.when(F.col("event_id") % 3 == 0, ";COUNT=6").otherwise(""))
-    events = t.events.filter("event_id % 50 = 0").select("event_id", F.col("ts").cast("date").alias("start_date"), rule.alias("rule"))
-    return merging.occurrences(events, F.lit("2024-01-15").cast("date"), 90).select("event_id", F.col("start_date").cast("string"))
+    rows = events.select("event_id", F.col("ts").cast("date").alias("start_date"), rule.alias("rule"))
+    return merging.occurrences(rows, F.lit("2024-01-15").cast("date"), 90).select("event_id", F.col("start_date").cast("string"))
 
 
 @query("x4_sessions")

@@ -42,3 +42,20 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["l_suppkey", "n_rows", "n_brands", "first_order"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_all_occurrences_equal_brute_force(spark):
+    import datetime as dt
+
+    want = []
+    for event, ts in spark.read.parquet(f"{DIR}/events.parquet").select("event_id", "ts").collect():
+        start, n, day = ts.date(), 0, ts.date()
+        monday = start - dt.timedelta(days=start.weekday())
+        while day <= dt.date(2024, 4, 14):
+            if (day - monday).days // 7 % (1 + event % 2) == 0 and day.weekday() in (1, 3):
+                n += 1
+                if (event % 3 or n <= 6) and day >= dt.date(2024, 1, 15):
+                    want.append((event, str(day)))
+            day += dt.timedelta(days=1)
+    got = [tuple(r) for r in catalogue.QUERIES["r1_all_occurrences"](spark, DIR).collect()]
+    assert len({e for e, _ in got}) > 50 and sorted(got) == sorted(want)
