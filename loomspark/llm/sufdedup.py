@@ -278,7 +278,53 @@ def _repeated(rows: DataFrame, span: int, batch_size: int = 4096) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, out_type)
 
 
-def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False) -> DataFrame:
+def _repeated_hot(rows: DataFrame, span: int) -> DataFrame:
+    """As _repeated(), for keys of so many contexts that these must not meet in one task.
+
+    Each string around an anchor is a row of its key, offset and two 64-bit hashes; rows are
+    counted by shuffles with sums before them, and looked up by a join whose
+    tasks stream, so no task holds more than a batch.
+    """
+
+    def work(batches):
+        import pyarrow as pa
+
+        up, down = powers(2 * span + 1)
+        names = ["key", "ctx", "n", "o", "h", "g"]
+
+        def batch_of(rows):
+            sizes = [len(r[3]) for r in rows]
+            columns = [pa.array(np.repeat([r[0] for r in rows], sizes), pa.int64()), pa.array([r[1] for r in rows for _ in r[3]], pa.binary()), pa.array(np.repeat([r[2] for r in rows], sizes), pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate([r[i] for r in rows]), pa.int64()) for i in (3, 4, 5))], names=names)
+
+        for batch in batches:
+            rows = []
+            for key, ctx, n, lo, hi, before, after in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                data = np.frombuffer(before[::-1] + after, np.uint8)
+                o = np.arange(lo, hi + 1)
+                start = len(before) - o
+                hashes = []
+                for codes in (_BYTE[data], mix(_BYTE[data])):
+                    sums = np.zeros(len(data) + 1, np.uint64)
+                    np.cumsum(codes * up[: len(data)], out=sums[1:])
+                    hashes.append(mix((sums[start + span] - sums[start]) * down[start]).view(np.int64))
+                rows.append((key, ctx, n, o, *hashes))
+                if len(rows) == 100:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
+
+    # Equal contexts of several tasks are one, with all their counts.
+    one = rows.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("before").alias("before"), F.max("after").alias("after"))
+    strings = stored(one.mapInArrow(work, "key long, ctx binary, n long, o long, h long, g long"), "strings")
+    again = strings.groupBy("key", "o", "h", "g").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
+    hit = strings.join(again, ["key", "o", "h", "g"], "left_semi").groupBy("key", "ctx").agg(F.collect_set("o").alias("o"))
+    each = F.transform("o", lambda x: F.struct(x.alias("a"), x.alias("b")))
+    return hit.select("key", "ctx", each.alias("offsets"))
+
+
+def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, hot: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
     Removed is each byte that is covered by a string of `span` bytes which also
@@ -292,7 +338,7 @@ def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False) ->
     Texts are taken once each; only those that share an anchor's key with another
     place are fetched again. Contexts that are equal are counted before they
     meet, so a passage in many documents is one context per task, but
-    for those at its edges.
+    for those at its edges. Keys of over `hot` places are not brought together (_repeated_hot).
     """
     half = span // 2
     if half <= GRAM:
@@ -312,12 +358,15 @@ def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False) ->
     texts = rows.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("n_bytes").alias("n_bytes"))
     texts = stored(texts.filter(F.col("n_bytes") >= span), "texts")
     flat = texts.select("text_key", F.explode("keys").alias("key"))
-    again = flat.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    wanted = stored(flat.join(again, "key").groupBy("text_key").agg(F.collect_set("key").alias("keys")), "wanted")
+    again = flat.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > hot).alias("hot"))
+    wanted = stored(flat.join(again, "key").groupBy("text_key").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot")), "wanted")
     one = W.partitionBy("text_key").orderBy(F.lit(1))
     fetched = source.select("text_key", "text").join(wanted.select("text_key"), "text_key", "left_semi")
     fetched = stored(fetched.withColumn("_i", F.row_number().over(one)).filter("_i = 1").drop("_i"), "fetched")
-    found = _repeated(_suffixes(fetched, wanted, span, True), span)
+    found = _repeated(_suffixes(fetched, wanted.withColumn("keys", F.array_except("keys", "hot")), span, True), span)
+    with_hot = wanted.filter("size(hot) > 0").select("text_key", F.col("hot").alias("keys"))
+    if not with_hot.isEmpty():
+        found = found.union(_repeated_hot(_suffixes(fetched, with_hot, span, True), span))
     places = _suffixes(fetched, wanted, span, False).join(found, ["key", "ctx"])
     starts = places.select("text_key", F.explode(F.transform("offsets", lambda r: F.struct((F.col("place") - r["b"]).alias("a"), (F.col("place") - r["a"] + span).alias("b")))).alias("r"))
     covers = starts.groupBy("text_key").agg(F.sort_array(F.collect_list("r")).alias("ranges"))

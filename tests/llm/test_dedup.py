@@ -178,3 +178,24 @@ def test_densely_edited_leaks_equal_smith_waterman(spark, threshold):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
     got = {(x.doc_id, h.item_id): h.score for x in decontam.find_leaks(table, bench, threshold=threshold).collect() for h in x.hits}
     assert got == want
+
+
+def test_keys_of_many_contexts_do_not_meet(spark, monkeypatch):
+    r = random.Random(7)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = text(130)
+    texts = [text(r.randrange(60, 90)) + passage[r.randrange(12) :] + text(r.randrange(60, 90)) for _ in range(60)] + [passage, passage + "x", text(400)]
+    met, real = [], sufdedup._repeated
+
+    def watched(rows, *args):
+        met.append(max((x["count"] for x in rows.select("key", "ctx").distinct().groupBy("key").count().collect()), default=0))
+        return real(rows, *args)
+
+    monkeypatch.setattr(sufdedup, "_repeated", watched)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for hot in (10, 1):
+        got = sorted((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in sufdedup.remove_repeats(df, span=100, hot=hot).collect())
+        assert got == brute_removed([t.encode() for t in texts], 100) and sum(x[1] for x in got) > 0
+        assert met[-1] <= hot
+    sufdedup.remove_repeats(df, span=100)
+    assert met[-1] > 10
