@@ -85,6 +85,36 @@ def discard(spark: SparkSession, *paths: str) -> None:
     spark._jvm.System.gc()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many "_" before it as it takes to be no column of df (whatever its case)."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name = "_" + name
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: So many keys at most are broadcast as hot ones; any other has fewer rows than each of these.
+HOT_KEYS = 100_000
+
+
+def spread(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, by: list[str], share: int = 20_000) -> DataFrame:
+    """rows joined with table on keys, where keys of more than `share` rows are dealt over several tasks.
+
+    counts has the keys and n_rows, how many of rows have them. The hot keys, at most
+    HOT_KEYS (the largest), are broadcast; their rows get a salt from the columns `by`,
+    and the table's rows of these keys are repeated for each salt.
+    """
+    hot = counts.filter(F.col("n_rows") > share).orderBy(F.desc("n_rows")).limit(HOT_KEYS)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col("n_rows") / share).cast("int").alias("_shares")))
+    shares = F.coalesce("_shares", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), shares).cast("int")).drop("_shares")
+    told = table.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_shares")
+    return dealt.join(told, [*keys, "_salt"]).drop("_salt")
+
+
 def fold(col: str = "doc_id", by: int = 5) -> Column:
     """crc32 of the id's text modulo `by`; null ids give null."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % by

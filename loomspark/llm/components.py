@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread, stored
 
 
-def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b); root: the least node reachable.
 
     Alternates star contractions: every node's larger neighbours are linked to
     its least neighbour, then its smaller ones, until nothing changes. Paths
-    shrink by a factor each round, so that a few rounds do. Each round is
+    shrink by a factor each round, so that a few rounds do; it always ends. Each round is
     a written table. Loops and repeated edges are harmless; no edges, no rows.
     """
     def mark(df):
@@ -21,18 +21,17 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = mark(now)
-    for _ in range(max_rounds if seen[0] else 1):
+    while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows")).withColumn("m", F.least("u", "m"))
+        large = spread(both.filter("v > u"), least.drop("n_rows"), ["u"], least, by=["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = stored(large, "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
+        joined = spread(large, least.drop("n_rows"), ["u"], least, by=["v"])
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         small = stored(small, "edges")
         now, before, seen = small, seen, mark(small)
         if seen == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     # every node but a root now has one edge, which leads to its root
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

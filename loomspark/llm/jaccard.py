@@ -5,7 +5,8 @@ common. Two sets that are similar enough share a shingle of their prefixes.
 Documents with the same set are one class, classes with the same prefix and
 size one group; groups that meet on a prefix shingle and pass the size and
 position filters are expanded to their classes, and these are verified on
-whole texts.
+whole texts. Groups of a shingle take turns, and what is already in one
+component does not meet again.
 """
 
 from __future__ import annotations
@@ -14,17 +15,18 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, grouped, settled, shingle_hashes, stored, text_bytes, text_key, word_hashes, word_weights, written
+from .common import WORD_SQL, discard, fresh, grouped, settled, shingle_hashes, spread, stored, text_bytes, text_key, word_hashes, word_weights, written
 
 
 #: Sets are also kept as the parity of their shingles in 2**BITS cells.
 BITS = 11
 #: So many text keys of 16 bytes are broadcast at most, to move only their texts; more are joined by a shuffle.
 FEW = 50_000
+#: In each round so many times more members of a shingle have their turn; so many members of it meet in one task.
+TURNS, SHARE = 16, 20_000
 
 
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -99,6 +101,16 @@ def _maybe(n1: Column, bits1: Column, n2: Column, bits2: Column, num: int, den:
     return F.coalesce((num + den) * unlike <= (den - num) * (n1 + n2), F.lit(True))
 
 
+def _expanded(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes of pairs (g, h) of groups that have other roots and pass the filters by size and parity bits."""
+    g, h = (of.select(F.col("group").alias(k), F.col("set_key").alias(f"set_{k}"), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("root").alias(f"root_{k}")) for k in "gh")
+    pairs = pairs.distinct()
+    p = spread(pairs, g, ["g"], pairs.groupBy("g").agg(F.count("*").alias("n_rows")), by=["h"])
+    size = den * F.least("n_g", "n_h") >= num * F.greatest("n_g", "n_h")
+    p = p.join(h, "h").filter((F.col("root_g") != F.col("root_h")) & size & _maybe(F.col("n_g"), F.col("bits_g"), F.col("n_h"), F.col("bits_h"), num, den))
+    return p.select(F.least("set_g", "set_h").alias("a"), F.greatest("set_g", "set_h").alias("b"))
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of classes whose whole texts have the similarity.
 
@@ -114,7 +126,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num
     texts = stored(texts.join(needed, "text_key").select("set_key", "text"), "texts")
     left = texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(right, "b").join(left, "a")
+    per_a, per_b = (pairs.groupBy(k).agg(F.count("*").alias("n_rows")) for k in "ab")
+    # a class in many pairs is dealt over tasks, with its text
+    rows = spread(spread(pairs, right, ["b"], per_b, by=["a"], share=2000), left, ["a"], per_a, by=["b"], share=2000)
 
     def work(batches):
         import pyarrow as pa
@@ -149,40 +163,60 @@ def similar_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     without words (null, empty, blank) have an empty set and are alone.
     Repeated ids and rows are documents like others; a null id is in its
     component, and component_id is null only if all ids there are. An empty
-    table gives no rows.
+    table gives no rows. Only doc_id and text are read, so that other columns can't clash.
     """
-    placed = _placed(docs, n, num, den)
-    some = placed.filter("home is not null")
-    least = some.groupBy("home").agg(F.min("doc_id").alias("component_id"))
-    out = some.join(least, "home").select("doc_id", "n_shingles", "component_id")
-    return out.union(placed.filter("home is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    owners, of = _classes_and_roots(docs, n, num, den)
+    out = _of_component(owners, of, F.min("doc_id")).select("doc_id", "n_shingles", F.col("best").alias("component_id"))
+    return out.union(owners.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with one row of each component of near duplicates: that of the least (doc_id, text key).
 
-    Texts without words stay, each.
+    A null id is the last. Texts without words (null, empty, blank) stay, each.
+    Of rows with equal id and text one stays. All columns are kept, whatever
+    their names; an empty table gives no rows.
     """
-    placed = settled(docs.sparkSession, lambda: _placed(docs, n, num, den), "placed")
-    some = placed.filter("home is not null")
-    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    best = some.groupBy("home").agg(F.min(own).alias("best"))
-    losers = some.join(best, "home").filter(own != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumn("_k", text_key()).join(losers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti")
-    if not some.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
-        once = rows.join(some.select(F.col("text_key").alias("_key")).distinct(), F.col("_k") == F.col("_key"), "left_semi").dropDuplicates(["doc_id", "_k"])
-        rows = once.union(rows.join(some.select(F.col("text_key").alias("_key")).distinct(), F.col("_k") == F.col("_key"), "left_anti"))
-    return rows.drop("_k")
-
-
-def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, text_key, n_shingles and home, a key of the document's component (null: no words).
-
-    The join is whole: in a first round every group of a shingle meets the
-    group that has it foremost in its prefix, and what is similar is merged;
-    in a second round all pairs of groups that are not in one component yet
-    are looked at. Links within a component are not all listed: connectivity
-    needs no more, so a group of copies costs rows in proportion to its size.
+
+    def losing() -> DataFrame:
+        owners, of = _classes_and_roots(docs, n, num, den)
+        own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+        some = _of_component(owners, of, F.min(own))
+        times = some.filter(own == F.col("best")).groupBy("doc_id", "text_key").agg(F.count("*").alias("times")).filter("times > 1")
+        return some.filter(own != F.col("best")).select("doc_id", "text_key").distinct().withColumn("times", F.lit(0).cast("long")).union(times)
+
+    found = settled(docs.sparkSession, losing, "losers")
+    key, id_, other, times = fresh(docs, "text_key", "doc_id_", "text_key_", "times")
+    found = found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(other), F.col("times").alias(times))
+    rows = docs.withColumn(key, text_key())
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(other))
+    kept = rows.join(found, same, "left_anti")
+    if not found.filter(F.col(times) > 0).isEmpty():
+        kept = kept.union(rows.join(found.filter(F.col(times) > 0), same, "left_semi").dropDuplicates(["doc_id", key]))
+    return kept.drop(key)
+
+
+def _of_component(owners: DataFrame, of: DataFrame, least) -> DataFrame:
+    """Owners with words, with `best`: what `least` gives over the owners of their component."""
+    some = owners.filter("n_shingles > 0")
+    classes = some.groupBy("set_key").agg(least.alias("low"), F.count("*").alias("n_rows")).join(of.select("set_key", "root"), "set_key")
+    classes = stored(classes, "lows")
+    best = classes.groupBy("root").agg(F.min("low").alias("best"), F.count("*").alias("n_rows"))
+    told = spread(classes.select("set_key", "root"), best.drop("n_rows"), ["root"], best, by=["set_key"])
+    return spread(some, told.select("set_key", "best"), ["set_key"], classes, by=["doc_id", "text_key"])
+
+
+def _classes_and_roots(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Owners (doc_id, text_key, n_shingles, set_key) and classes (set_key, root, ...): classes of one root are a component.
+
+    The join is whole, in rounds. In the first, every group of a shingle meets the
+    group that has it foremost in its prefix; what is similar is merged. In each later
+    one, some groups of every shingle (16, 256, ... of those that are not in the
+    component which most of its groups are in) meet all groups of it that are in
+    other components, until each such group has had its turn. So all pairs
+    are looked at but those in one component: connectivity needs no more. A group
+    of similar sets is merged by the first of its members that has its turn, so
+    pairs grow in proportion to rows and not with the square of the group.
     """
     from .components import connected
 
@@ -193,70 +227,89 @@ def _placed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     owners = stored(sets.select("doc_id", "text_key", "n_shingles", "set_key"), "owners")
     one = F.min_by(F.struct("text_key", "n_shingles", "bits", "prefix"), "text_key").alias("_c")
     # a group: same size and same prefix; it is named by its least class
-    group = F.min("set_key").over(W.partitionBy("n_shingles", F.md5(F.array_join("prefix", ",").cast("binary"))))
-    whole, whole_at = written(sets.filter("n_shingles > 0").groupBy("set_key").agg(one).select("set_key", "_c.*").withColumn("group", group), "classes")
+    named = F.md5(F.array_join("prefix", ",").cast("binary"))
+    whole, whole_at = written(sets.filter("n_shingles > 0").groupBy("set_key").agg(one).select("set_key", "_c.*").withColumn("named", named), "classes")
     del sets
     discard(spark, sets_at)
+    names = whole.groupBy("n_shingles", "named").agg(F.min("set_key").alias("group"), F.count("*").alias("n_rows"))
+    whole, grouped_at = written(spread(whole, names.drop("n_rows"), ["n_shingles", "named"], names, by=["set_key"]).drop("named"), "groups")
+    discard(spark, whole_at)
     spots = whole.filter("group = set_key").select("group", "n_shingles", F.posexplode("prefix").alias("i", "token"))
     # places beyond this can't be where two sets of any allowed sizes first meet
     spots = spots.filter((num + den) * (F.col("n_shingles") - F.col("i")) >= num * (F.col("n_shingles") + F.ceil(num * F.col("n_shingles") / den)))
-    by_token = W.partitionBy("token")
-    spots = spots.withColumn("hub", F.first(F.struct("i", "n_shingles", "group")).over(by_token.orderBy("i", "group"))).withColumn("size", F.count("*").over(by_token))
-    spots = stored(spots.filter("size > 1"), "spots")
+    by_token = spots.groupBy("token").agg(F.min(F.struct("i", "n_shingles", "group")).alias("hub"), F.count("*").alias("n_rows"))
+    by_token = stored(by_token.filter("n_rows > 1"), "tokens")
+    spots = stored(spread(spots, by_token.withColumnRenamed("n_rows", "size"), ["token"], by_token, by=["group"]), "spots")
     classes = stored(whole.drop("prefix"), "classes")
     del whole
-    discard(spark, whole_at)
-    members = classes.select("group", "set_key")
-
-    def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes that their sizes and parity bits allow."""
-        own = classes.select("set_key", "n_shingles", "bits")
-        for side in "ab":
-            pairs = pairs.join(own.select(F.col("set_key").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        return pairs.filter((den * least >= num * most) & _maybe(F.col("n_a"), F.col("bits_a"), F.col("n_b"), F.col("bits_b"), num, den)).drop("n_a", "n_b", "bits_a", "bits_b")
-
-    def expanded(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes of pairs of groups."""
-        p = pairs.select("g", "h").distinct()
-        p = p.join(members.select(F.col("group").alias("g"), F.col("set_key").alias("a")), "g").join(members.select(F.col("group").alias("h"), F.col("set_key").alias("b")), "h")
-        return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    discard(spark, grouped_at)
 
     first = spots.filter((F.col("group") != F.col("hub.group")) & _close(F.col("n_shingles"), F.col("i"), F.col("hub.n_shingles"), F.col("hub.i"), num, den))
-    first = expanded(first.select(F.col("hub.group").alias("g"), F.col("group").alias("h")))
-    inside = classes.filter("group <> set_key").select(F.col("group").alias("a"), F.col("set_key").alias("b"))
-    links = settled(spark, lambda: _verified(stored(filtered(first.union(inside).distinct()), "pairs"), classes, docs, n, num, den), "links")
-    # second round: pairs of groups of a shingle, its hub apart, that are not yet wholly in one component
-
-    def rooted() -> DataFrame:
-        root = connected(links).withColumnRenamed("node", "set_key")
-        return classes.join(root, "set_key", "left").select("group", "set_key", "n_shingles", "bits", F.coalesce("root", "set_key").alias("root"))
-
-    of = settled(spark, rooted, "roots")
-    # the parity bits of a group are known if it is a single class
-    whole = of.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
-    left = spots.filter("size > 2").filter(F.col("group") != F.col("hub.group")).select("token", "group", "n_shingles", "i")
-    left = stored(left.join(whole.drop("bits"), "group"), "left")
-    open_ = left.groupBy("token").agg(F.min("r0").alias("t0"), F.max("r1").alias("t1")).filter("t0 <> t1").select("token")
-    left = left.join(open_, "token", "left_semi").join(whole.select("group", "bits"), "group")
-    x, y = left.alias("x"), left.alias("y")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.group") < F.col("y.group"))
-    apart = (F.col("x.r0") != F.col("y.r1")) | (F.col("x.r1") != F.col("y.r0"))
-    near = _close(F.col("x.n_shingles"), F.col("x.i"), F.col("y.n_shingles"), F.col("y.i"), num, den) & _maybe(F.col("x.n_shingles"), F.col("x.bits"), F.col("y.n_shingles"), F.col("y.bits"), num, den)
-    second = expanded(x.join(y, on & apart & near).select(F.col("x.group").alias("g"), F.col("y.group").alias("h")))
-    # and pairs within a group, its first class apart
-    p, q = of.filter("group <> set_key").alias("p"), of.filter("group <> set_key").alias("q")
-    alike = _maybe(F.col("p.n_shingles"), F.col("p.bits"), F.col("q.n_shingles"), F.col("q.bits"), num, den)
-    mates = p.join(q, (F.col("p.group") == F.col("q.group")) & (F.col("p.set_key") < F.col("q.set_key")) & (F.col("p.root") != F.col("q.root")) & alike).select(F.col("p.set_key").alias("a"), F.col("q.set_key").alias("b"))
-    more = filtered(second.union(mates).distinct())
+    first = _expanded(first.select(F.col("hub.group").alias("g"), F.col("group").alias("h")), classes.withColumn("root", F.col("set_key")), num, den)
+    own = classes.select(F.col("set_key").alias("group"), F.col("n_shingles").alias("n_h"), F.col("bits").alias("bits_h"))
+    inside = classes.filter("group <> set_key").join(own, "group").filter(_maybe(F.col("n_h"), F.col("bits_h"), F.col("n_shingles"), F.col("bits"), num, den))
+    first = first.union(inside.select(F.col("group").alias("a"), F.col("set_key").alias("b")))
+    links = settled(spark, lambda: _verified(stored(first.distinct(), "pairs"), classes, docs, n, num, den), "links")
+    of = classes.withColumn("root", F.col("set_key"))
+    # a group of several classes is like a shingle that they share
+    mates = classes.filter("group <> set_key").select("group").distinct().join(classes, "group")
+    mates = mates.select(F.xxhash64("group").alias("token"), F.col("set_key").alias("member"), F.lit(0).alias("i"), "n_shingles", F.lit(True).alias("lone"), (F.col("group") == F.col("set_key")).alias("done"))
+    open_ = spots.filter("size > 2").select("token", F.col("group").alias("member"), "i", "n_shingles", F.lit(False).alias("lone"), (F.col("group") == F.col("hub.group")).alias("done")).union(mates)
+    open_ = open_.withColumn("turn", F.lit(False))
+    turns = 1
+    while True:
+        of = settled(spark, lambda: _merged(of, connected(links)), "roots")
+        turns *= TURNS
+        open_ = settled(spark, lambda: _still_open(open_, of, turns), "open")
+        if open_.filter("turn").isEmpty():
+            return owners, of
+        links = settled(spark, lambda: _round(open_, of, classes, docs, n, num, den), "links")
+
+
+def _merged(of: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes with the root that their root has now."""
+    now = of.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return now.select("group", "set_key", "n_shingles", "bits", "text_key", F.coalesce("top", "root").alias("root"))
+
+
+def _still_open(members: DataFrame, of: DataFrame, turns: int) -> DataFrame:
+    """Members of the shingles whose members are not yet in one component, and whether it is their turn.
+
+    r0 and r1 are the least and the greatest root of the member's classes. Members wholly
+    in the component that most members of the shingle are in need no turn: each pair of
+    components has a member of another one. Of those left, about `turns` of every
+    shingle have theirs, all if there are no more; by a hash, so that reruns agree.
+    """
+    groups = of.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
+    single = of.select("set_key", F.col("root").alias("r0"), F.col("root").alias("r1"), "bits")
+    now = members.select("token", "member", "i", "n_shingles", "lone", (F.col("done") | F.col("turn")).alias("done"))
+    now = now.filter("not lone").join(groups.withColumnRenamed("group", "member"), "member").unionByName(now.filter("lone").join(single.withColumnRenamed("set_key", "member"), "member"))
+    now = stored(now, "members")
+    most = now.groupBy("token", "lone", F.when(F.col("r0") == F.col("r1"), F.col("r0")).alias("root")).agg(F.count("*").alias("k"), F.count_if(~F.col("done")).alias("waiting"))
+    best = F.max(F.when(F.col("root").isNotNull(), F.struct("k", "root", "waiting")))
+    most = most.groupBy("token", "lone").agg(best.alias("best"), F.count("*").alias("parts"), F.sum("k").alias("size"), F.sum("waiting").alias("all"), F.max(F.col("root").isNull()).alias("split"))
+    left = F.col("all") - F.coalesce("best.waiting", F.lit(0))
+    most = stored(most.filter("parts > 1 or split").filter(left > 0).select("token", "lone", F.col("best.root").alias("main"), left.alias("waiting"), "size"), "open_tokens")
+    now = spread(now, most, ["token", "lone"], most.withColumnRenamed("size", "n_rows"), by=["member"])
+    out = ~F.coalesce((F.col("r0") == F.col("main")) & (F.col("r1") == F.col("main")), F.lit(False))
+    place = F.pmod(F.xxhash64("token", "member"), F.lit(1 << 40)) / float(1 << 40)
+    return now.withColumn("turn", out & ~F.col("done") & (place * F.col("waiting") < turns)).drop("waiting", "main")
+
+
+def _round(open_: DataFrame, of: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components: of members whose turn it is with all members of their shingle."""
+    # many members of one shingle are dealt over tasks, and those whose turn it is go to each of these
+    shares = F.ceil(F.col("size") / SHARE).cast("int")
+    hubs = open_.filter("turn").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).alias("x")
+    rest = open_.filter("not done").withColumn("share", F.pmod(F.xxhash64("member"), shares).cast("int")).alias("y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.lone") == F.col("y.lone"))
+    on &= (F.col("x.member") < F.col("y.member")) | (~F.col("y.turn") & (F.col("x.member") != F.col("y.member")))
+    on &= (F.col("x.r0") != F.col("y.r1")) | (F.col("x.r1") != F.col("y.r0"))
+    on &= _close(F.col("x.n_shingles"), F.col("x.i"), F.col("y.n_shingles"), F.col("y.i"), num, den) & _maybe(F.col("x.n_shingles"), F.col("x.bits"), F.col("y.n_shingles"), F.col("y.bits"), num, den)
+    met = stored(hubs.join(rest, on).select(F.col("x.lone").alias("lone"), F.col("x.member").alias("g"), F.col("y.member").alias("h")).distinct(), "met")
+    alone = met.filter("lone").select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
+    pairs = _expanded(met.filter("not lone").select("g", "h"), of, num, den).union(alone).distinct()
     ra, rb = of.select(F.col("set_key").alias("a"), F.col("root").alias("ra")), of.select(F.col("set_key").alias("b"), F.col("root").alias("rb"))
-    more = stored(more.join(ra, "a").join(rb, "b").filter("ra <> rb").select("a", "b", "ra", "rb"), "pairs")
-
-    def confirmed() -> DataFrame:
-        found = _verified(more.select("a", "b"), classes, docs, n, num, den)
-        return found.join(more, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-
-    late = settled(spark, confirmed, "links")
-    root_2 = connected(late).withColumnRenamed("root", "top").withColumnRenamed("node", "root")
-    home = of.join(root_2, "root", "left").select("set_key", F.coalesce("top", "root").alias("home"))
-    return owners.join(home, "set_key", "left").drop("set_key")
+    pairs = stored(pairs.join(ra, "a").join(rb, "b").filter("ra <> rb"), "pairs")
+    found = _verified(pairs.select("a", "b"), classes, docs, n, num, den)
+    return found.join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
