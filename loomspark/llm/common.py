@@ -21,12 +21,15 @@ _on_the_way: ContextVar[list[str] | None] = ContextVar("on_the_way", default=Non
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in tests on one machine, a temporary
-    folder stands in for it.
+    Where that setting is missing, a temporary folder stands in for it on a local
+    master, as in tests. On a cluster that would lose tables with their
+    machine, so that it is an error there.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-loom-")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MARKS, grouped, word_hashes
+from .common import MARKS, fresh, grouped, word_hashes
 
 HITS = "array<struct<item_id:{id},score:double,word:long>>"
 ASK, SEGMENT, MIN_WORDS, PIECE = 6, 64, 5, 1 << 16
@@ -188,8 +188,8 @@ def best_hits(index: Index, texts_ids: list[np.ndarray], threshold: float) -> li
     return [[{"item_id": i, "score": s, "word": w} for i, (s, w) in sorted(x.items(), key=lambda y: (y[0] is None, y[0]))] for x in best]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block_words: int = 400_000) -> DataFrame:
-    """docs plus `hits`: the items that each text holds, whole or edited.
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block_words: int = 400_000, name: str = "hits") -> DataFrame:
+    """docs plus an array `name`: the items that each text holds, whole or edited.
 
     An item is cut into equal segments of at most SEGMENT words. A text holds it
     if some segment's local alignment (match 2, miss and gap -1) reaches
@@ -201,12 +201,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block_
     a larger broadcast. Null texts count as empty; items under MIN_WORDS words
     say too little and match nothing; items with equal ids count as one;
     repeated documents each get their hits; empty tables give no hits. A column of
-    docs named `hits` is replaced.
+    docs of that name is replaced; all others are kept, whatever their names.
     """
     kind = items.schema["item_id"].dataType
     empty = F.array().cast(HITS.format(id=kind.simpleString()))
-    out = docs.withColumn("hits", empty)
-    n_words = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
+    out = docs.withColumn(name, empty)
+    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[A-Za-z0-9]+|[^\x00-\x7F]+")), F.lit(0))
     total = items.agg(F.coalesce(F.sum(n_words), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // block_words))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
@@ -214,7 +214,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block_
         index = Index([(r.item_id, r.text) for r in items.filter(block == k).select("item_id", "text").collect()])
         if index.segments:
             index.seed(_word_counts(docs, index), threshold)
-            out = _with_hits(out, index, threshold, kind)
+            out = _with_hits(out, index, threshold, name)
     return out
 
 
@@ -239,15 +239,17 @@ def _word_counts(docs: DataFrame, index: Index) -> np.ndarray:
     return counts
 
 
-def _with_hits(docs: DataFrame, index: Index, threshold: float, kind: T.DataType) -> DataFrame:
+def _with_hits(docs: DataFrame, index: Index, threshold: float, name: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    schema = T.StructType([*docs.drop("hits").schema.fields, docs.schema["hits"], T.StructField("_more", docs.schema["hits"].dataType)])
+    more_name, text_name = fresh(docs, "more", "text_now")
+    hits = docs.schema[name]
+    schema = T.StructType([*docs.drop(name).schema.fields, hits, T.StructField(more_name, hits.dataType)])
 
     def work(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
-        index, arrow = shared.value, to_arrow_type(schema["_more"].dataType)
+        index, arrow = shared.value, to_arrow_type(hits.dataType)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             more: list[list[dict]] = []
@@ -256,5 +258,5 @@ def _with_hits(docs: DataFrame, index: Index, threshold: float, kind: T.DataType
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(more, arrow)], names=schema.names)
 
-    rows = docs.select(*docs.drop("hits").columns, "hits", F.coalesce("text", F.lit("")).alias("_text"))
-    return rows.mapInArrow(work, schema).withColumn("hits", F.concat("hits", "_more")).drop("_more")
+    rows = docs.select(*docs.drop(name).columns, name, F.coalesce("text", F.lit("")).alias(text_name))
+    return rows.mapInArrow(work, schema).withColumn(name, F.concat(name, more_name)).drop(more_name)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, text_bytes
+from .common import fresh, mix, text_bytes
 
 ORDERS = (1, 2, 3)
 #: Texts are hashed in pieces of so many characters, which bounds memory.
@@ -103,7 +103,8 @@ def train(docs: DataFrame, bits: int = 15, smoothing: float = 0.5, max_languages
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
-    """The columns `keep` with lang_pred and score, the posterior probability.
+    """The columns `keep` with lang_pred and score, the posterior probability; these
+    have a "_" before their names where keep has those.
 
     The log-probability matrix is broadcast: its size is languages x 2**bits
     floats, which train() bounds. Null texts and texts without a letter are
@@ -132,9 +133,10 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame
                 best = int(odds.argmax())
                 langs.append(names[best])
                 scores.append(float(odds[best] / odds.sum()))
-            kept = {n: batch.column(n) for n in batch.schema.names[:-1]}
-            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    rows = docs.select(*keep, text_bytes().alias("text_utf8"))
-    schema = rows.drop("text_utf8").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(score, schema)
+    kept = docs.select(*keep)
+    lang, odds, utf8 = fresh(kept, "lang_pred", "score", "text_utf8")
+    schema = kept.schema.add(lang, "string").add(odds, "double")
+    return docs.select(*keep, text_bytes().alias(utf8)).mapInArrow(score, schema)

@@ -1,7 +1,8 @@
 """Personal data: fixed forms as seeds, and identifiers found by bootstrapped contexts.
 
-The forms (e-mail, IP, card, phone) are seed entities. The words next to them
-are lexical patterns. Spark scores the graph of patterns and instances in
+The forms (e-mail, IP, card, phone) and key-shaped strings are seed entities.
+What stands next to them is a lexical pattern: the word before, the word after, the word
+before with the marks between (`token = "`), the two words before. Spark scores the graph of patterns and instances in
 rounds: a pattern is worth the share of its occurrences in the corpus that
 stand next to trusted instances; an unseen identifier is worth the evidence
 of its patterns, and counts as an instance in the next round. Identifiers
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MARKS, grouped, mix, stored, word_hashes
+from .common import _BYTE, MARKS, fresh, grouped, mix, powers, stored
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -28,8 +29,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.@%+-])[A-Za-z_-]*+[0-9][A-Za-z0-9_-]*+(?![@])")
+#: Key-shaped: 32 or more hexadecimal digits. Such strings are seeds too, but no spans unless a pattern is trusted.
+_KEY = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})")
 _DIGIT = re.compile(r"[0-9]")
-_BITS = 24
+_BITS, REACH = 24, 80
 
 
 def _luhn(digits: str) -> bool:
@@ -84,40 +87,87 @@ def _hash(text: str) -> int:
 
 
 def _mentions(text: str, spans):
-    """(start, end, is seed, instance, pattern, the pattern's word) of seeds and unknown identifiers."""
-    taken = spans
+    """(start, end, is base form, is seed, instance, pattern) of seeds and unknown identifiers."""
     unknown = []
     for m in _TOKEN.finditer(text):
         token = m[0].strip("-_")
-        if 6 <= len(token) <= 64 and sum("0" <= c <= "9" for c in token) >= 4:
+        if len(token) >= 6 and sum("0" <= c <= "9" for c in token) >= 4:
             a = m.start() + m[0].index(token)
             unknown.append((a, a + len(token)))
-    if unknown and taken:
-        starts = np.array([s[0] for s in taken])
-        ends = np.maximum.accumulate([s[2] for s in taken])
+    if unknown and spans:
+        starts = np.array([s[0] for s in spans])
+        ends = np.maximum.accumulate([s[2] for s in spans])
         unknown = [(a, b) for a, b in unknown if not ((k := int(np.searchsorted(starts, b))) and ends[k - 1] > a)]
-    for is_seed, found in ((True, [(a, b) for a, _, b in taken]), (False, unknown)):
+    for is_base, found in ((True, [(a, b) for a, _, b in spans]), (False, unknown)):
         for a, b in found:
-            instance = _hash(text[a:b])
-            left = word_hashes([_low(text[max(0, a - 80) : a])], MARKS)[0][-1:]
-            right = word_hashes([_low(text[b : b + 80])], MARKS)[0][:1]
-            for side, word in ((1, left), (2, right)):
-                if len(word):
-                    yield a, b, is_seed, instance, int(mix(word + np.uint64(side)).view(np.int64)[0]), int(word.view(np.int64)[0])
+            token = text[a:b]
+            instance, is_seed = _hash(token), is_base or bool(_KEY.fullmatch(token))
+            for pattern in _around(text, a, b):
+                yield a, b, is_base, is_seed, instance, pattern
 
 
-MENTION = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("seed", T.BooleanType()), T.StructField("instance", T.LongType()), T.StructField("pattern", T.LongType()), T.StructField("word", T.LongType())]))
+def _around(text: str, a: int, b: int) -> list[int]:
+    """Patterns of the characters a to b, from up to REACH characters to each side; a word cut there says nothing."""
+    while b > a and not text[a].isalnum():  # what stands between is up to the first letter or digit
+        a += 1
+    low = max(0, a - REACH)
+    codes, hashes, glue, starts = _words([_low(text[low:a]) + b"x"])[:4]
+    whole = [k for k in range(len(hashes) - 1) if starts[k] > 0 or not low]
+    out = []
+    if len(hashes) > 1 and len(hashes) - 2 in whole:
+        out += [_LEFT(hashes[-2]), _GLUED(hashes[-2], glue[-2])]
+        if len(hashes) > 2 and len(hashes) - 3 in whole:
+            out.append(_TWO(hashes[-3], hashes[-2]))
+    hashes = _words([_low(text[b : b + REACH])])[1]
+    if len(hashes) and (len(hashes) > 1 or b + REACH >= len(text) or not text[b + REACH - 1].isalnum()):
+        out.append(_RIGHT(hashes[0]))
+    return [int(np.uint64(x).view(np.int64)) for x in out]
 
 
-def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Base spans and mentions of every row."""
+def _words(texts: list[bytes]):
+    """Bytes, hashes of words, of what stands between each and the next, where words begin, and where texts' words do."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    apart = MARKS[data]
+    edge = np.flatnonzero(apart[1:] != apart[:-1]) + 1
+    if not apart[0]:
+        edge = np.concatenate([[0], edge])
+    starts, ends = edge[0::2], edge[1::2]
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    after = np.append(starts[1:], len(data)) if len(starts) else starts
+    glue = mix((sums[after] - sums[ends]) * down[ends])
+    return data, hashes, glue, starts, np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+
+
+# patterns: the word before, the word after, the word before with the marks between, the two words before
+def _LEFT(word):
+    return mix(word + np.uint64(1))
+
+
+def _RIGHT(word):
+    return mix(word + np.uint64(2))
+
+
+def _GLUED(word, glue):
+    return mix(mix(word + np.uint64(3)) + glue)
+
+
+def _TWO(first, word):
+    return mix(mix(first + np.uint64(4)) + word)
+
+
+MENTION = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("base", T.BooleanType()), T.StructField("seed", T.BooleanType()), T.StructField("instance", T.LongType()), T.StructField("pattern", T.LongType())]))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Base spans and mentions of every row of docs(kept, text); kept is a struct."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text_now"))
-    fields = rows.drop("text_now").schema.fields
-    fields = [T.StructField(f.name, f.dataType, True) for f in fields]
+    rows = docs.select("kept", F.coalesce("text", F.lit("")).alias("text"))
     added = [T.StructField("base", T.StringType()), T.StructField("n_base", T.ArrayType(T.LongType())), T.StructField("mentions", MENTION)]
-    schema = T.StructType(fields + added)
+    schema = T.StructType([T.StructField("kept", rows.schema["kept"].dataType, True), *added])
 
     def work(batches):
         import pyarrow as pa
@@ -125,27 +175,25 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
         kinds = [to_arrow_type(f.dataType) for f in added]
         for batch in batches:
             base, counts, found = [], [], []
-            for value in batch.column(batch.num_columns - 1):
+            for value in batch.column(1):
                 text = value.as_py()
                 spans = base_spans(text)
                 base.append(joined(spans))
                 counts.append([sum(k == kind for _, k, _ in spans) for kind in range(4)])
-                found.append([dict(zip(("a", "b", "seed", "instance", "pattern", "word"), m, strict=True)) for m in _mentions(text, spans)])
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            columns += [pa.array(base, kinds[0]), pa.array(counts, kinds[1]), pa.array(found, kinds[2])]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+                found.append([dict(zip(("a", "b", "base", "seed", "instance", "pattern"), m, strict=True)) for m in _mentions(text, spans)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kinds[0]), pa.array(counts, kinds[1]), pa.array(found, kinds[2])], names=schema.names)
 
     return rows.mapInArrow(work, schema)
 
 
-def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, total): how often each of words (word: 64-bit hashes, distinct) occurs in the texts.
+def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, total): how often each of patterns (pattern: 64-bit hashes, distinct) occurs in the texts.
 
-    The tasks get a bitmap of fixed size, in which words meet by their top _BITS
-    bits: it only spares the shuffle most other words; the join by the whole hash decides.
+    The tasks get a bitmap of fixed size, in which patterns meet by their top _BITS
+    bits: it only spares the shuffle most others; the join by the whole hash decides.
     """
-    cell = F.shiftrightunsigned("word", 64 - _BITS)
-    bits = words.groupBy(F.shiftright(cell, 15).alias("at")).agg(F.bitmap_construct_agg(cell.bitwiseAND(32767)).alias("bits"))
+    cell = F.shiftrightunsigned("pattern", 64 - _BITS)
+    bits = patterns.groupBy(F.shiftright(cell, 15).alias("at")).agg(F.bitmap_construct_agg(cell.bitwiseAND(32767)).alias("bits"))
     table = np.zeros((1 << (_BITS - 15), 4096), np.uint8)
     for row in bits.collect():
         table[row["at"]] = np.frombuffer(row["bits"], np.uint8)
@@ -157,23 +205,27 @@ def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:
         table, held, size = shared.value, [], 0
 
         def merged():
-            word, place = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-            n = np.zeros(len(word), np.int64)
+            key, place = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            n = np.zeros(len(key), np.int64)
             np.add.at(n, place, np.concatenate([n for _, n in held]))
-            return word, n
+            return key, n
 
         def out():
-            word, n = held.pop()
-            for at in range(0, len(word), 20_000):
-                yield pa.RecordBatch.from_pydict({"word": pa.array(word[at : at + 20_000].view(np.int64)), "n": pa.array(n[at : at + 20_000])})
+            key, n = held.pop()
+            for at in range(0, len(key), 20_000):
+                yield pa.RecordBatch.from_pydict({"pattern": pa.array(key[at : at + 20_000].view(np.int64)), "n": pa.array(n[at : at + 20_000])})
 
         for batch in batches:
             for _, texts in grouped(batch.column(0), 1 << 20):
-                hashes, _ = word_hashes([_low(t) for t in texts], MARKS)
-                top = (hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-                hashes = hashes[(table[top >> 3] >> (top & 7).astype(np.uint8) & 1).astype(bool)]
-                held.append((hashes, np.ones(len(hashes), np.int64)))
-                size += len(hashes)
+                _, words, glue, _, first = _words([_low(t) for t in texts])
+                inner = np.ones(len(words), bool)  # words with another one of their text after them
+                inner[first[1:][first[1:] > 0] - 1] = False
+                before = np.flatnonzero(inner)
+                keys = np.concatenate([_LEFT(words), _RIGHT(words), _GLUED(words[before], glue[before]), _TWO(words[before], words[before + 1])])
+                top = (keys >> np.uint64(64 - _BITS)).astype(np.int64)
+                keys = keys[(table[top >> 3] >> (top & 7).astype(np.uint8) & 1).astype(bool)]
+                held.append((keys, np.ones(len(keys), np.int64)))
+                size += len(keys)
                 if size > 1 << 20:
                     held[:] = [merged()]
                     size = len(held[0][0])
@@ -184,8 +236,8 @@ def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:
             held[:] = [merged()]
             yield from out()
 
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "word long, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("total")).join(words, "word", "left_semi")
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(work, "pattern long, n long")
+    return rows.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
 
 
 def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = 0.8, support: int = 5, rounds: int | None = None) -> DataFrame:
@@ -193,24 +245,23 @@ def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = 0.8,
 
     Edges (pattern, instance) carry counts; seeds have weight 1. In each round
     a pattern's confidence is the weighted count of its instances over all
-    occurrences of its word; it needs `support` different instances. An
+    its occurrences in the texts; it needs `support` different instances. An
     unknown instance gets 1 minus the product of (1 - confidence) over its patterns.
     Weights only grow, and so does the set of patterns; rounds end with the first that adds none
-    (or after `rounds`, where given). Words are counted for patterns with at least `support`
+    (or after `rounds`, where given). Occurrences are counted for patterns with at least `support`
     instances of any weight; the others can't come to be trusted.
     """
     edges = found.select(F.explode("mentions").alias("m")).select("m.*")
-    edges = stored(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed"), F.max("word").alias("word")), "edges")
-    words = edges.groupBy("pattern").agg(F.count("*").alias("k"), F.max("word").alias("word")).filter(F.col("k") >= support)
-    words = stored(words.select("word").distinct(), "words")
-    totals = stored(word_totals(docs, words), "totals")
+    edges = stored(edges.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
+    often = stored(edges.groupBy("pattern").agg(F.count("*").alias("k")).filter(F.col("k") >= support).select("pattern"), "often")
+    totals = stored(pattern_totals(docs, often), "totals")
     weights, good, size, k = None, None, 0, 0
     while rounds is None or k < rounds:
         rows = edges.withColumn("w", F.col("seed").cast("double"))
         if weights is not None:
             rows = edges.join(weights, "instance", "left").withColumn("w", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
-        scored = rows.groupBy("pattern").agg(F.sum(F.col("n") * F.col("w")).alias("hits"), F.sum("n").alias("all"), F.max("word").alias("word"), F.count_if(F.col("w") >= confidence).alias("support"))
-        scored = scored.filter(F.col("support") >= support).join(totals, "word", "left")
+        scored = rows.groupBy("pattern").agg(F.sum(F.col("n") * F.col("w")).alias("hits"), F.sum("n").alias("all"), F.count_if(F.col("w") >= confidence).alias("support"))
+        scored = scored.filter(F.col("support") >= support).join(totals, "pattern", "left")
         scored = scored.withColumn("p", F.col("hits") / F.greatest("all", F.coalesce("total", F.lit(0))))
         good = stored(scored.filter(F.col("p") >= confidence).select("pattern", "p"), "patterns")
         before, size, k = size, good.count(), k + 1
@@ -226,25 +277,30 @@ def find(docs: DataFrame, keep: list[str], **options) -> DataFrame:
 
     Null texts are empty and have no spans. Every row is read whole; equal
     texts get equal spans; an empty table gives no rows. Spans are
-    kind:start:end in code points, end exclusive, sorted by start, then kind.
+    kind:start:end in code points, end exclusive, sorted by start, then kind. An
+    unknown identifier is a run of letters, digits, "-" and "_" of at least 6 characters,
+    4 of them digits, outside the fixed forms. The three columns have a "_"
+    before their names where keep has those.
     """
-    found = stored(scan(docs, keep).withColumn("_rid", F.monotonically_increasing_id()), "mentions")
-    good = trusted_patterns(docs, found, **options)
-    rows = found
-    new = rows.select("_rid", F.explode("mentions").alias("m")).filter("not m.seed").select("_rid", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.pattern").alias("pattern"))
-    new = new.join(good, "pattern", "left_semi").groupBy("_rid").agg(F.collect_set(F.concat_ws(":", F.lit("id"), "a", "b")).alias("_new"))
-    rows = rows.join(new, "_rid", "left")
-    parts = F.concat(F.filter(F.split("base", ","), lambda x: x != ""), F.coalesce("_new", F.array().cast("array<string>")))
+    names = fresh(docs.select(*keep), "base", "n_base", "spans")
+    source = docs.select(F.struct(*keep).alias("kept"), "text")
+    rows = stored(scan(source).withColumn("rid", F.monotonically_increasing_id()), "mentions")
+    good = trusted_patterns(docs, rows, **options)
+    new = rows.select("rid", F.explode("mentions").alias("m")).filter("not m.base").select("rid", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.pattern").alias("pattern"))
+    new = new.join(good, "pattern", "left_semi").groupBy("rid").agg(F.collect_set(F.concat_ws(":", F.lit("id"), "a", "b")).alias("new"))
+    rows = rows.join(new, "rid", "left")
+    parts = F.concat(F.filter(F.split("base", ","), lambda x: x != ""), F.coalesce("new", F.array().cast("array<string>")))
     order = F.array(*[F.lit(k) for k in KINDS])
     keyed = F.transform(parts, lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("long").alias("s"), F.array_position(order, F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), x.alias("x")))
     spans = F.array_join(F.transform(F.array_sort(keyed), lambda s: s["x"]), ",")
-    return rows.select(*keep, "base", "n_base", spans.alias("spans"))
+    return rows.select("kept.*", F.col("base").alias(names[0]), F.col("n_base").alias(names[1]), spans.alias(names[2]))
 
 
 def redact(docs: DataFrame, **options) -> DataFrame:
     """docs with every span replaced by its kind in brackets, e.g. [EMAIL]; n_chars, if there, is counted anew.
 
     Overlapping spans count as one, named by the first. A null text stays null.
+    All other columns are kept, whatever their names; an empty table gives no rows.
     """
     names = docs.columns
     found = find(docs.select(F.struct(*names).alias("_row"), "text"), ["_row"], **options)

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import fresh, grouped, text_bytes
 
 PASSAGE, PIECE, HIDDEN, GATE = 50, 1 << 20, 24, 12
 _CLASSES = np.full(256, 8, np.uint8)  # 8: any other mark
@@ -33,13 +33,12 @@ def _cut(text: bytes):
     yield text
 
 
-def encode(text: bytes) -> np.ndarray:
-    """One row of WIDTH numbers per passage of PASSAGE words; an empty text is one row of zeros.
+def encoded_pieces(text: bytes):
+    """One row of WIDTH numbers per passage of PASSAGE words, in blocks; an empty text gives none.
 
     The first 100 are shares of byte-class pairs, the others tell how varied,
     how long and how repetitive the passage's words and the document's lines are.
     """
-    rows = []
     lines = [x for x in text.split(b"\n") if x]
     unlike = 1 - len(set(lines)) / len(lines) if lines else 0.0
     for piece in _cut(text):
@@ -68,7 +67,12 @@ def encode(text: bytes) -> np.ndarray:
         x[:, 105] = 1
         x[:, 106] = unlike
         x[:, 107] = np.log1p(len(words)) / 10
-        rows.append(x.astype(np.float32))
+        yield x.astype(np.float32)
+
+
+def encode(text: bytes) -> np.ndarray:
+    """All passages of a text; an empty text is one row of zeros."""
+    rows = [*encoded_pieces(text)]
     return np.concatenate(rows) if rows else np.zeros((1, WIDTH), np.float32)
 
 
@@ -84,6 +88,24 @@ def _forward(m: dict, x: np.ndarray, first: np.ndarray):
     return 1 / (1 + np.exp(-np.clip(z @ m["c"] + m["c0"], -30, 30))), (h, t, s, a, z, size)
 
 
+def score_long(m: dict, text: bytes) -> float:
+    """The score of a text of any length, as by _forward(), with one block of passages in memory.
+
+    The attention's greatest exponent, the sum of weights and the weighted sum
+    of encodings are carried from block to block.
+    """
+    top, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
+    for x in encoded_pieces(text):
+        h = np.tanh(((x - m["mean"]) / m["std"]) @ m["W"] + m["b"])
+        e = (np.tanh(h @ m["V"]) / (1 + np.exp(-(h @ m["U"])))) @ m["w"]
+        now = max(top, float(e.max()))
+        a, fade = np.exp(e - now), np.exp(top - now)
+        top, total, z = now, total * fade + a.sum(), z * fade + a @ h
+    if not total:
+        return float(_forward(m, np.zeros((1, WIDTH)), np.array([0]))[0][0])
+    return float(1 / (1 + np.exp(-np.clip(z / total @ m["c"] + m["c0"][0], -30, 30))))
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: float = 0.01, seed: int = 0) -> dict:
     """Weights by Adam on the logistic loss. No bags: a model that says 0.5; one class: its base rate."""
     rng = np.random.default_rng(seed)
@@ -129,12 +151,14 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: floa
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, label: str = "quality", seed: int = 1) -> dict:
-    """Fits on at most `sample` labelled rows, taken by a hash of the id: the documented bound.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, label: str = "quality", seed: int = 1, passages: int = 400) -> dict:
+    """Fits on at most `sample` labelled rows, taken by a hash of the id, and at most
+    `passages` evenly spaced passages of each (20,000 words at 400): the documented bounds.
 
     labels has doc_id and the 0/1 label; null ids and labels are left out.
     Their count bounds the broadcast of sampled ids. The passages of the
-    sample are encoded in Spark and come to the driver as numbers.
+    sample are encoded in Spark and come to the driver as numbers. Other columns
+    than doc_id and text are not read, so that none can clash.
     """
     picked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"))
     picked = picked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label").limit(sample).dropDuplicates(["doc_id"])
@@ -143,17 +167,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, label: str = "
         import pyarrow as pa
 
         for batch in batches:
-            bags = [encode(x.as_py()).astype(np.float16).tobytes() for x in batch.column(2)]
+            bags = [_thinned(x.as_py(), passages).astype(np.float16).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_pydict({"h": batch.column(0), "label": batch.column(1), "bag": pa.array(bags, pa.binary())})
 
-    rows = docs.join(F.broadcast(picked), "doc_id").select(F.xxhash64(F.lit(seed), "doc_id", text_bytes()).alias("h"), "label", text_bytes().alias("text"))
+    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(picked), "doc_id").select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), "label", "text")
     got = rows.mapInArrow(encoded, "h long, label double, bag binary").orderBy("h", "label").limit(sample).toArrow()
     bags = [np.frombuffer(x.as_py(), np.float16).reshape(-1, WIDTH).astype(np.float32) for x in got.column("bag")]
     return fit(bags, got.column("label").to_numpy())
 
 
+def _thinned(text: bytes, most: int) -> np.ndarray:
+    """At most `most` passages of a text, evenly spaced; no more blocks than that are held."""
+    total = sum(len(x) for x in encoded_pieces(text)) if len(text) > PIECE else 0
+    if total <= most:
+        x = encode(text)
+        return x if len(x) <= most else x[np.arange(most) * len(x) // most]
+    wanted, rows, at = np.arange(most) * total // most, [], 0
+    for x in encoded_pieces(text):
+        rows.append(x[wanted[(wanted >= at) & (wanted < at + len(x))] - at])
+        at += len(x)
+    return np.concatenate(rows)
+
+
 def score(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -> DataFrame:
-    """Columns `keep` plus the score (0 to 1; higher: label 1 likelier).
+    """Columns `keep` plus the score (0 to 1; higher: label 1 likelier), named `name`, with a "_" before it where keep has that.
 
     Reads whole texts; null counts as empty, and an empty text, one passage of
     zeros, gets a score too. Equal texts get equal scores. An empty table
@@ -166,9 +203,20 @@ def score(docs: DataFrame, model: dict, keep: list[str], name: str = "score") ->
 
         m = shared.value
         for batch in batches:
-            scores = [float(_forward(m, encode(x.as_py()), np.array([0]))[0][0]) for x in batch.column(batch.num_columns - 1)]
-            kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names[:-1])}
-            yield pa.RecordBatch.from_pydict(kept | {name: pa.array(scores, pa.float64())})
-
-    rows = docs.select(*keep, text_bytes().alias("text_utf8"))
-    return rows.mapInArrow(work, rows.drop("text_utf8").schema.add(name, "double"))
+            scores: list[float] = []
+            for _, texts in grouped(batch.column(batch.num_columns - 1)):
+                out = np.zeros(len(texts))
+                short = [k for k, t in enumerate(texts) if len(t) <= PIECE]
+                if short:
+                    bags = [encode(texts[k]) for k in short]
+                    out[short] = _forward(m, np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1])[0]
+                for k in set(range(len(texts))) - set(short):
+                    out[k] = score_long(m, texts[k])
+                scores += out.tolist()
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=schema.names)
+
+    kept = docs.select(*keep)
+    name, utf8 = fresh(kept, name, "text_utf8")
+    schema = kept.schema.add(name, "double")
+    return docs.select(*keep, text_bytes().alias(utf8)).mapInArrow(work, schema)
