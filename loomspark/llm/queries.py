@@ -53,7 +53,7 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.schedule(_table(spark, sf_dir, "documents"))
-    return plan.orderBy(F.col("times")[0]["finish"]).select("doc_id", "size", "source_size", "target", "taken")
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ FROM x GROUP BY conv_id
 """,
     "op7_source_mixing": rf"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
+  SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
     CAST('0x' || substr(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 k AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM s),
@@ -134,11 +134,14 @@ f AS (
 g AS (SELECT *, max(CASE WHEN lv * w <= cap THEN lv END) OVER () AS level FROM v),
 t AS (SELECT source, source_size, coalesce(least(cap, level * w), cap) AS target FROM g),
 q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 1e-6) AS whole,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place % 4096, d.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT d.rid, d.doc_id, d.size, t.source_size, t.target, coalesce('=' || t.source, '') AS lane,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place % 4096, d.place, d.rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto_doc
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, whole - before)) + greatest(0, least(size, whole - before - source_size)) AS BIGINT) AS taken FROM q
+), e AS (
+  SELECT rid, lane, size, CAST(upto_doc + k * source_size + size AS DOUBLE) / target AS finish FROM q, (VALUES (0), (1)) p(k) WHERE size > 0
+), z AS (SELECT rid, size, sum(size) OVER (ORDER BY finish, lane ROWS UNBOUNDED PRECEDING) AS upto FROM e),
+b AS (SELECT floor(1.5 * sum(size) + 1e-6) AS budget FROM d),
+x AS (SELECT rid, sum(greatest(0, least(size, budget - (upto - size)))) AS taken FROM z, b GROUP BY rid)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN x USING (rid)
 """,
 }

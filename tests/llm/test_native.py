@@ -53,12 +53,23 @@ def test_mix_targets_and_taken(spark):
     for s, size, g in zip(names, sizes, goal, strict=True):
         own = [r for r in out if r.source == s]
         assert all(r.source_size == size and abs(r.target - g) < 1e-6 and 0 <= r.taken <= 2 * r.size for r in own)
-        assert sum(r.taken for r in own) == int(g + 1e-6)
+        largest = {x: max((r.size for r in out if r.source == x), default=0) for x in names}
+        over = g * sum(largest.values()) / max(1, sum(goal))  # the budget ends that much after time 1 at most
+        assert g - largest[s] - 1 <= sum(r.taken for r in own) <= g + over + 1
+    # one document after another in the order of finish time, until the budget is used up
+    budget, want = int(1.5 * sum(sizes)), {}
+    passes = sorted((t.finish, "" if r.source is None else "=" + r.source, k, p) for k, r in enumerate(out) if r.size for p, t in enumerate(r.times))
+    for _, _, k, _ in passes:
+        want[k] = want.get(k, 0) + min(out[k].size, budget)
+        budget -= min(out[k].size, budget)
+    assert [r.taken for r in out] == [want.get(k, 0) for k in range(len(out))]
+    rows = mixing._placed(df, (3, 1, 2), 1.5, 2, 7, 16, False)
+    assert len({mixing.cut_of(rows, int(1.5 * sum(sizes)), 2, ranges, few) for ranges, few in ((4096, 10_000), (2, 1), (3, 5))}) == 1
     again = mixing.schedule(df.repartition(7)).select("doc_id", "source", "size", "taken").collect()
     assert sorted(map(str, again)) == sorted(str(r) for r in mixing.schedule(df).select("doc_id", "source", "size", "taken").collect())
     made = mixing.mix(df).collect()
-    assert sum(r.words for r in made) == sum(r.taken for r in out)
+    assert sum(r["_words"] for r in made) == sum(r.taken for r in out) and {r.words for r in made} == {1}  # docs has a column of that name
     assert [r.virtual_finish for r in made] == sorted(r.virtual_finish for r in made)
-    assert all(len(r.text.split()) == r.words for r in made)
+    assert all(len(r.text.split()) == r["_words"] for r in made)
     assert mixing.schedule(df.limit(0)).count() == 0 and mixing.schedule(df.filter("source = 'zz'")).first().taken == 0
     assert "ArrowEvalPython" not in mixing.schedule(df)._jdf.queryExecution().toString() and F is not None
