@@ -39,7 +39,7 @@ def anchors(data: bytes, span: int) -> list[tuple[int, int, int, int, int]]:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[codes] * up[:-1], out=sums[1:])
     grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
-    bits = np.uint64(max(20, n.bit_length()))
+    bits = np.uint64(31)  # a text is under 2 GB; the same split for all, so that equal strings have their anchor at the same place
     mask = (np.uint64(1) << bits) - np.uint64(1)
     least = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
     width, size = span - GRAM + 1, 1
@@ -126,31 +126,52 @@ def blind_trie(strings: list[bytes], ids: list[int], known: int) -> list[int]:
     return out
 
 
+def multikey_quicksort(table: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Order of the rows by their first SHALLOW bytes, and where in it stand rows that agree on all of these.
+
+    A group is parted in three by a pivot among its characters at the current depth, of
+    eight bytes each: less and more go on at that depth, equal ones at the next.
+    """
+    words, m = table.view(">u8"), len(table)
+    order, alike, stack = np.arange(m), [], [(0, m, 0)]
+    while stack:
+        lo, hi, depth = stack.pop()
+        if hi - lo < 2:
+            continue
+        if depth == SHALLOW // 8:
+            alike.append((lo, hi))
+            continue
+        ids = order[lo:hi]
+        if hi - lo == 2:
+            x, y = (table[k, 8 * depth : SHALLOW].tobytes() for k in ids)
+            if x > y:
+                order[lo:hi] = ids[::-1].copy()
+            elif x == y:
+                alike.append((lo, hi))
+            continue
+        char = words[ids, depth]
+        pivot = sorted(char[[0, len(char) // 2, -1]].tolist())[1]
+        less, more = char < pivot, char > pivot
+        a, b = lo + np.count_nonzero(less), hi - np.count_nonzero(more)
+        if a > lo or b < hi:
+            order[lo:hi] = np.concatenate([ids[less], ids[~(less | more)], ids[more]])
+        stack += [(lo, a, depth), (a, b, depth + 1), (b, hi, depth)]
+    return order, alike
+
+
 def deep_shallow(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted order of the strings and each one's common prefix length with the one before it.
 
-    Shallow: multikey quicksort on eight bytes at a time, all groups at once, to SHALLOW
-    bytes. Deep: a blind trie for every group that is left.
+    Shallow: multikey quicksort to SHALLOW bytes. Deep: a blind trie for every group that is left.
     """
     m = len(strings)
     width = max(SHALLOW, -(-max(map(len, strings), default=0) // 8) * 8)
     table = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(m, width)
-    words = table.view(">u8")
     lengths = np.fromiter(map(len, strings), np.int64, m)
-    order, group = np.arange(m), np.zeros(m, np.int64)
-    for k in range(SHALLOW // 8):
-        column = words[order, k].astype(np.uint64)
-        by = np.lexsort((column, group))
-        order, group, column = order[by], group[by], column[by]
-        new = np.concatenate([[False], (group[1:] != group[:-1]) | (column[1:] != column[:-1])]) if m else np.zeros(0, bool)
-        group = np.cumsum(new)
-        if m and group[-1] == m - 1:
-            break
-    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if m else np.zeros(0, np.int64)
-    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), m], strict=True):
-        if b - a > 1:
-            ids = order[a:b].tolist()
-            order[a:b] = blind_trie(strings, ids, min(SHALLOW, int(lengths[ids].min())))
+    order, alike = multikey_quicksort(table)
+    for a, b in alike:
+        ids = order[a:b].tolist()
+        order[a:b] = blind_trie(strings, ids, min(SHALLOW, int(lengths[ids].min())))
     common = np.zeros(m, np.int64)
     for a in range(1, m, 2048):  # in blocks, to bound memory
         x, y = order[a : a + 2048], order[a - 1 : min(a + 2048, m) - 1]
