@@ -3,24 +3,30 @@
 Each stage takes (spark, docs, sf_dir) and works on every row that the stage
 before it kept. Near duplicates are texts with 80 % of their five-word
 shingles in common.
+
+Nulls, empty texts, repeated rows and empty tables pass through every stage as its
+operator says; all columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspark.llm import decontam, jaccard, mixing, pii, quality
-from loomspark.llm.common import fold, stored
+from loomspark.llm.common import fold, fresh, stored
 
 #: SQL cannot express a trained classifier, alignments and discovered identifiers.
 ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject: a score of at least 0.3."""
+    """Documents that the classifier does not reject: a score of at least 0.3. Null and empty texts have a score too."""
+    (name,) = fresh(docs, "score")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold() != 0)
     model = quality.train(docs, labels)
-    return quality.score(docs, model, docs.columns, "_score").filter("_score >= 0.3").drop("_score")
+    scored = quality.score(docs, model, docs.columns, name)
+    return scored.filter(scored[name] >= 0.3).drop(name)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item, whole or edited."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.find_leaks(docs, items).filter("size(hits) = 0").select(*docs.columns)
+    (name,) = fresh(docs, "leaks")
+    return decontam.find_leaks(docs, items, name=name).filter(F.size(name) == 0).drop(name)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
