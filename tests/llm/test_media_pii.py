@@ -118,3 +118,71 @@ def test_pipeline(spark):
             docs = docs.cache()
     assert set(columns) <= set(docs.columns) and docs.count() > 0
     assert corpus_pipeline.run(spark, DIR).count() == docs.count()
+
+
+def plain_contexts(text, a, b):
+    """Patterns of a to b as tuples of strings; texts here are short, so that no context is cut."""
+    while b > a and not text[a].isalnum():
+        a += 1
+    before, after = [*re.finditer(r"[A-Za-z0-9]+", text[:a].lower())], re.search(r"[A-Za-z0-9]+", text[b:].lower())
+    out = []
+    if before:
+        out += [("L", before[-1][0]), ("G", before[-1][0], text[:a].lower()[before[-1].end() :])]
+    if len(before) > 1:
+        out.append(("T", before[-2][0], before[-1][0]))
+    return out + ([("R", after[0])] if after else [])
+
+
+def plain_bootstrap(texts, confidence=0.8, support=5):
+    from collections import Counter, defaultdict
+
+    totals, found, edges = Counter(), [], defaultdict(Counter)
+    for t in texts:
+        words = [*re.finditer(r"[A-Za-z0-9]+", t.lower())]
+        totals.update([("L", m[0]) for m in words] + [("R", m[0]) for m in words])
+        totals.update([x for m, n in zip(words, words[1:]) for x in (("G", m[0], t.lower()[m.end() : n.start()]), ("T", m[0], n[0]))])
+        base = pii.base_spans(t)
+        own = [(a, b, True) for a, _, b in base]
+        for m in re.finditer(r"(?<![A-Za-z0-9_.@%+-])[A-Za-z_-]*[0-9][A-Za-z0-9_-]*(?!@)", t):
+            token = m[0].strip("-_")
+            a = m.start() + m[0].index(token)
+            if len(token) >= 6 and sum(c.isdigit() for c in token) >= 4 and not any(x < a + len(token) and a < y for x, _, y in base):
+                own.append((a, a + len(token), False))
+        found.append(own)
+        for a, b, _ in own:
+            for p in plain_contexts(t, a, b):
+                edges[p][t[a:b]] += 1
+    seeds = {t[a:b] for t, own in zip(texts, found) for a, b, is_base in own if is_base or re.fullmatch(r"[0-9a-f]{32,}", t[a:b])}
+    weight, good = {}, {}
+    while True:
+        w = lambda x: 1.0 if x in seeds else weight.get(x, 0.0)
+        scores = {p: sum(n * w(x) for x, n in of.items()) / max(sum(of.values()), totals[p]) for p, of in edges.items() if sum(w(x) >= confidence for x in of) >= support}
+        before, good = len(good), {p: s for p, s in scores.items() if s >= confidence}
+        if len(good) == before:
+            break
+        weight = {}
+        for p, s in good.items():
+            for x in edges[p]:
+                weight[x] = 1 - (1 - weight.get(x, 0.0)) * max(1 - s, 1e-9)
+    return [{(a, b) for a, b, is_base in own if not is_base and any(p in good for p in plain_contexts(t, a, b))} for t, own in zip(texts, found)], good
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rounds_are_brute_force(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    kinds = [lambda: f"u{r.randrange(99)}@mail.com", lambda: hexes(40), lambda: f"K-{r.randrange(10**5, 10**6)}", lambda: f"SN{r.randrange(10**5, 10**7)}x"]
+    texts = []
+    for _ in range(400):
+        words = [r.choice(["alpha", "beta", "key", "serial", "of", "The"]) for _ in range(r.randrange(2, 12))]
+        k = r.randrange(5)
+        if k < 4:
+            mark = [["write to "], ['token = "', "key: "], ['token = "', "serial no ", "id #"], ["serial no ", "id #", "key "]][k]
+            words.insert(r.randrange(len(words)), r.choice(mark) + kinds[k]() + r.choice(['"', "", " now"]))
+        texts.append(" ".join(words))
+    want, good = plain_bootstrap(texts)
+    out = {x.doc_id: x.spans for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), ["doc_id"]).collect()}
+    got = [{tuple(map(int, s.split(":")[1:])) for s in out[k].split(",") if s.startswith("id:")} for k in range(len(texts))]
+    assert got == want and sum(map(len, want)) > 20 and any(p[0] in "GT" for p in good)

@@ -107,3 +107,16 @@ def test_katz_is_brute_force(spark):
     assert katz.score(df.limit(0)).count() == 0
     held = df.filter("doc_id = 16")
     assert {r.held_out for r in katz.score(held).collect()} == {crc32(b"16") % 7 == 2}
+
+
+def test_long_texts_score_as_short_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    m = quality.fit([rng.normal(size=(3, quality.WIDTH)).astype(np.float32) for _ in range(40)], rng.integers(0, 2, 40).astype(float), epochs=3)
+    text = b" ".join(b"word%d" % k for k in rng.integers(0, 500, 20_000))
+    monkeypatch.setattr(quality, "PIECE", 20_000)
+    assert abs(quality.score_long(m, text) - quality._forward(m, quality.encode(text), np.array([0]))[0][0]) < 1e-6
+    assert abs(quality.score_long(m, b" ") - quality._forward(m, quality.encode(b""), np.array([0]))[0][0]) < 1e-12
+    every = quality.encode(text)
+    for most in (7, 100):
+        assert np.array_equal(quality._thinned(text, most), every[np.arange(most) * len(every) // most])
+    assert np.array_equal(quality._thinned(text, 10_000), every)
