@@ -10,16 +10,20 @@ from .texts import REGISTRATION_ID, TAX_ID
 # Labels of a card's sections.
 SECTIONS = {
     "description": ["Краткое описание", "Описание проекта"],
-    "goals": ["Цели проекта", "Цель"],
+    "goals": ["Цель", "Цели проекта"],
     "social_significance": ["Обоснование социальной значимости"],
     "geography": ["География проекта"],
     "target_groups": ["Целевые группы"],
 }
 
 
+# Fixed value: what ends a section, after its lines.
+SECTION_END = r"(?=\n#{1,3}\s|\n\*\*[а-я]|\z)"
+
+
 def labelled(text: Column, labels: list[str]) -> Column:
     """What stands on the lines under a label, up to the next heading or bold label; null if nothing does."""
-    found = F.regexp_extract(text, r"(?isu)(?:" + "|".join(labels) + r")[:\s]*\n(.*?)(?=\n#{1,3}\s|\n\*\*[а-я]|\z)", 1)
+    found = F.regexp_extract(text, r"(?isu)(?:" + "|".join(labels) + r")[:\s]*\n(.*?)" + SECTION_END, 1)
     return F.nullif(F.trim(found), F.lit(""))
 
 

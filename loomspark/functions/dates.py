@@ -10,59 +10,71 @@ MONTHS_OF = ["января", "февраля", "марта", "апреля", "м
 MONTHS = ["январь", "февраль", "март", "апрель", "май", "июнь", "июль", "август", "сентябрь", "октябрь", "ноябрь", "декабрь"]
 
 
-def _int(col: Column) -> Column:
+ISO = "yyyy-MM-dd'T'HH:mm:ss'+03:00'"
+
+
+def _number(col: Column) -> Column:
     return F.nullif(col, F.lit("")).try_cast("int")
 
 
-def month_in(text: Column) -> Column:
-    """Number of the first month of the calendar that is named, names after a day first; null if none."""
-    out = None
-    for k, name in [*enumerate(MONTHS_OF, 1), *enumerate(MONTHS, 1)]:
-        out = F.when(text.contains(name), k) if out is None else out.when(text.contains(name), k)
-    return out
+def _month(word: Column, names: list[str]) -> Column:
+    """Number of the month that a word names; null if none."""
+    return F.nullif(F.array_position(F.array(*[F.lit(m) for m in names]), word), F.lit(0)).cast("int")
+
+
+def _minutes(clock: Column) -> Column:
+    """Minutes since midnight of a clock time such as 9.30; null where it is none."""
+    hour, minute = (_number(F.element_at(F.split(clock, "[.:]"), k)) for k in (1, 2))
+    return F.when((hour < 24) & (minute < 60), hour * 60 + minute)
 
 
 def date_text_range(text: Column, as_of: Column) -> Column:
     """struct(start, end) as ISO text in Moscow time; nulls where no date is told.
 
-    The year is that of as_of unless given; one time, or none, means an hour.
+    The text is read as words. The month is the first of the calendar that is named after a
+    day (or else alone), the day the number before it (or the first word), the year
+    that of as_of unless one is given. A word with two clock times is start and
+    end; one time, or none, means an hour.
     """
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    year = F.coalesce(_int(F.regexp_extract(t, r"(?U)\b(20\d{2})\s*год[а]?\b", 1)), _int(F.regexp_extract(t, r"\b(20\d{2})\b", 1)), F.year(as_of))
-    day = F.coalesce(_int(F.regexp_extract(t, r"(\d{1,2})\s*(?:" + "|".join(MONTHS_OF) + ")", 1)), _int(F.regexp_extract(t, r"^(\d{1,2})\s+", 1)))
-    span = r"(\d{1,2})[.:](\d{2})\s*[-–—]\s*(\d{1,2})[.:](\d{2})"
-    one = r"(?:в\s+)?(\d{1,2})[.:](\d{2})"
-    both = t.rlike(span)
-    h1 = F.coalesce(_int(F.when(both, F.regexp_extract(t, span, 1)).otherwise(F.regexp_extract(t, one, 1))), F.lit(0))
-    m1 = F.coalesce(_int(F.when(both, F.regexp_extract(t, span, 2)).otherwise(F.regexp_extract(t, one, 2))), F.lit(0))
-    h2, m2 = _int(F.regexp_extract(t, span, 3)), _int(F.regexp_extract(t, span, 4))
-    month = month_in(t)
-    start = F.try_make_timestamp_ntz(year, month, day, h1, m1, F.lit(0))
-    given = F.try_make_timestamp_ntz(year, month, day, h2, m2, F.lit(0))
-    hour = start + F.expr("interval 1 hour")
-    end = F.when(~both, hour).when((h1 == h2) & (m1 == m2), hour).otherwise(given)
-    fine = start.isNotNull() & end.isNotNull()
-    form = "yyyy-MM-dd'T'HH:mm:ss'+03:00'"
-    return F.struct(F.when(fine, F.date_format(start, form)).alias("start"), F.when(fine, F.date_format(end, form)).alias("end"))
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s*[–—-]\s*", "-")
+    plain = F.regexp_replace(plain, r"(?<=\d)(?=\p{L})|(?<=\p{L})(?=\d)", " ")
+    words = F.filter(F.split(plain, r"[^\p{L}\p{N}.:-]+"), lambda w: w != "")
+    words = F.transform(words, lambda w: F.regexp_replace(w, r"^[.:-]+|[.:-]+$", ""))
+    after = F.transform(words, lambda w: _month(w, MONTHS_OF))
+    alone = F.transform(words, lambda w: _month(w, MONTHS))
+    month = F.coalesce(F.array_min(after), F.array_min(alone))
+    at = F.array_position(F.transform(after, lambda m: m.isNotNull()), True).cast("int")
+    day = F.coalesce(_number(F.regexp_extract(F.get(words, at - 2), r"(?:^|\D)(\d{1,2})$", 1)), _number(F.regexp_extract(F.get(words, F.lit(0)), r"^(\d{1,2})$", 1)))
+    year = F.coalesce(_number(F.get(F.filter(words, lambda w: w.rlike(r"^20\d{2}$")), 0)), F.year(as_of))
+    clocks = F.split(F.get(F.filter(words, lambda w: w.rlike(r"^\d{1,2}[.:]\d{2}(-\d{1,2}[.:]\d{2})?$")), 0), "-")
+    start, last = F.when(clocks.isNull(), 0).otherwise(_minutes(F.get(clocks, 0))), _minutes(F.get(clocks, 1))
+    end = F.when(F.coalesce(F.size(clocks), F.lit(0)) < 2, start + 60).when(start == last, start + 60).otherwise(last)
+    date = F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0))
+    at_time = [F.date_format(F.when(start.isNotNull() & end.isNotNull(), date + F.make_dt_interval(mins=m)), ISO) for m in (start, end)]
+    return F.struct(at_time[0].alias("start"), at_time[1].alias("end"))
 
 
 def schedule_range(date: Column, time: Column) -> Column:
-    """struct(start, end) from a date and a time like 10.00: an hour from there."""
+    """struct(start, end) from a date and a time like 10.00: an hour from there; nulls where the two are no time."""
     start = F.try_to_timestamp(F.concat_ws(" ", date, F.replace(F.coalesce(time, F.lit("00:00")), F.lit("."), F.lit(":"))), F.lit("yyyy-MM-dd HH:mm"))
-    form = "yyyy-MM-dd'T'HH:mm:ss'+03:00'"
-    return F.struct(F.date_format(start, form).alias("start"), F.date_format(start + F.expr("interval 1 hour"), form).alias("end"))
+    return F.struct(F.date_format(start, ISO).alias("start"), F.date_format(start + F.expr("interval 1 hour"), ISO).alias("end"))
 
 
 def freshness_days(content: Column, as_of: Column) -> Column:
     """Days from the first date in the first 500 characters to as_of, not under 0; null if unknown.
 
-    Month names count in lower case only; a capital makes the date unknown.
+    A date is a day, then a month as a word or number, then perhaps a year. Month names
+    count in lower case only; a capital makes the date unknown.
     """
-    pattern = r"(?iu)(\d{1,2})[.\s]*(" + "|".join(MONTHS_OF) + r"|\d{1,2})[.\s]*(\d{4})?"
-    head = F.substring(F.coalesce(content, F.lit("")), 1, 500)
-    day, name, year = (F.regexp_extract(head, pattern, k) for k in (1, 2, 3))
-    month = _int(name)
-    for k, m in enumerate(MONTHS_OF, 1):
-        month = F.when(name == m, k).otherwise(month)
-    told = F.to_date(F.try_make_timestamp_ntz(F.coalesce(_int(year), F.year(as_of)), month, _int(day), F.lit(0), F.lit(0), F.lit(0)))
+    words = F.split(F.substring(F.coalesce(content, F.lit("")), 1, 500), r"[\s.]+")
+    names = F.array(*[F.lit(m) for m in MONTHS_OF])
+
+    def date_at(word: Column, k: Column) -> Column:
+        month = F.regexp_extract(F.get(words, k + 1), r"^(\p{L}+|\d{1,2})(?![\p{L}\p{N}])", 1)
+        fits = month.rlike(r"^\d") | F.array_contains(names, F.lower(month))
+        return F.when(word.rlike(r"(?:^|\D)\d{1,2}$") & fits, F.struct(F.regexp_extract(word, r"(\d{1,2})$", 1).alias("day"), month.alias("month"), F.regexp_extract(F.get(words, k + 2), r"^\d{4}", 0).alias("year")))
+
+    first = F.get(F.filter(F.transform(words, date_at), lambda d: d.isNotNull()), 0)
+    month = F.coalesce(_number(first["month"]), _month(first["month"], MONTHS_OF))
+    told = F.to_date(F.try_make_timestamp_ntz(F.coalesce(_number(first["year"]), F.year(as_of)), month, _number(first["day"]), F.lit(0), F.lit(0), F.lit(0)))
     return F.when(told.isNotNull(), F.greatest(F.lit(0), F.datediff(as_of, told)))

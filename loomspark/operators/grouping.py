@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.sources.shared import new_folder
+
 
 def entity_key(*keys: Column) -> Column:
     """The first key that is not blank; null if all are."""
@@ -39,12 +41,28 @@ def best_member(winner: Column, amount: Column, budget: Column, order: list[str]
 
 
 def funnel(rows: DataFrame, stages: list[tuple[str, Column]], key: str) -> DataFrame:
-    """Rows and entities that are left after each stage, in one pass over the rows."""
-    left, aggs = F.lit(True), [F.count("*").alias("total_rows"), F.count_distinct(key).alias("total_entities")]
+    """Rows and entities that are left after each stage; rows without a key are in no entity.
+
+    Rows are counted by entity first, in each task before the shuffle, so that one short row for each is left.
+    """
+    left, counts = F.lit(True), [F.count("*").alias("total_rows")]
     for name, keep in stages:
         left = left & F.coalesce(keep, F.lit(False))
-        aggs += [F.count_if(left).alias(f"{name}_rows"), F.count_distinct(F.when(left, F.col(key))).alias(f"{name}_entities")]
-    return rows.agg(*aggs)
+        counts.append(F.count_if(left).alias(f"{name}_rows"))
+    each = rows.groupBy(key).agg(*counts)
+    names = ["total", *[name for name, _ in stages]]
+    return each.agg(*[x for n in names for x in (F.coalesce(F.sum(f"{n}_rows"), F.lit(0)).alias(f"{n}_rows"), F.count_if((F.col(f"{n}_rows") > 0) & F.col(key).isNotNull()).alias(f"{n}_entities"))])
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with their place in the order, from 1, as column `name`: by ranges, each of which starts after those before it."""
+    at = new_folder(rows.sparkSession, "numbered")
+    rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).write.parquet(at)
+    stored = rows.sparkSession.read.schema(rows.schema.add("_part", "integer")).parquet(at)
+    sizes = stored.groupBy("_part").agg(F.count("*").alias("_size"))  # a row for each range
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(order))
+    return stored.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + place).drop("_part", "_start")
 
 
 def overlap(rows: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
@@ -78,7 +96,7 @@ def early_stop(rows: DataFrame, key: str, order: str, strong: Column, most: int)
 def merge_pages(pages: DataFrame, site: str, order: str, text: str, per_page: int = 15_000, budget: int = 30_000, mark: str = "\n\n---\n\n") -> DataFrame:
     """One text per site: pages in order, each cut, until the budget would be passed; the first always stays.
 
-    Only lengths go through the window; what is cut away never leaves its task.
+    Texts, cut to per_page, go through the window with their lengths; what is cut away never leaves its task.
     """
     cut = pages.withColumn("_t", F.substring(F.coalesce(F.col(text), F.lit("")), 1, per_page)).withColumn("_l", F.length("_t"))
     w = W.partitionBy(site).orderBy(order)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspark.sources.shared import new_folder
+
 
 def match_or_create(rows: DataFrame, known: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """rows plus matched id by the first key that finds one, and the action: matched or created.
@@ -53,14 +55,15 @@ def contained_pairs(a: DataFrame, a_key: str, b: DataFrame, b_key: str, q: int =
 def dictionary_match(terms: DataFrame, term: str, dictionary: DataFrame, name: str, position: str) -> DataFrame:
     """(term, match): the dictionary's equal name, else its first that is equal or contains, or is contained, but for case and marks.
 
-    Terms are matched once each. The dictionary is a closed list, whose size bounds the loop join.
+    Terms are matched once each: equal names by a join, and only the others by contained_pairs().
     """
     bare = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w\s]", ""))
     t = terms.select(F.col(term).alias("term")).filter("term is not null").distinct().withColumn("_t", bare(F.col("term")))
     d = dictionary.select(F.col(name).alias("_name"), F.col(position).alias("_pos")).withColumn("_d", bare(F.col("_name")))
-    close = (F.col("_t") != "") & (F.col("_d") != "") & (F.col("_t").contains(F.col("_d")) | F.col("_d").contains(F.col("_t")))
-    pairs = t.join(d, (F.col("term") == F.col("_name")) | close, "left")
-    return pairs.groupBy("term").agg(F.min_by("_name", F.struct((F.col("term") != F.col("_name")).alias("inexact"), "_pos")).alias("match"))
+    t = t.join(d.select(F.col("_name").alias("term"), F.col("_name").alias("equal")).distinct(), "term", "left")
+    rest = t.filter("equal is null").select("term", "_t")
+    close = contained_pairs(rest, "_t", d, "_d").join(d, "_d").groupBy("_t").agg(F.min_by("_name", "_pos").alias("close"))
+    return t.filter("equal is not null").select("term", F.col("equal").alias("match")).union(rest.join(close, "_t", "left").select("term", "close"))
 
 
 def link_consistency(owners: DataFrame, id_col: str, listed: str, links: DataFrame, link_id: str, link_key: str) -> DataFrame:
@@ -73,31 +76,35 @@ def link_consistency(owners: DataFrame, id_col: str, listed: str, links: DataFra
     return out.withColumn("verdict", verdict)
 
 
-def resolve_entities(rows: DataFrame, id_col: str, keys: list[str], rounds: int = 20) -> DataFrame:
+def resolve_entities(rows: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """(id, entity): rows that share any non-null key, or are joined by such, have one entity, the least id.
 
-    Labels spread through keys until none changes; every round is written to the cluster's checkpoint folder.
+    Labels spread through keys, and each takes its label's label, so that chains get shorter by half,
+    until none changes; every round is a table in the cluster's shared folder.
     """
     spark = rows.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-loom-"))
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        at = new_folder(spark, name)
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
     edges = None
     for k in keys:
         part = rows.filter(F.col(k).isNotNull()).select(F.col(id_col).alias("id"), F.concat(F.lit(f"{k}:"), F.col(k).cast("string")).alias("key"))
         edges = part if edges is None else edges.union(part)
-    edges = edges.distinct().checkpoint()
+    edges = kept(edges.distinct(), "edges")
     label = rows.select(F.col(id_col).alias("id"), F.col(id_col).alias("entity")).distinct()
-    for _ in range(rounds):
+    while True:
         by_key = edges.join(label, "id").groupBy("key").agg(F.min("entity").alias("low"))
         low = edges.join(by_key, "key").groupBy("id").agg(F.min("low").alias("low"))
-        new = label.join(low, "id", "left").select("id", F.least("entity", F.coalesce("low", "entity")).alias("entity"), (F.col("low") < F.col("entity")).alias("changed")).checkpoint()
-        moved = new.filter("changed").isEmpty()
-        label = new.select("id", "entity")
-        if moved:
-            return label
-    raise RuntimeError("entities did not settle")
+        new = label.join(low, "id", "left").select("id", F.least("entity", F.coalesce("low", "entity")).alias("entity"), (F.col("low") < F.col("entity")).alias("changed"))
+        new = kept(new, "labels")
+        done = new.filter("changed").isEmpty()
+        if done:
+            return new.select("id", "entity")
+        further = new.select(F.col("id").alias("entity"), F.col("entity").alias("next"))
+        label = kept(new.join(further, "entity", "left").select("id", F.coalesce("next", "entity").alias("entity")), "labels")
 
 
 def geo_pairs(points: DataFrame, centres: DataFrame, km: float) -> DataFrame:

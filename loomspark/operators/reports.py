@@ -78,3 +78,10 @@ def bucket(n_organizers: Column, n_venues: Column, n_sources: Column) -> Column:
         F.when(n_organizers == 0, "no_organizer").when(n_venues == 0, "no_venue").when(n_venues > 1, "many_venues")
         .when(n_sources == 0, "no_source").when(n_sources > 1, "many_sources").otherwise("ideal")
     )
+
+
+def approved_pages(pages: DataFrame, owner: str, order: str, url: str, is_match: Column, confidence: Column, least: float = 0.6) -> DataFrame:
+    """Per owner how many pages were verified, those approved (a match of at least `least`), in order, and whether there are any."""
+    good = F.coalesce(is_match & (confidence >= least), F.lit(False))
+    listed = F.array_sort(F.collect_list(F.when(good, F.struct(F.col(order).alias("at"), F.col(url).alias("url")))))
+    return pages.groupBy(owner).agg(F.count("*").alias("n_pages"), F.transform(listed, lambda x: x["url"]).alias("approved"), F.bool_or(good).alias("has_approved"))

@@ -11,9 +11,14 @@ _fallback: dict[str, str] = {}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in the folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
+    """A path of its own in the folder that the cluster shares (spark.checkpoint.dir).
+
+    Where that is unset, a temporary one stands in for it on a local master, as in tests; on a cluster that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _fallback:
             _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-loom-")

@@ -29,24 +29,46 @@ def sessions(rows: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes",
 
 
 def continuous_import(stream: DataFrame, spark: SparkSession, table: str, key: list[str], seq: str, checkpoint: str):
-    """Merges micro-batches into a snapshot folder with two alternating versions; a replayed batch changes nothing.
+    """Merges micro-batches into a snapshot folder, one version for each; a replayed batch changes nothing.
 
-    The pointer file is written after the snapshot, so a lost driver leaves the old version in force.
+    A version's number is added to the pointers after the version is written, and nothing is
+    ever deleted or overwritten, so that a lost driver leaves the last whole version in force.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
+        last = _last_version(spark, table)
+        if last is not None and last >= epoch:
+            return  # this batch is in the snapshot already
         old = read_snapshot(spark, table, batch.drop(seq).schema)
-        merging.upsert(old, batch, key, seq).write.mode("overwrite").parquet(f"{table}/v{epoch % 2}")
-        spark.range(1).select(F.lit(epoch).alias("epoch")).coalesce(1).write.mode("overwrite").json(f"{table}/current")
+        merging.upsert(old, batch, key, seq).write.mode("overwrite").parquet(f"{table}/v{epoch}")
+        spark.range(1).select(F.lit(epoch).cast("long").alias("epoch")).coalesce(1).write.mode("append").json(f"{table}/pointers")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def _last_version(spark: SparkSession, table: str) -> int | None:
+    """The number of the last whole version; null if nothing has been imported yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema("epoch long").json(f"{table}/pointers").agg(F.max("epoch")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return None
+
+
 def read_snapshot(spark: SparkSession, table: str, schema) -> DataFrame:
+    """The last whole version. None yet: an empty table; versions without any pointer after a first import: an error."""
     from pyspark.errors import AnalysisException
 
+    epoch = _last_version(spark, table)
+    if epoch is not None:
+        return spark.read.schema(schema).parquet(f"{table}/v{epoch}")
     try:
-        epoch = spark.read.schema("epoch long").json(f"{table}/current").first()[0]
-    except AnalysisException:  # nothing has been imported yet
+        spark.read.schema(schema).parquet(f"{table}/v[1-9]*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{table}/v{epoch % 2}")
+    raise RuntimeError(f"{table} has versions but no pointer to one")
