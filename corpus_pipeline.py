@@ -10,11 +10,13 @@ operator says; all columns are kept, whatever their names.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import decontam, jaccard, mixing, pii, quality
-from loomspark.llm.common import fold, fresh, stored
+from loomspark.llm.common import fold, fresh, settled
 
 #: SQL cannot express a trained classifier, alignments and discovered identifiers.
 ORACLE_SQL = None
@@ -64,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; each one's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, partial(stage, spark, docs, sf_dir), name)  # what a stage has stored on its way goes
     return STAGES[-1][1](spark, docs, sf_dir)
