@@ -101,10 +101,13 @@ def _maybe(n1: Column, bits1: Column, n2: Column, bits2: Column, num: int, den:
     return F.coalesce((num + den) * unlike <= (den - num) * (n1 + n2), F.lit(True))
 
 
-def _expanded(pairs: DataFrame, of: DataFrame, num: int, den: int) -> DataFrame:
+def _expanded(pairs: DataFrame, of: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of classes of pairs (g, h) of groups that have other roots and pass the filters by size and parity bits."""
+    pairs = stored(pairs.distinct(), "met")
+    wanted = pairs.select(F.col("g").alias("group")).union(pairs.select("h")).distinct()
+    # parity bits are wide: only those that are needed are moved
+    of = stored(of.select("group", "set_key", "root").join(wanted, "group").join(classes.select("set_key", "n_shingles", "bits"), "set_key"), "wanted")
     g, h = (of.select(F.col("group").alias(k), F.col("set_key").alias(f"set_{k}"), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("root").alias(f"root_{k}")) for k in "gh")
-    pairs = pairs.distinct()
     p = spread(pairs, g, ["g"], pairs.groupBy("g").agg(F.count("*").alias("n_rows")), by=["h"])
     size = den * F.least("n_g", "n_h") >= num * F.greatest("n_g", "n_h")
     p = p.join(h, "h").filter((F.col("root_g") != F.col("root_h")) & size & _maybe(F.col("n_g"), F.col("bits_g"), F.col("n_h"), F.col("bits_h"), num, den))
@@ -245,12 +248,12 @@ def _classes_and_roots(docs: DataFrame, n: int, num: int, den: int) -> tuple[Dat
     discard(spark, grouped_at)
 
     first = spots.filter((F.col("group") != F.col("hub.group")) & _close(F.col("n_shingles"), F.col("i"), F.col("hub.n_shingles"), F.col("hub.i"), num, den))
-    first = _expanded(first.select(F.col("hub.group").alias("g"), F.col("group").alias("h")), classes.withColumn("root", F.col("set_key")), num, den)
+    first = _expanded(first.select(F.col("hub.group").alias("g"), F.col("group").alias("h")), classes.withColumn("root", F.col("set_key")), classes, num, den)
     own = classes.select(F.col("set_key").alias("group"), F.col("n_shingles").alias("n_h"), F.col("bits").alias("bits_h"))
     inside = classes.filter("group <> set_key").join(own, "group").filter(_maybe(F.col("n_h"), F.col("bits_h"), F.col("n_shingles"), F.col("bits"), num, den))
     first = first.union(inside.select(F.col("group").alias("a"), F.col("set_key").alias("b")))
     links = settled(spark, lambda: _verified(stored(first.distinct(), "pairs"), classes, docs, n, num, den), "links")
-    of = classes.withColumn("root", F.col("set_key"))
+    of = classes.select("group", "set_key", F.col("set_key").alias("root"))
     # a group of several classes is like a shingle that they share
     mates = classes.filter("group <> set_key").select("group").distinct().join(classes, "group")
     mates = mates.select(F.xxhash64("group").alias("token"), F.col("set_key").alias("member"), F.lit(0).alias("i"), "n_shingles", F.lit(True).alias("lone"), (F.col("group") == F.col("set_key")).alias("done"))
@@ -269,7 +272,7 @@ def _classes_and_roots(docs: DataFrame, n: int, num: int, den: int) -> tuple[Dat
 def _merged(of: DataFrame, roots: DataFrame) -> DataFrame:
     """Classes with the root that their root has now."""
     now = of.join(roots.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    return now.select("group", "set_key", "n_shingles", "bits", "text_key", F.coalesce("top", "root").alias("root"))
+    return now.select("group", "set_key", F.coalesce("top", "root").alias("root"))
 
 
 def _still_open(members: DataFrame, of: DataFrame, turns: int) -> DataFrame:
@@ -280,8 +283,8 @@ def _still_open(members: DataFrame, of: DataFrame, turns: int) -> DataFrame:
     components has a member of another one. Of those left, about `turns` of every
     shingle have theirs, all if there are no more; by a hash, so that reruns agree.
     """
-    groups = of.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
-    single = of.select("set_key", F.col("root").alias("r0"), F.col("root").alias("r1"), "bits")
+    groups = of.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    single = of.select("set_key", F.col("root").alias("r0"), F.col("root").alias("r1"))
     now = members.select("token", "member", "i", "n_shingles", "lone", (F.col("done") | F.col("turn")).alias("done"))
     now = now.filter("not lone").join(groups.withColumnRenamed("group", "member"), "member").unionByName(now.filter("lone").join(single.withColumnRenamed("set_key", "member"), "member"))
     now = stored(now, "members")
@@ -300,6 +303,11 @@ def _round(open_: DataFrame, of: DataFrame, classes: DataFrame, docs: DataFrame,
     """Links (a, b) between components: of members whose turn it is with all members of their shingle."""
     # many members of one shingle are dealt over tasks, and those whose turn it is go to each of these
     shares = F.ceil(F.col("size") / SHARE).cast("int")
+    # the parity bits of a group are known if it is a single class
+    member = open_.select("lone", "member").distinct()
+    of_groups = member.filter("not lone").join(classes.select(F.col("group").alias("member"), "bits"), "member").groupBy("lone", "member").agg(F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
+    of_classes = member.filter("lone").join(classes.select(F.col("set_key").alias("member"), "bits"), "member")
+    open_ = stored(open_.join(of_groups.unionByName(of_classes), ["lone", "member"]), "open_bits")
     hubs = open_.filter("turn").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).alias("x")
     rest = open_.filter("not done").withColumn("share", F.pmod(F.xxhash64("member"), shares).cast("int")).alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.lone") == F.col("y.lone"))
@@ -308,7 +316,7 @@ def _round(open_: DataFrame, of: DataFrame, classes: DataFrame, docs: DataFrame,
     on &= _close(F.col("x.n_shingles"), F.col("x.i"), F.col("y.n_shingles"), F.col("y.i"), num, den) & _maybe(F.col("x.n_shingles"), F.col("x.bits"), F.col("y.n_shingles"), F.col("y.bits"), num, den)
     met = stored(hubs.join(rest, on).select(F.col("x.lone").alias("lone"), F.col("x.member").alias("g"), F.col("y.member").alias("h")).distinct(), "met")
     alone = met.filter("lone").select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
-    pairs = _expanded(met.filter("not lone").select("g", "h"), of, num, den).union(alone).distinct()
+    pairs = _expanded(met.filter("not lone").select("g", "h"), of, classes, num, den).union(alone).distinct()
     ra, rb = of.select(F.col("set_key").alias("a"), F.col("root").alias("ra")), of.select(F.col("set_key").alias("b"), F.col("root").alias("rb"))
     pairs = stored(pairs.join(ra, "a").join(rb, "b").filter("ra <> rb"), "pairs")
     found = _verified(pairs.select("a", "b"), classes, docs, n, num, den)
