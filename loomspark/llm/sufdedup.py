@@ -340,9 +340,11 @@ def _repeated_hot(rows: DataFrame, span: int) -> DataFrame:
     one = rows.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("before").alias("before"), F.max("after").alias("after"))
     strings = stored(one.mapInArrow(work, "key long, ctx binary, n long, o long, h long, g long"), "strings")
     again = strings.groupBy("key", "o", "h", "g").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
-    hit = strings.join(again, ["key", "o", "h", "g"], "left_semi").groupBy("key", "ctx").agg(F.collect_set("o").alias("o"))
-    each = F.transform("o", lambda x: F.struct(x.alias("a"), x.alias("b")))
-    return hit.select("key", "ctx", each.alias("offsets"))
+    hit = strings.join(again, ["key", "o", "h", "g"], "left_semi").groupBy("key", "ctx").agg(F.sort_array(F.collect_set("o")).alias("o"))
+    # runs of offsets: a step of 1 goes on with a run
+    first = F.filter("o", lambda x, i: F.coalesce(x - F.get("o", i - 1) != 1, F.lit(True)))
+    last = F.filter("o", lambda x, i: F.coalesce(F.get("o", i + 1) - x != 1, F.lit(True)))
+    return hit.select("key", "ctx", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("offsets"))
 
 
 def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, hot: int = 20_000) -> DataFrame:
@@ -388,7 +390,9 @@ def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, ho
     with_hot = wanted.filter("size(hot) > 0").select("text_key", F.col("hot").alias("keys"))
     if not with_hot.isEmpty():
         found = found.union(_repeated_hot(_suffixes(fetched, with_hot, span, True), span))
-    places = _suffixes(fetched, wanted, span, False).join(found, ["key", "ctx"])
+    # one column of both, so that places of one key are not dealt by the key alone
+    both = F.concat("ctx", F.col("key").cast("string").cast("binary")).alias("both")
+    places = _suffixes(fetched, wanted, span, False).select("text_key", "place", both).join(found.select(both, "offsets"), "both")
     starts = places.select("text_key", F.explode(F.transform("offsets", lambda r: F.struct((F.col("place") - r["b"]).alias("a"), (F.col("place") - r["a"] + span).alias("b")))).alias("r"))
     covers = starts.groupBy("text_key").agg(F.sort_array(F.collect_list("r")).alias("ranges"))
 
