@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, mix, powers, stored, text_bytes, text_key
+from .common import _BYTE, mix, powers, spread, stored, text_bytes, text_key
 
 GRAM, SHALLOW = 32, 64
 
@@ -361,7 +361,8 @@ def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, ho
     Texts are taken once each; only those that share an anchor's key with another
     place are fetched again. Contexts that are equal are counted before they
     meet, so a passage in many documents is one context per task, but
-    for those at its edges. Keys of over `hot` places are not brought together (_repeated_hot).
+    for those at its edges. Keys of over `hot` places are not brought together (_repeated_hot),
+    and the texts that have one are dealt over tasks (spread).
     """
     half = span // 2
     if half <= GRAM:
@@ -381,8 +382,9 @@ def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, ho
     texts = rows.groupBy("text_key").agg(F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("n_bytes").alias("n_bytes"))
     texts = stored(texts.filter(F.col("n_bytes") >= span), "texts")
     flat = texts.select("text_key", F.explode("keys").alias("key"))
-    again = flat.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", (F.col("n") > hot).alias("hot"))
-    wanted = stored(flat.join(again, "key").groupBy("text_key").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot")), "wanted")
+    again = stored(flat.groupBy("key").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "keys")
+    told = spread(flat, again.select("key", (F.col("n_rows") > hot).alias("hot")), ["key"], again, by=["text_key"], share=hot)
+    wanted = stored(told.groupBy("text_key").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot")), "wanted")
     one = W.partitionBy("text_key").orderBy(F.lit(1))
     fetched = source.select("text_key", "text").join(wanted.select("text_key"), "text_key", "left_semi")
     fetched = stored(fetched.withColumn("_i", F.row_number().over(one)).filter("_i = 1").drop("_i"), "fetched")
