@@ -12,21 +12,26 @@ component does not meet again.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_SQL, discard, fresh, grouped, settled, shingle_hashes, spread, stored, text_bytes, text_key, word_hashes, word_weights, written
+from .common import HOT_KEYS, discard, fresh, grouped, settled, shingle_hashes, spread, stored, text_bytes, text_key, word_hashes, word_weights, written
 
 
 #: Sets are also kept as the parity of their shingles in 2**BITS cells.
 BITS = 11
+#: Where places of shingles meet, in the first 2**COARSE of these, onto which the others are folded.
+COARSE = 8
 #: So many text keys of 16 bytes are broadcast at most, to move only their texts; more are joined by a shuffle.
 FEW = 50_000
 #: In each round so many times more members of a shingle have their turn; so many members of it meet in one task.
 TURNS, SHARE = 16, 20_000
+#: So many shingles are counted together to find the hot ones.
+CHUNK = 1 << 20
 
 
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -90,17 +95,70 @@ def _close(n1: Column, i1: Column, n2: Column, i2: Column, num: int, den: int) -
     return (den * least >= num * F.greatest(n1, n2)) & ((num + den) * F.least(n1 - i1, n2 - i2) >= num * (n1 + n2))
 
 
-def _maybe(n1: Column, bits1: Column, n2: Column, bits2: Column, num: int, den: int) -> Column:
+def _folded(bits: Column) -> Column:
+    """The parity in 2**COARSE cells: that of several finer cells together is the exclusive or of theirs."""
+    words = (1 << COARSE) // 64
+    return F.array(*(reduce(Column.bitwiseXOR, [bits[k] for k in range(at, (1 << BITS) // 64, words)]) for at in range(words)))
+
+
+def _maybe(n1: Column, bits1: Column, n2: Column, bits2: Column, num: int, den: int, cells: int = BITS) -> Column:
     """Whether sets of these sizes and parity bits can be similar enough.
 
     A shingle in one set only flips at most one bit, so as many shingles differ
     as bits do, at least; num / den allows (den - num) / (den + num) of n1 + n2.
     Unknown bits (null) say nothing.
     """
-    unlike = sum((F.bit_count(bits1[k].bitwiseXOR(bits2[k])) for k in range((1 << BITS) // 64)), F.lit(0))
+    unlike = sum((F.bit_count(bits1[k].bitwiseXOR(bits2[k])) for k in range((1 << cells) // 64)), F.lit(0))
     return F.coalesce((num + den) * unlike <= (den - num) * (n1 + n2), F.lit(True))
 
 
+def _hot_tokens(prefixes: DataFrame) -> DataFrame:
+    """token, n_rows of those that more than SHARE rows of prefixes(prefix) hold.
+
+    Each task counts CHUNK shingles at a time and gives those that it has met more than
+    once, so that a shingle that is not found has at most SHARE rows and one more of each chunk.
+    """
+
+    def count(batches):
+        import pyarrow as pa
+
+        def counted(parts):
+            token, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_pydict({"token": pa.array(token[n > 1], pa.int64()), "n": pa.array(n[n > 1], pa.int64())})
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
+
+    found = prefixes.select("prefix").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n_rows"))
+    return stored(found.filter(F.col("n_rows") > SHARE).orderBy(F.desc("n_rows"), "token").limit(HOT_KEYS), "hot_tokens")
+
+
+def _shared_spots(firsts: DataFrame, num: int, den: int) -> DataFrame:
+    """Places (token, group, i, n_shingles) of shingles that several groups have in their prefixes.
+
+    hub is the foremost of a shingle's places, size how many it has. All places of a shingle
+    meet by one shuffle; those of hot ones are counted first and dealt over tasks.
+    """
+    spots = firsts.select("group", "n_shingles", F.posexplode("prefix").alias("i", "token"))
+    # places beyond this can't be where two sets of any allowed sizes first meet
+    spots = spots.filter((num + den) * (F.col("n_shingles") - F.col("i")) >= num * (F.col("n_shingles") + F.ceil(num * F.col("n_shingles") / den)))
+    hot = _hot_tokens(firsts)
+    hub, size = F.min(F.struct("i", "n_shingles", "group")), F.count("*")
+    met = Window.partitionBy("token")
+    cold = spots.join(F.broadcast(hot.select("token")), "token", "left_anti").select("token", "group", "n_shingles", "i", hub.over(met).alias("hub"), size.over(met).alias("size"))
+    warm = spots.join(F.broadcast(hot.select("token")), "token", "left_semi")
+    by_token = stored(warm.groupBy("token").agg(hub.alias("hub"), size.alias("size")), "tokens")
+    warm = spread(warm, by_token, ["token"], by_token.withColumnRenamed("size", "n_rows"), by=["group"])
+    return cold.unionByName(warm).filter("size > 1")
+
+
 def _expanded(pairs: DataFrame, of: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of classes of pairs (g, h) of groups that have other roots and pass the filters by size and parity bits."""
     pairs = stored(pairs.distinct(), "met")
@@ -237,12 +295,7 @@ def _classes_and_roots(docs: DataFrame, n: int, num: int, den: int) -> tuple[Dat
     names = whole.groupBy("n_shingles", "named").agg(F.min("set_key").alias("group"), F.count("*").alias("n_rows"))
     whole, grouped_at = written(spread(whole, names.drop("n_rows"), ["n_shingles", "named"], names, by=["set_key"]).drop("named"), "groups")
     discard(spark, whole_at)
-    spots = whole.filter("group = set_key").select("group", "n_shingles", F.posexplode("prefix").alias("i", "token"))
-    # places beyond this can't be where two sets of any allowed sizes first meet
-    spots = spots.filter((num + den) * (F.col("n_shingles") - F.col("i")) >= num * (F.col("n_shingles") + F.ceil(num * F.col("n_shingles") / den)))
-    by_token = spots.groupBy("token").agg(F.min(F.struct("i", "n_shingles", "group")).alias("hub"), F.count("*").alias("n_rows"))
-    by_token = stored(by_token.filter("n_rows > 1"), "tokens")
-    spots = stored(spread(spots, by_token.withColumnRenamed("n_rows", "size"), ["token"], by_token, by=["group"]), "spots")
+    spots = stored(_shared_spots(whole.filter("group = set_key"), num, den), "spots")
     classes = stored(whole.drop("prefix"), "classes")
     del whole
     discard(spark, grouped_at)
@@ -303,19 +356,20 @@ def _round(open_: DataFrame, of: DataFrame, classes: DataFrame, docs: DataFrame,
     """Links (a, b) between components: of members whose turn it is with all members of their shingle."""
     # many members of one shingle are dealt over tasks, and those whose turn it is go to each of these
     shares = F.ceil(F.col("size") / SHARE).cast("int")
-    # the parity bits of a group are known if it is a single class
-    member = open_.select("lone", "member").distinct()
-    of_groups = member.filter("not lone").join(classes.select(F.col("group").alias("member"), "bits"), "member").groupBy("lone", "member").agg(F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
-    of_classes = member.filter("lone").join(classes.select(F.col("set_key").alias("member"), "bits"), "member")
+    # the parity bits of a group are known if it is a single class; here each place has its own, so that they are folded
+    coarse = classes.select("group", "set_key", _folded(F.col("bits")).alias("bits"))
+    member = stored(open_.select("lone", "member").distinct(), "open_members")
+    of_groups = member.filter("not lone").join(coarse.select(F.col("group").alias("member"), "bits"), "member").groupBy("lone", "member").agg(F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
+    of_classes = member.filter("lone").join(coarse.select(F.col("set_key").alias("member"), "bits"), "member")
     open_ = stored(open_.join(of_groups.unionByName(of_classes), ["lone", "member"]), "open_bits")
     hubs = open_.filter("turn").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).alias("x")
     rest = open_.filter("not done").withColumn("share", F.pmod(F.xxhash64("member"), shares).cast("int")).alias("y")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.lone") == F.col("y.lone"))
     on &= (F.col("x.member") < F.col("y.member")) | (~F.col("y.turn") & (F.col("x.member") != F.col("y.member")))
     on &= (F.col("x.r0") != F.col("y.r1")) | (F.col("x.r1") != F.col("y.r0"))
-    on &= _close(F.col("x.n_shingles"), F.col("x.i"), F.col("y.n_shingles"), F.col("y.i"), num, den) & _maybe(F.col("x.n_shingles"), F.col("x.bits"), F.col("y.n_shingles"), F.col("y.bits"), num, den)
+    on &= _close(F.col("x.n_shingles"), F.col("x.i"), F.col("y.n_shingles"), F.col("y.i"), num, den) & _maybe(F.col("x.n_shingles"), F.col("x.bits"), F.col("y.n_shingles"), F.col("y.bits"), num, den, COARSE)
     met = stored(hubs.join(rest, on).select(F.col("x.lone").alias("lone"), F.col("x.member").alias("g"), F.col("y.member").alias("h")).distinct(), "met")
-    alone = met.filter("lone").select(F.least("g", "h").alias("a"), F.greatest("g", "h").alias("b"))
+    alone = _expanded(met.filter("lone").select("g", "h"), of.withColumn("group", F.col("set_key")), classes, num, den)
     pairs = _expanded(met.filter("not lone").select("g", "h"), of, classes, num, den).union(alone).distinct()
     ra, rb = of.select(F.col("set_key").alias("a"), F.col("root").alias("ra")), of.select(F.col("set_key").alias("b"), F.col("root").alias("rb"))
     pairs = stored(pairs.join(ra, "a").join(rb, "b").filter("ra <> rb"), "pairs")
