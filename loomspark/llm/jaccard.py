@@ -26,7 +26,7 @@ from .common import HOT_KEYS, discard, fresh, grouped, settled, shingle_hashes,
 BITS = 11
 #: Where places of shingles meet, in the first 2**COARSE of these, onto which the others are folded.
 COARSE = 8
-#: So many text keys of 16 bytes are broadcast at most, to move only their texts; more are joined by a shuffle.
+#: So many text keys of 16 bytes (and ids) are broadcast at most, to move only their texts or no rows at all; more are joined by a shuffle.
 FEW = 50_000
 #: In each round so many times more members of a shingle have their turn; so many members of it meet in one task.
 TURNS, SHARE = 16, 20_000
@@ -250,6 +250,8 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     key, id_, other, times = fresh(docs, "text_key", "doc_id_", "text_key_", "times")
     found = found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(other), F.col("times").alias(times))
     rows = docs.withColumn(key, text_key())
+    if found.count() <= FEW:
+        found = F.broadcast(found)  # so that whole rows stay where they are
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(other))
     kept = rows.join(found, same, "left_anti")
     if not found.filter(F.col(times) > 0).isEmpty():

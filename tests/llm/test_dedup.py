@@ -61,6 +61,38 @@ def test_components_are_brute_force(spark, n, num, den):
     assert got == brute_components(rows, n, num, den)
 
 
+def test_hot_shingles_meet_all_their_places(spark, monkeypatch):
+    r = random.Random(5)
+    sets = [("g%d" % k, 20, [r.randrange(40) for _ in range(r.choice([1, 3, 6]))]) for k in range(50)]
+    sets = [(g, n, list(dict.fromkeys(p))) for g, n, p in sets] + [("none", 20, [])]
+    df = spark.createDataFrame(sets, "group string, n_shingles long, prefix array<long>").repartition(3)
+    at = {}
+    for g, n, p in sets:
+        for i, t in enumerate(p):
+            if 180 * (n - i) >= 80 * (n + 16):
+                at.setdefault(t, []).append((i, n, g))
+    want = sorted((t, i, n, g, min(x), len(x)) for t, x in at.items() if len(x) > 1 for i, n, g in x)
+    for share, chunk in ((20_000, 1 << 20), (3, 20), (0, 1)):
+        monkeypatch.setattr(jaccard, "SHARE", share)
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        got = jaccard._shared_spots(df, 80, 100).select("token", "i", "n_shingles", "group", "hub", "size").collect()
+        assert sorted((x.token, x.i, x.n_shingles, x.group, tuple(x.hub), x.size) for x in got) == want
+    monkeypatch.setattr(jaccard, "CHUNK", 1 << 20)
+    monkeypatch.setattr(jaccard, "SHARE", 3)
+    assert jaccard._hot_tokens(df).filter("n_rows <= 3").isEmpty() and not jaccard._hot_tokens(df).isEmpty()
+
+
+def test_folded_parity_is_that_of_coarser_cells(spark):
+    r = random.Random(6)
+    words = [r.getrandbits(64) - (1 << 63) for _ in range((1 << jaccard.BITS) // 64)]
+    df = spark.createDataFrame([(words,)], "bits array<long>")
+    n = (1 << jaccard.COARSE) // 64
+    want = [0] * n
+    for k, w in enumerate(words):
+        want[k % n] ^= w
+    assert df.select(jaccard._folded(df.bits).alias("x")).first().x == want
+
+
 def test_deduplicate_keeps_one_of_each(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string")
