@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, katz, langid, media, mixing, pii, quality, sufdedup
-from .common import fold
+from . import centroids, chat, decontam, jaccard, katz, langid, media, mixing, pii, quality, sufdedup, warc, whitening
+from .common import fold, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,27 @@ def language_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), ["vec_id"])
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    out = out.select("vec_id", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "identity_error", each)
+    return out.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def embedding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(_table(spark, sf_dir, "embeddings"))
+    sums = [F.expr(f"try_cast({c} as bigint)").alias(c) for c in ("distance", "cluster_inertia", "inertia")]
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return out.select("vec_id", "cluster", *sums, digest.alias("centroid_sha256"))
+
+
+def page_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = stored(warc.write(_table(spark, sf_dir, "pages")), "archives")
+    found = warc.resolve(stored(warc.read(archives, payload=False), "records"))
+    pages = found.filter(F.col("record_type").isin("response", "revisit"))
+    return pages.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
+
+
 QUERIES = {
     "op1_quality_mil": quality_scores,
     "op2_decontamination": benchmark_leaks,
@@ -82,8 +103,34 @@ QUERIES = {
     "op8_katz_lm": katz_scores,
     "op9_suffix_dedup": repeats_removed,
     "op10_language_id": language_ids,
+    "op11_whitening": whitened_embeddings,
+    "op12_lookup_clusters": embedding_clusters,
+    "op13_warc": page_archives,
 }
 
+
+def _clusters_sql(dims: int = 64, k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Rounds of nearest centroids, one pair of steps after another."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS c, x AS m
+  FROM (SELECT sha256('{seed}:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT {k}))""",
+    ]
+    for r in range(rounds + 1):
+        distance = f"(SELECT rid, c, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r})"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, min(d) AS d, arg_min(c, d * {k} + c) AS c FROM {distance} GROUP BY rid)")
+        if r < rounds:
+            entries = f"(SELECT a.c, unnest(range(1, {dims + 1})) AS i, unnest(x) AS e FROM a{r} a JOIN v USING (rid))"
+            moved = f"(SELECT c, list(f ORDER BY i) AS m FROM (SELECT c, i, CAST(floor(sum(e)::DOUBLE / count(*)) AS BIGINT) AS f FROM {entries} GROUP BY c, i) GROUP BY c)"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN {moved} n ON n.c = o.c)")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (rid) JOIN c{rounds} k ON k.c = a.c"""
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -143,5 +190,12 @@ q AS (
 b AS (SELECT floor(1.5 * sum(size) + 1e-6) AS budget FROM d),
 x AS (SELECT rid, sum(greatest(0, least(size, budget - (upto - size)))) AS taken FROM z, b GROUP BY rid)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN x USING (rid)
+""",
+    "op12_lookup_clusters": _clusters_sql(),
+    "op13_warc": """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to FROM f
 """,
 }
