@@ -1,4 +1,4 @@
-"""Snapshot merges: upserts, replaced sets, guarded appends, recurrence."""
+"""Snapshot merges: upserts, replaced sets, guarded appends, due rows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grouping import last_writes
+from .recurrence import occurrences, rolled
+
+__all__ = ["attach_if_none", "due_sources", "insert_missing", "occurrences", "replace_sets", "rolled", "upsert"]
 
 
 def upsert(old: DataFrame, batch: DataFrame, key: list[str], seq: str, overwrite_nulls: bool = True) -> DataFrame:
@@ -38,31 +41,6 @@ def attach_if_none(old: DataFrame, new: DataFrame, owner: str) -> DataFrame:
     return old.unionByName(new.join(old.select(owner).distinct(), owner, "left_anti").distinct())
 
 
-def occurrences(events: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
-    """(event_id, start_date) of weekly and daily rules within `days` of as_of.
-
-    events: event_id, start_date, rule, like FREQ=WEEKLY;INTERVAL=2;BYDAY=TU,TH;COUNT=20 or with UNTIL=20250301.
-    Weeks are counted from the Monday of the first; COUNT counts from the start, before the horizon
-    cuts; UNTIL is included; without BYDAY the start's weekday holds. Other rules give no rows.
-    """
-    from pyspark.sql import Window as W
-
-    parts = F.str_to_map(F.regexp_replace("rule", "^RRULE:", ""), F.lit(";"), F.lit("="))
-    rows = events.withColumn("_p", parts).withColumn("_freq", F.col("_p")["FREQ"]).filter(F.col("_freq").isin("WEEKLY", "DAILY"))
-    rows = rows.withColumn("_every", F.coalesce(F.col("_p")["INTERVAL"].try_cast("int"), F.lit(1))).withColumn("_count", F.col("_p")["COUNT"].try_cast("int")).withColumn("_until", F.to_date(F.try_to_timestamp(F.substring(F.col("_p")["UNTIL"], 1, 8), F.lit("yyyyMMdd"))))
-    names = F.array(*[F.lit(d) for d in ("MO", "TU", "WE", "TH", "FR", "SA", "SU")])
-    given = F.split(F.col("_p")["BYDAY"], ",")
-    rows = rows.withColumn("_days", F.when(F.col("_p")["BYDAY"].isNotNull(), given).otherwise(F.array(F.get(names, F.weekday("start_date")))))
-    last = F.least(F.date_add(as_of, days), F.coalesce("_until", F.date_add(as_of, days)))
-    rows = rows.filter(F.col("start_date") <= last).withColumn("day", F.explode(F.sequence("start_date", last)))
-    monday = F.date_trunc("week", "start_date").cast("date")
-    weeks = F.floor(F.datediff("day", monday) / 7)
-    weekly = (F.col("_freq") == "WEEKLY") & (weeks % F.col("_every") == 0) & F.array_contains(F.col("_days"), F.get(names, F.weekday("day")))
-    daily = (F.col("_freq") == "DAILY") & (F.datediff("day", F.col("start_date")) % F.col("_every") == 0) & (F.col("_p")["BYDAY"].isNull() | F.array_contains(F.col("_days"), F.get(names, F.weekday("day"))))
-    rows = rows.filter(weekly | daily).withColumn("_n", F.row_number().over(W.partitionBy("event_id").orderBy("day")))
-    return rows.filter((F.col("_count").isNull() | (F.col("_n") <= F.col("_count"))) & (F.col("day") >= as_of)).select("event_id", F.col("day").alias("start_date"))
-
-
 def due_sources(sources: DataFrame, as_of: Column) -> DataFrame:
     """Active sources with an owner that were never crawled or whose period has passed."""
     passed = F.col("last_crawled_at") + F.make_dt_interval(F.col("crawl_period_days")) <= as_of

@@ -74,8 +74,7 @@ def mapped_answers(t: Tables):
 
 def _stream(t: Tables):
     """events as a stream of files."""
-    at = f"{t.at}/events.parque[t]"  # a pattern: a stream takes a folder or a pattern, not a file
-    rows = t.spark.readStream.schema(t.events.schema).parquet(at)
+    rows = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.at}/events.parquet*")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

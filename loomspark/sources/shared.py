@@ -24,3 +24,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
             _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-loom-")
         at = _fallback[app]
     return f"{at.rstrip('/')}/loom/{name}-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str):
+    """A path of Hadoop's and the file system that it lies in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder; none if it is not there."""
+    at, system = _at(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(at)) if system.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder and all below it."""
+    at, system = _at(spark, path)
+    system.delete(at, True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators import merging, reports
+from loomspark.sources.snapshots import Snapshot
 from loomspark.sources.tables import RUN_LOG
 
 
@@ -28,47 +29,26 @@ def sessions(rows: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes",
     return out.select(key, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
 
 
-def continuous_import(stream: DataFrame, spark: SparkSession, table: str, key: list[str], seq: str, checkpoint: str):
-    """Merges micro-batches into a snapshot folder, one version for each; a replayed batch changes nothing.
+def continuous_import(stream: DataFrame, spark: SparkSession, table: str, key: list[str], seq: str, checkpoint: str, buckets: int = 64, keep: int | None = None):
+    """Merges micro-batches into a bucketed snapshot, one version for each; a replayed batch changes nothing.
 
-    A version's number is added to the pointers after the version is written, and nothing is
-    ever deleted or overwritten, so that a lost driver leaves the last whole version in force.
+    Only buckets that hold a key of the batch are read and written (key[0] deals rows into them). With `keep` the
+    versions before the last so many are dropped after each batch.
     """
+    store = Snapshot(spark, table, {"rows": (stream.drop(seq).schema, key[0])}, buckets)
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        last = _last_version(spark, table)
-        if last is not None and last >= epoch:
-            return  # this batch is in the snapshot already
-        old = read_snapshot(spark, table, batch.drop(seq).schema)
-        merging.upsert(old, batch, key, seq).write.mode("overwrite").parquet(f"{table}/v{epoch}")
-        spark.range(1).select(F.lit(epoch).cast("long").alias("epoch")).coalesce(1).write.mode("append").json(f"{table}/pointers")
+        batch = batch.persist()
+        try:
+            store.commit(epoch, batch.select(key[0]), lambda old: {"rows": merging.upsert(old["rows"], batch, key, seq)})
+        finally:
+            batch.unpersist()
+        if keep is not None:
+            store.drop_before(epoch - keep + 1)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def _last_version(spark: SparkSession, table: str) -> int | None:
-    """The number of the last whole version; null if nothing has been imported yet."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema("epoch long").json(f"{table}/pointers").agg(F.max("epoch")).first()[0]
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    return None
-
-
-def read_snapshot(spark: SparkSession, table: str, schema) -> DataFrame:
-    """The last whole version. None yet: an empty table; versions without any pointer after a first import: an error."""
-    from pyspark.errors import AnalysisException
-
-    epoch = _last_version(spark, table)
-    if epoch is not None:
-        return spark.read.schema(schema).parquet(f"{table}/v{epoch}")
-    try:
-        spark.read.schema(schema).parquet(f"{table}/v[1-9]*")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    raise RuntimeError(f"{table} has versions but no pointer to one")
+def read_snapshot(spark: SparkSession, table: str, schema: str, buckets: int = 64) -> DataFrame:
+    """The version of a continuous import that is in force; empty before the first."""
+    return Snapshot(spark, table, {"rows": (schema, "")}, buckets).read("rows")
