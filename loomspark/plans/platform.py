@@ -94,3 +94,175 @@ def rolling_instances(t: Tables):
     out = recurrence.rolled(first, rows, day, 90, "made_until")
     again = recurrence.rolled(out, rows, day, 90, "made_until")
     return again.select("event_id", s(F.col("start_date")).alias("start_date"), F.coalesce("added", F.lit(True)).alias("added"))
+
+
+# --- legacy migration: listings are customers, whose attributes are (id, key, value) rows
+
+_LISTINGS = r"""
+raw AS (SELECT c_custkey AS post_id, c_name, c_mktsegment, c_nationkey, c_acctbal,
+  CASE WHEN c_custkey % 11 = 0 THEN '123' WHEN c_custkey % 3 <> 0 THEN '77-' || lpad(CAST(c_custkey // 4 AS VARCHAR), 8, '0') END AS inn,
+  CASE WHEN c_custkey % 5 = 0 THEN '1' || lpad(CAST(c_custkey // 20 AS VARCHAR), 12, '0') WHEN c_custkey % 97 = 3 THEN 'none' END AS ogrn FROM customer),
+l AS (SELECT *, CASE WHEN inn = '123' THEN 'bad inn' WHEN ogrn = 'none' THEN 'bad ogrn' END AS reason, CASE WHEN inn <> '123' THEN replace(inn, '-', '') END AS tax, nullif(ogrn, 'none') AS reg FROM raw),
+g AS (SELECT * FROM l WHERE reason IS NULL)"""
+_ENTITIES = """
+k AS (SELECT post_id, 'i' || tax AS key FROM g WHERE tax IS NOT NULL UNION ALL SELECT post_id, 'o' || reg FROM g WHERE reg IS NOT NULL),
+lk AS (SELECT DISTINCT a.post_id AS u, b.post_id AS v FROM k a JOIN k b ON a.key = b.key),
+c AS (SELECT post_id AS u, post_id AS v FROM g UNION SELECT c.u, lk.v FROM c JOIN lk ON c.v = lk.u),
+ids AS (SELECT u AS post_id, md5('organization' || chr(10) || min(v)) AS organization_id FROM c GROUP BY u)"""
+_VENUES = r"""
+pl AS (SELECT post_id, CASE WHEN post_id % 4 <> 0 THEN 'ул. Мира, ' || post_id % 50 END AS address, c_mktsegment AS city, CAST(10 + c_nationkey AS INTEGER) AS region_code,
+  CASE WHEN post_id % 6 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS latitude, CASE WHEN post_id % 6 <> 0 THEN CAST(post_id % 90 AS DOUBLE) END AS longitude FROM g),
+v AS (SELECT *, md5('venue' || chr(10) || coalesce(address, '\') || chr(10) || city || chr(10) || region_code || chr(10) || coalesce(CAST(latitude AS VARCHAR), '\') || chr(10) || coalesce(CAST(longitude AS VARCHAR), '\')) AS venue_id
+  FROM pl WHERE address IS NOT NULL OR latitude IS NOT NULL)"""
+
+
+def _legacy(t: Tables):
+    """posts, meta, relations, terms and dictionaries of the legacy schema."""
+    k = F.col("c_custkey")
+    inn = F.when(k % 11 == 0, "123").when(k % 3 != 0, F.concat(F.lit("77-"), F.lpad(s(F.floor(k / 4)), 8, "0")))
+    ogrn = F.when(k % 5 == 0, F.concat(F.lit("1"), F.lpad(s(F.floor(k / 20)), 12, "0"))).when(k % 97 == 3, "none")
+    values = {
+        "hp_inn": inn, "hp_ogrn": ogrn, "hp_latitude": F.when(k % 6 != 0, s(k % 90)), "hp_longitude": F.when(k % 6 != 0, s(F.col("c_nationkey"))),
+        "hp_phone": F.concat(F.lit("8 800 "), s(k), F.lit(", None,, 8 900 "), s(k)), "hp_email": F.concat(F.lit("a"), s(k), F.lit("@b.ru, not one,None")), "hp_website": F.lit("https://x.ru/"),
+        "hp_address": F.when(k % 4 != 0, F.concat(F.lit(" ул. Мира, "), s(k % 50))), "hp_city": F.concat(F.lit("г. "), F.col("c_mktsegment")), "hp_region": F.concat(F.lit("RU-"), s(10 + F.col("c_nationkey"))),
+    }
+    meta = t.customer.select(k.alias("post_id"), F.explode(F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)])).alias("meta_key", "meta_value")).filter("meta_value is not null")
+    posts = t.customer.select(k.alias("post_id"), F.col("c_name").alias("title"), F.lit(" ").alias("content"))
+    relations = t.orders.select(F.col("o_custkey").alias("post_id"), (F.col("o_orderkey") % 60).alias("term_id"))
+    taxonomy = F.element_at(F.array(*[F.lit(x) for x in ("hp_listing_category", "hp_listing_service", "hp_listing_type", "hp_listing_ownership", "post_tag")]), (F.col("id") % 5 + 1).cast("int"))
+    terms = t.spark.range(60).select(F.col("id").alias("term_id"), taxonomy.alias("taxonomy"), s(F.floor(F.col("id") / 5) * 2 + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).alias("code"))
+    n = F.col("n_nationkey")
+    kind = F.when(n % 4 == 0, "services").when(n % 4 == 1, "thematic_categories").when(n % 4 == 2, "organization_types").otherwise("ownership_types")
+    dictionaries = t.nation.select(kind.alias("dictionary"), s(n).alias("code"), s(n + 100).alias("dictionary_id"))
+    more = t.nation.filter(n % 6 == 0).select(F.lit("specialist_profiles"), s(n), s(n + 300))
+    # codes 7 and 8 stand for what was 19 and 13
+    return posts, meta, relations, terms, dictionaries.union(more).union(t.nation.filter(n.isin(7, 8)).select(F.lit("thematic_categories"), s(n), s(n + 200)))
+
+
+def _migration(t: Tables):
+    """The tables after one migration, without the store."""
+    from loomspark.operators import migration
+
+    none = {name: t.spark.createDataFrame([], schema) for name, (schema, _) in migration.TABLES.items()}
+    return migration.migrated(none, *_legacy(t))
+
+
+@query("m12_listings", f"WITH {_LISTINGS} SELECT post_id, c_name AS title, tax AS inn, reg AS ogrn, '8 800 ' || post_id || ';8 900 ' || post_id AS phones, 'a' || post_id || '@b.ru' AS emails, reason FROM l")
+def legacy_listings(t: Tables):
+    from loomspark.operators import migration
+
+    out = migration.listings(*_legacy(t)[:2])
+    return out.select("post_id", "title", "inn", "ogrn", F.array_join("phones", ";").alias("phones"), F.array_join("emails", ";").alias("emails"), "reason")
+
+
+@query("m12_organizations", f"WITH RECURSIVE {_LISTINGS}, {_ENTITIES} SELECT organization_id, max_by(c_name, post_id) AS title, max_by(tax, post_id) FILTER (WHERE tax IS NOT NULL) AS inn, max_by(reg, post_id) FILTER (WHERE reg IS NOT NULL) AS ogrn, count(*) AS n_listings FROM ids JOIN g USING (post_id) GROUP BY 1")
+def migrated_organizations(t: Tables):
+    return _migration(t)["organizations"].select("organization_id", "title", "inn", "ogrn", "n_listings")
+
+
+@query("m12_venues", f"WITH {_LISTINGS}, {_VENUES} SELECT DISTINCT venue_id, address, city, region_code, latitude, longitude FROM v")
+def migrated_venues(t: Tables):
+    return _migration(t)["venues"]
+
+
+@query("m12_organization_venues", f"WITH RECURSIVE {_LISTINGS}, {_ENTITIES}, {_VENUES} SELECT organization_id, venue_id, venue_id = arg_min(arg_min(venue_id, post_id), min(post_id)) OVER (PARTITION BY organization_id) AS is_headquarters FROM v JOIN ids USING (post_id) GROUP BY organization_id, venue_id")
+def migrated_venue_links(t: Tables):
+    return _migration(t)["organization_venues"]
+
+
+@query("m12_organization_terms", f"""
+WITH RECURSIVE {_LISTINGS}, {_ENTITIES},
+t AS (SELECT term_id, term_id % 5 AS kind, term_id // 5 * 2 + CASE WHEN term_id % 5 = 0 THEN 1 ELSE 0 END AS code FROM (SELECT unnest(range(60)) AS term_id)),
+r AS (SELECT term_id, CASE WHEN kind = 0 AND code = 19 THEN 7 WHEN kind = 0 AND code = 13 THEN 8 ELSE code END AS code, kind FROM t),
+d AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'services' WHEN 1 THEN 'thematic_categories' WHEN 2 THEN 'organization_types' ELSE 'ownership_types' END AS dictionary, n_nationkey AS code, n_nationkey + 100 AS id FROM nation
+  UNION ALL SELECT 'specialist_profiles', n_nationkey, n_nationkey + 300 FROM nation WHERE n_nationkey % 6 = 0 UNION ALL SELECT 'thematic_categories', n_nationkey, n_nationkey + 200 FROM nation WHERE n_nationkey IN (7, 8)),
+o AS (SELECT * FROM (VALUES (0, 'thematic_categories', 1), (0, 'services', 2), (1, 'organization_types', 1), (1, 'specialist_profiles', 2), (1, 'services', 3), (2, 'organization_types', 1), (3, 'ownership_types', 1)) x(kind, dictionary, pos)),
+f AS (SELECT term_id, dictionary, id FROM r JOIN o USING (kind) JOIN d USING (dictionary, code) QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY pos) = 1)
+SELECT DISTINCT organization_id, dictionary, CAST(id AS VARCHAR) AS dictionary_id FROM orders JOIN f ON o_orderkey % 60 = term_id JOIN ids ON o_custkey = post_id""")
+def migrated_terms(t: Tables):
+    return _migration(t)["organization_terms"]
+
+
+@query("m12_provenance", f"WITH RECURSIVE {_LISTINGS}, {_ENTITIES} SELECT organization_id, post_id, 'WordPress Legacy' AS source FROM ids")
+def migrated_provenance(t: Tables):
+    from loomspark.operators import migration
+
+    at = migration.store(t.spark, new_folder(t.spark, "migration"), 4)
+    legacy = _legacy(t)
+    for epoch in (0, 1):  # the second run takes its ids from the first one's map
+        migration.migrate(at, epoch, *legacy)
+    return at.read("provenance")
+
+
+# --- duplicate merge: venues are parts, which lineitems link to suppliers
+
+_MERGE = """
+r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey // 5 END AS a, CASE WHEN p_partkey % 20 = 4 THEN p_partkey // 40 END AS b FROM part),
+x AS (SELECT id, 'a' || a AS key FROM r WHERE a IS NOT NULL UNION ALL SELECT id, 'b' || b FROM r WHERE b IS NOT NULL),
+y AS (SELECT DISTINCT p.id AS u, q.id AS v FROM x p JOIN x q ON p.key = q.key),
+z AS (SELECT id AS u, id AS v FROM r UNION SELECT z.u, y.v FROM z JOIN y ON z.v = y.u),
+m AS (SELECT u AS id, min(v) AS survivor FROM z GROUP BY u)"""
+
+
+def _venue_rows(t: Tables):
+    k = F.col("p_partkey")
+    return t.part.select(k.alias("venue_id"), F.when(k % 3 != 0, s(F.floor(k / 5))).otherwise(" ").alias("fias_id"), F.when(k % 20 == 4, s(F.floor(k / 40))).alias("address_raw"), F.when(k % 4 == 3, F.col("p_name")).alias("phone"))
+
+
+@query("m15_merged_venues", f"WITH RECURSIVE {_MERGE}, n AS (SELECT survivor, arg_min(p_name, p_partkey) AS phone FROM m JOIN part ON p_partkey = id WHERE id % 4 = 3 GROUP BY 1) SELECT m.id AS venue_id, m.survivor, coalesce(CASE WHEN p_partkey % 4 = 3 THEN p_name END, phone) AS phone, m.id <> m.survivor AS is_deleted FROM m JOIN part ON p_partkey = id LEFT JOIN n ON n.survivor = m.id")
+def merged_venues(t: Tables):
+    from loomspark.operators import duplicates
+
+    rows = _venue_rows(t)
+    out = duplicates.merged_rows(rows, "venue_id", duplicates.survivors(rows, "venue_id", ["fias_id", "address_raw"]), ["phone"], F.lit("2024-01-01"))
+    return out.select("venue_id", "survivor", "phone", F.col("deleted_at").isNotNull().alias("is_deleted"))
+
+
+@query("m15_repointed_links", f"WITH RECURSIVE {_MERGE} SELECT l_suppkey, survivor AS venue_id, bool_or(l_linenumber = 1) AS is_headquarters, count(*) AS n FROM lineitem JOIN m ON l_partkey = id GROUP BY 1, 2")
+def repointed_links(t: Tables):
+    from loomspark.operators import duplicates
+
+    mapping = duplicates.survivors(_venue_rows(t), "venue_id", ["fias_id", "address_raw"])
+    links = t.lineitem.select("l_suppkey", F.col("l_partkey").alias("venue_id"), (F.col("l_linenumber") == 1).alias("is_headquarters"))
+    return duplicates.repointed(links, "venue_id", mapping, ["l_suppkey", "venue_id"], {"is_headquarters": F.bool_or("is_headquarters"), "n": F.count("*")})
+
+
+@query("m15_surplus_sources", "SELECT event_id, event_id % 10 = 9 OR coalesce(event_id > min(event_id) FILTER (WHERE event_id % 10 <> 9) OVER (PARTITION BY user_id % 20, event_type) AND event_id % 8 <> 0, false) AS is_deleted FROM (SELECT event_id, user_id, CASE WHEN event_id % 8 <> 0 THEN event_type ELSE 'own' || event_id END AS event_type FROM events)")
+def surplus_sources(t: Tables):
+    from loomspark.operators import duplicates
+
+    k = F.col("event_id")
+    rows = t.events.select("event_id", (F.col("user_id") % 20).alias("organizer_id"), F.when(k % 8 != 0, F.col("event_type")).alias("base_url"), F.when(k % 10 == 9, F.lit("2023-01-01").cast("timestamp")).alias("deleted_at"))
+    return duplicates.surplus_deleted(rows, "event_id", ["organizer_id", "base_url"], F.lit("2024-01-01")).select("event_id", F.col("deleted_at").isNotNull().alias("is_deleted"))
+
+
+# --- purge: test customers go with their orders, their orders' lines and their events
+
+_GONE = """
+c AS (SELECT c_custkey FROM customer WHERE c_custkey % 17 = 5), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)),
+li AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 50 = 7)),
+e AS (SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM c)), u AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 50 = 7)"""
+
+
+def _purged(t: Tables):
+    from loomspark.operators import duplicates
+
+    tables = {"customer": t.customer, "orders": t.orders, "lineitem": t.lineitem, "events": t.events, "supplier": t.supplier, "nation": t.nation}
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "supplier": "s_suppkey", "nation": "n_nationkey"}
+    graph = [("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders"), ("lineitem", "l_suppkey", "supplier"), ("events", "user_id", "customer"), ("customer", "c_nationkey", "nation")]
+    roots = {"customer": t.customer.filter("c_custkey % 17 = 5").select("c_custkey"), "supplier": t.supplier.filter("s_suppkey % 50 = 7").select("s_suppkey")}
+    return duplicates.purge(tables, keys, graph, roots)
+
+
+@query("m14_purge_counts", f"""
+WITH {_GONE} SELECT 'customer' AS "table", (SELECT count(*) FROM c) AS removed, (SELECT count(*) FROM customer) - (SELECT count(*) FROM c) AS n_left
+UNION ALL SELECT 'orders', (SELECT count(*) FROM o), (SELECT count(*) FROM orders) - (SELECT count(*) FROM o) UNION ALL SELECT 'lineitem', (SELECT count(*) FROM li), (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM li)
+UNION ALL SELECT 'events', (SELECT count(*) FROM e), (SELECT count(*) FROM events) - (SELECT count(*) FROM e) UNION ALL SELECT 'supplier', (SELECT count(*) FROM u), (SELECT count(*) FROM supplier) - (SELECT count(*) FROM u)
+UNION ALL SELECT 'nation', 0, (SELECT count(*) FROM nation)""")
+def purge_counts(t: Tables):
+    return _purged(t)[1]
+
+
+@query("m14_lines_left", f"WITH {_GONE} SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o) AND l_suppkey NOT IN (SELECT s_suppkey FROM u)")
+def lines_left(t: Tables):
+    return _purged(t)[0]["lineitem"].select("l_orderkey", "l_linenumber", "l_suppkey")

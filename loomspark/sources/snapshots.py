@@ -65,8 +65,8 @@ class Snapshot:
     def bucket_of(self, column: str) -> Column:
         return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(self.buckets)).cast("int")
 
-    def commit(self, epoch: int, touched: DataFrame, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> bool:
-        """Makes version `epoch`: change() gets the rows of all buckets that hold an id of `touched` (its first column), by table, and returns what they become.
+    def commit(self, epoch: int, touched: DataFrame | None, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> bool:
+        """Makes version `epoch`: change() gets the rows of all buckets that hold an id of `touched` (its first column; null: all buckets), by table, and returns what they become.
 
         Tables that change() leaves out stay. Rows may not leave their buckets. A version that is there already, or is older
         than the last, is left alone: then the answer is False.
@@ -74,8 +74,9 @@ class Snapshot:
         last = self.last()
         if last is not None and last >= epoch:
             return False
-        ids = touched.columns[0]
-        hit = sorted(r.bucket for r in touched.select(self.bucket_of(ids).alias("bucket")).distinct().collect())
+        hit = list(range(self.buckets))
+        if touched is not None:
+            hit = sorted(r.bucket for r in touched.select(self.bucket_of(touched.columns[0]).alias("bucket")).distinct().collect())
         files = self._files(last)
         old = {t: self._read(t, [f"{self.root}/{files[t, b]}" for b in hit if (t, b) in files]) for t in self.tables}
         attempt = f"data/{epoch}-{uuid.uuid4().hex}"
