@@ -108,3 +108,18 @@ def continuous_import(t: Tables):
     rows = _stream(t).select(F.col("user_id").alias("id"), F.col("event_type").alias("name"), F.col("event_id").alias("seq"))
     jobs.continuous_import(rows, t.spark, at, ["id"], "seq", new_folder(t.spark, "snapshot-state")).trigger(availableNow=True).start().awaitTermination()
     return jobs.read_snapshot(t.spark, at, "id long, name string")
+
+
+@query("x4_run_progress", """
+WITH r AS (SELECT user_id % 40 AS run, ts FROM events), g AS (SELECT run, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 minute THEN 0 ELSE 1 END AS b FROM r WINDOW w AS (PARTITION BY run ORDER BY ts)),
+s AS (SELECT run, ts, sum(b) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g),
+c AS (SELECT run, min(ts) AS a, max(ts) AS z, count(*) AS n FROM s GROUP BY run, i HAVING max(ts) + INTERVAL 30 minute <= (SELECT max(ts) - INTERVAL 10 minute FROM events)),
+w AS (SELECT o_custkey % 50 AS run, count(DISTINCT o_orderkey) AS n_items FROM orders WHERE o_custkey % 50 <> 3 GROUP BY 1),
+d AS (SELECT c.run, a, n, n_items, sum(n) OVER o AS done, sum(epoch_us(z)::DOUBLE / 1e6::DOUBLE - epoch_us(a)::DOUBLE / 1e6::DOUBLE) OVER o AS secs FROM c LEFT JOIN w ON w.run = c.run WINDOW o AS (PARTITION BY c.run ORDER BY a ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, done / greatest(secs, 1.0::DOUBLE) * 60 AS rate, CASE WHEN n_items IS NOT NULL THEN greatest(n_items - done, 0) END AS pending FROM d)
+SELECT run, CAST(epoch_us(a) AS BIGINT) AS started, n, n_items, CAST(done AS BIGINT) AS done, CAST(pending AS BIGINT) AS pending, round_even(rate, 6) AS rate, round_even(pending / greatest(rate, 0.1::DOUBLE), 6) AS minutes_left FROM e""")
+def run_progress(t: Tables):
+    work = t.orders.filter("o_custkey % 50 <> 3").select((F.col("o_custkey") % 50).alias("run"), F.col("o_orderkey").alias("item"))
+    rows = _stream(t).select((F.col("user_id") % 40).alias("run"), "ts")
+    out = jobs.estimates(_drained(t, jobs.progress(rows, work, "run"), "progress"), "run")
+    return out.select("run", F.unix_micros("start").alias("started"), "n", "n_items", "done", "pending", F.bround("rate", 6).alias("rate"), F.bround("minutes_left", 6).alias("minutes_left"))

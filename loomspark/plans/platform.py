@@ -266,3 +266,197 @@ def purge_counts(t: Tables):
 @query("m14_lines_left", f"WITH {_GONE} SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o) AND l_suppkey NOT IN (SELECT s_suppkey FROM u)")
 def lines_left(t: Tables):
     return _purged(t)[0]["lineitem"].select("l_orderkey", "l_linenumber", "l_suppkey")
+
+
+# --- activity by region and month: regions are order priorities, members are customers
+
+
+def _activity(t: Tables):
+    """The table of periods, made month by month: the years up to 1996 at once, then the others."""
+    from loomspark.operators import activity
+
+    at = new_folder(t.spark, "activity")
+    rows = t.orders.select(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("region"), F.col("o_orderdate").cast("date").alias("day"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_custkey") * 40).alias("member"))
+    for first, last in (("1900-01", "1996-12"), ("1997-01", "2099-12"), ("1996-03", "1996-03")):
+        activity.refresh(rows, at, "region", "day", "member", first, last)
+    return activity.periods(t.spark.read.schema(activity.SCHEMA).parquet(at))
+
+
+_ACTIVITY = """
+a AS (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS region, strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey END AS member FROM orders),
+x AS (SELECT 'region' AS level, region, month AS period, member FROM a UNION ALL SELECT 'region', region, month[:4], member FROM a UNION ALL SELECT 'total', NULL, month, member FROM a UNION ALL SELECT 'total', NULL, month[:4], member FROM a),
+p AS (SELECT level, region, period, count(*) AS n, count(DISTINCT member) AS reach FROM x GROUP BY ALL)"""
+
+
+@query("a18_activity_reach", f"WITH {_ACTIVITY} SELECT * FROM p")
+def activity_reach(t: Tables):
+    return _activity(t)
+
+
+@query("a18_activity_dynamics", f"""
+WITH {_ACTIVITY}, m AS (SELECT * FROM p WHERE length(period) = 7), c AS (SELECT strftime(unnest(generate_series(min(strptime(period || '-01', '%Y-%m-%d')), max(strptime(period || '-01', '%Y-%m-%d')), INTERVAL 1 month)), '%Y-%m') AS period FROM m),
+g AS (SELECT s.level, s.region, c.period, coalesce(n, 0) AS n, coalesce(reach, 0) AS reach FROM (SELECT DISTINCT level, region FROM m) s CROSS JOIN c LEFT JOIN m ON m.level = s.level AND m.region IS NOT DISTINCT FROM s.region AND m.period = c.period)
+SELECT *, n - lag(n) OVER w AS n_change, reach - lag(reach) OVER w AS reach_change FROM g WINDOW w AS (PARTITION BY level, region ORDER BY period)""")
+def activity_dynamics(t: Tables):
+    from loomspark.operators import activity
+
+    return activity.dynamics(_activity(t))
+
+
+# --- hierarchy: regions, nations, suppliers; nations 11 and 23 are each other's parent, and nation 7's is missing
+
+_TREE = """
+n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name FROM region
+  UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 12 = 11 THEN 'n' || (34 - n_nationkey) WHEN n_nationkey = 7 THEN 'none' ELSE 'r' || n_regionkey END, n_name FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name FROM supplier)"""
+
+
+def _nodes(t: Tables):
+    k = F.col("n_nationkey")
+    parent = F.when(k % 12 == 11, F.concat(F.lit("n"), s(34 - k))).when(k == 7, "none").otherwise(F.concat(F.lit("r"), s(F.col("n_regionkey"))))
+    top = t.region.select(F.concat(F.lit("r"), s(F.col("r_regionkey"))).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+    return top.union(t.nation.select(F.concat(F.lit("n"), s(k)), parent, "n_name")).union(t.supplier.select(F.concat(F.lit("s"), s(F.col("s_suppkey"))), F.concat(F.lit("n"), s(F.col("s_nationkey"))), "s_name"))
+
+
+@query("j9_hierarchy", f"""
+WITH {_TREE}, l AS (SELECT a.id AS top, b.id, b.name FROM n a JOIN n b ON b.parent = a.id WHERE a.parent IS NULL), k AS (SELECT l.id, string_agg(n.id || '=' || n.name, ',' ORDER BY n.id) AS below FROM l JOIN n ON n.parent = l.id GROUP BY 1)
+SELECT n.id, n.name, coalesce((SELECT string_agg(l.id || '=' || l.name || '(' || coalesce(below, '') || ')', ';' ORDER BY l.id) FROM l LEFT JOIN k ON k.id = l.id WHERE l.top = n.id), '') AS children FROM n WHERE parent IS NULL""")
+def hierarchy_children(t: Tables):
+    from loomspark.operators import hierarchy
+
+    pair = lambda x: F.concat_ws("=", x["id"], x["name"])
+    text = F.transform("children", lambda x: F.concat(pair(x), F.lit("("), F.array_join(F.transform(x["children"], pair), ","), F.lit(")")))
+    return hierarchy.grouped(hierarchy.expanded(_nodes(t))).select("id", "name", F.array_join(text, ";").alias("children"))
+
+
+@query("j9_circles", f"WITH {_TREE} SELECT id, CASE WHEN id IN ('n11', 'n23') THEN 'circle' WHEN parent IN ('n11', 'n23') THEN 'below a circle' ELSE 'no parent' END AS reason FROM n WHERE id IN ('n7', 'n11', 'n23') OR parent IN ('n7', 'n11', 'n23')")
+def hierarchy_circles(t: Tables):
+    from loomspark.operators import hierarchy
+
+    return hierarchy.unreached(_nodes(t))
+
+
+@query("j9_organizations_below", f"WITH {_TREE} SELECT n.id FROM n WHERE id = 'r2' OR parent = 'r2' OR parent IN (SELECT id FROM n WHERE parent = 'r2') OR id = 'n3' OR parent = 'n3'")
+def hierarchy_below(t: Tables):
+    from loomspark.operators import hierarchy
+
+    return hierarchy.below(hierarchy.expanded(_nodes(t)), ["r2", "n3"])
+
+
+# --- nested cards: events and articles are orders, venues are suppliers
+
+
+@query("j17_organization_cards", """
+WITH v AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 20 AS id FROM orders WHERE o_orderkey % 3 = 0), h AS (SELECT o_custkey AS c, o_orderkey % 20 AS id, bool_or(o_orderstatus = 'F') AS hq FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL),
+i AS (SELECT l_orderkey, strftime(min(l_shipdate), '%Y-%m-%d') AS start FROM lineitem GROUP BY 1),
+e AS (SELECT o_custkey AS c, o_orderkey, o_orderpriority, o_orderstatus, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders WHERE o_orderstatus <> 'P'),
+a AS (SELECT o_custkey AS c, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders WHERE o_totalprice > 200000),
+k AS (SELECT c_custkey AS c, c_name, n_nationkey, n_name, r_regionkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT k.c AS id, CAST(to_json({'title': c_name, 'ownership_type': {'id': n_nationkey, 'name': n_name}, 'coverage_level': {'id': r_regionkey, 'name': r_name},
+  'services': coalesce((SELECT list({'id': p, 'name': p} ORDER BY p) FROM (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_custkey = k.c)), []),
+  'venues': coalesce((SELECT list({'id': h.id, 'address': s_name, 'fias_id': CASE WHEN h.id % 2 = 0 THEN s_address END, 'is_headquarters': hq} ORDER BY h.id) FROM h JOIN (SELECT s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_address FROM supplier) ON h.id = s_suppkey WHERE h.c = k.c), []),
+  'events': coalesce((SELECT list({'id': o_orderkey, 'title': o_orderpriority, 'attendance_mode': o_orderstatus, 'start_datetime': start} ORDER BY r) FROM e LEFT JOIN i ON l_orderkey = o_orderkey WHERE e.c = k.c AND r <= 10), []),
+  'articles': coalesce((SELECT list({'id': o_orderkey, 'title': o_orderpriority, 'slug': 'a-' || o_orderkey, 'excerpt': NULL} ORDER BY r) FROM a WHERE a.c = k.c AND r <= 5), [])}) AS VARCHAR) AS card FROM k""")
+def organization_cards(t: Tables):
+    from loomspark.operators import details
+
+    own, k = F.col("o_custkey").alias("id_"), F.col("o_orderkey")
+    orgs = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("c_custkey").alias("id_"), F.col("c_name").alias("title"), F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).alias("ownership_type"),
+        F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")).alias("coverage_level"),
+    )
+    services = t.orders.select(own, F.col("o_orderpriority").alias("id"), F.col("o_orderpriority").alias("name"))
+    links = t.orders.filter(k % 3 == 0).select(own, (k % 20).alias("venue_id"), (F.col("o_orderstatus") == "F").alias("is_headquarters"))
+    venues = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("address"), F.when(F.col("s_suppkey") % 2 == 0, s(F.col("s_nationkey"))).alias("fias_id"))
+    events = t.orders.select(own, k.alias("id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("attendance_mode"), F.when(F.col("o_orderstatus") != "P", "approved").otherwise("draft").alias("status"), F.col("o_orderdate").alias("created_at"))
+    instances = t.lineitem.select(F.col("l_orderkey").alias("event_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("start_datetime"))
+    articles = t.orders.select(own, k.alias("id"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("a-"), s(k)).alias("slug"), F.lit(None).cast("string").alias("excerpt"), F.when(F.col("o_totalprice") > 200000, "published").alias("status"), F.col("o_orderdate").alias("published_at"))
+    cards = details.organization_cards(orgs, "id_", {"services": services}, [details.venues_of(venues, links, "id_"), details.events_of(events, instances, "id_"), details.articles_of(articles, "id_")])
+    return cards.select(F.col("id_").alias("id"), F.to_json(F.struct(*[c for c in cards.columns if c != "id_"]), {"ignoreNullFields": "false"}).alias("card"))
+
+
+# --- enrichment: organisations are customers, parties are suppliers
+
+_ORGS = """
+o AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'i' || c_custkey % 400 WHEN 1 THEN ' ' END AS inn, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 THEN 'o' || c_custkey % 300 END AS ogrn, c_name AS title, CASE WHEN c_custkey % 4 = 0 THEN 'short' END AS short_title,
+  CASE c_custkey % 2 WHEN 0 THEN ['1'] ELSE [] END AS phones FROM customer),
+p AS (SELECT 'i' || s_suppkey AS inn, CASE WHEN s_suppkey % 7 <> 0 THEN 'o' || s_suppkey END AS ogrn, CASE WHEN s_suppkey % 6 <> 0 THEN ' ' || s_name || ' ' || repeat('x', 300) END AS f, CASE WHEN s_suppkey % 5 <> 0 THEN 'S' || s_suppkey END AS s, ['p' || s_suppkey] AS ph FROM supplier),
+m AS (SELECT o.*, nullif(trim(o.inn), '') AS i, p.inn AS pi, p.ogrn AS po, coalesce(trim(f), s) AS t, s, ph FROM o LEFT JOIN p ON CASE WHEN trim(o.inn) <> '' THEN p.inn = o.inn ELSE p.ogrn = o.ogrn END),
+w AS (SELECT id, 'inn' AS field, pi AS value FROM m WHERE i IS NULL AND pi IS NOT NULL UNION ALL SELECT id, 'ogrn', po FROM m WHERE ogrn IS NULL AND po IS NOT NULL),
+h AS (SELECT 'inn' AS field, i AS value, min(id) AS holder FROM m WHERE i IS NOT NULL GROUP BY 2 UNION ALL SELECT 'ogrn', ogrn, min(id) FROM m WHERE ogrn IS NOT NULL GROUP BY 2),
+c AS (SELECT w.*, coalesce(holder, nullif(min(id) OVER (PARTITION BY w.field, w.value), id)) AS holder FROM w LEFT JOIN h ON h.field = w.field AND h.value = w.value)"""
+
+
+def _enriched(t: Tables):
+    from loomspark.operators import enrichment
+
+    k, n = F.col("c_custkey"), F.col("s_suppkey")
+    none = F.array().cast("array<string>")
+    orgs = t.customer.select(
+        k.alias("id"), F.when(k % 3 == 0, F.concat(F.lit("i"), s(k % 400))).when(k % 3 == 1, " ").alias("inn"), F.when((k % 3 != 0) & (k % 5 != 0), F.concat(F.lit("o"), s(k % 300))).alias("ogrn"),
+        F.col("c_name").alias("title"), F.when(k % 4 == 0, "short").alias("short_title"), F.when(k % 2 == 0, F.array(F.lit("1"))).otherwise(none).alias("phones"), F.lit(None).cast("array<string>").alias("emails"),
+    )
+    parties = t.supplier.select(
+        F.concat(F.lit("i"), s(n)).alias("inn"), F.when(n % 7 != 0, F.concat(F.lit("o"), s(n))).alias("ogrn"), F.when(n % 6 != 0, F.concat(F.lit(" "), F.col("s_name"), F.lit(" "), F.repeat(F.lit("x"), 300))).alias("full_name"),
+        F.when(n % 5 != 0, F.concat(F.lit("S"), s(n))).alias("short_name"), F.array(F.concat(F.lit("p"), s(n))).alias("phones"), none.alias("emails"),
+    )
+    return enrichment.enriched(orgs, parties)
+
+
+@query("j12_enriched_parties", f"""
+WITH {_ORGS}, g AS (SELECT id, max(value) FILTER (WHERE field = 'inn') AS ni, max(value) FILTER (WHERE field = 'ogrn') AS no FROM c WHERE holder IS NULL GROUP BY 1)
+SELECT m.id, coalesce(ni, inn) AS inn, coalesce(no, ogrn) AS ogrn, coalesce(substr(t, 1, 255), title) AS title, coalesce(CASE WHEN s <> t THEN s END, short_title) AS short_title, array_to_string(CASE WHEN len(phones) = 0 AND ph IS NOT NULL THEN ph ELSE phones END, ',') AS phones FROM m LEFT JOIN g ON g.id = m.id""")
+def enriched_parties(t: Tables):
+    return _enriched(t)[0].select("id", "inn", "ogrn", "title", "short_title", F.array_join("phones", ",").alias("phones"))
+
+
+@query("j10_j12_conflicts", f"WITH {_ORGS} SELECT id, field, value, holder FROM c WHERE holder IS NOT NULL")
+def enrichment_conflicts(t: Tables):
+    return _enriched(t)[1]
+
+
+# --- sources are orders, organisers are customers; patches are lineitems, of which each order's last one counts
+
+_SOURCES = """
+so AS (SELECT o_orderkey AS source_id, CASE WHEN o_custkey % 13 <> 0 THEN o_custkey % 100 END AS organizer_id, 'https://x' || o_orderkey % 40 || '.ru' AS base_url, CASE WHEN o_orderkey % 3 = 0 THEN 'vk_group' ELSE 'org_website' END AS kind, o_orderstatus AS last_status,
+  o_orderkey % 10 = 9 AS deleted FROM orders WHERE o_orderkey % 4 <> 1),
+pa AS (SELECT l_orderkey AS source_id, CAST(l_orderkey AS BIGINT) * 100000 + l_partkey * 10 + l_linenumber AS seq, CASE WHEN l_linenumber % 2 = 0 THEN 'https://x' || l_partkey % 60 || '.ru' END AS url, CASE WHEN l_linenumber % 3 = 0 THEN 'S' || l_partkey % 7 END AS st FROM lineitem),
+la AS (SELECT source_id, max_by(url, seq) FILTER (WHERE url IS NOT NULL) AS url, max_by(st, seq) FILTER (WHERE st IS NOT NULL) AS st, max(seq) AS seq FROM pa GROUP BY 1),
+mo AS (SELECT la.*, so.source_id IS NOT NULL AS there, organizer_id, base_url, kind, CASE WHEN organizer_id IS NOT NULL AND url IS DISTINCT FROM base_url THEN url END AS move FROM la LEFT JOIN so ON so.source_id = la.source_id),
+li AS (SELECT organizer_id, base_url, min(source_id) AS held FROM so WHERE NOT deleted AND organizer_id IS NOT NULL GROUP BY 1, 2),
+ju AS (SELECT mo.*, CASE WHEN move IS NOT NULL THEN coalesce(held, nullif(arg_min(mo.source_id, seq) OVER (PARTITION BY mo.organizer_id, move), mo.source_id)) END AS conflicting_id FROM mo LEFT JOIN li ON li.organizer_id = mo.organizer_id AND li.base_url = move)"""
+
+
+def _patched(t: Tables):
+    from loomspark.operators import enrichment
+
+    k = F.col("o_orderkey")
+    site = lambda c: F.concat(F.lit("https://x"), s(c), F.lit(".ru"))
+    sources = t.orders.filter(k % 4 != 1).select(
+        k.alias("source_id"), F.when(F.col("o_custkey") % 13 != 0, F.col("o_custkey") % 100).alias("organizer_id"), site(k % 40).alias("base_url"), F.lit("n").alias("name"), F.when(k % 3 == 0, "vk_group").otherwise("org_website").alias("kind"),
+        F.col("o_orderstatus").alias("last_status"), F.lit(True).alias("is_active"), F.when(k % 10 == 9, F.lit("2024-01-01").cast("timestamp")).alias("deleted_at"),
+    )
+    n = F.col("l_linenumber")
+    patches = t.lineitem.select(F.col("l_orderkey").alias("source_id"), (F.col("l_orderkey").cast("long") * 100000 + F.col("l_partkey") * 10 + n).alias("seq"), F.when(n % 2 == 0, site(F.col("l_partkey") % 60)).alias("base_url"), F.when(n % 3 == 0, F.concat(F.lit("S"), s(F.col("l_partkey") % 7))).alias("last_status"))
+    orgs = sources.filter("organizer_id % 2 = 0 and kind = 'org_website' and deleted_at is null").groupBy("organizer_id").agg(F.array_sort(F.collect_set("base_url")).alias("site_urls"))
+    return enrichment.patched_sources(sources, patches, orgs)
+
+
+@query("m6_j10_patch_answers", f"WITH {_SOURCES} SELECT source_id, CASE WHEN NOT there THEN 'error' WHEN conflicting_id IS NOT NULL THEN 'conflict' ELSE 'updated' END AS status, conflicting_id FROM ju")
+def patch_answers(t: Tables):
+    return _patched(t)[2]
+
+
+@query("m6_patched_sources", f"WITH {_SOURCES} SELECT so.source_id, so.organizer_id, coalesce(ju.url, so.base_url) AS base_url, coalesce(ju.st, so.last_status) AS last_status FROM so LEFT JOIN ju ON ju.source_id = so.source_id AND ju.conflicting_id IS NULL")
+def patched_sources(t: Tables):
+    return _patched(t)[0].select("source_id", "organizer_id", "base_url", "last_status")
+
+
+@query("m6_site_urls", f"""
+WITH {_SOURCES}, og AS (SELECT organizer_id, list(DISTINCT base_url ORDER BY base_url) AS urls FROM so WHERE organizer_id % 2 = 0 AND kind = 'org_website' AND NOT deleted GROUP BY 1),
+mv AS (SELECT organizer_id, base_url, move, seq FROM ju WHERE there AND conflicting_id IS NULL AND move IS NOT NULL AND kind = 'org_website'),
+gn AS (SELECT organizer_id, list(base_url) AS gone FROM mv GROUP BY 1),
+lf AS (SELECT og.organizer_id, CASE WHEN gone IS NULL THEN urls ELSE list_filter(urls, lambda u: NOT list_contains(gone, u)) END AS kept FROM og LEFT JOIN gn ON gn.organizer_id = og.organizer_id)
+SELECT organizer_id, array_to_string(list_concat(kept, coalesce((SELECT list(move ORDER BY f) FROM (SELECT organizer_id, move, min(seq) AS f FROM mv GROUP BY 1, 2) n WHERE n.organizer_id = lf.organizer_id AND NOT list_contains(kept, move)), [])), ',') AS site_urls FROM lf""")
+def site_urls(t: Tables):
+    return _patched(t)[1].select("organizer_id", F.array_join("site_urls", ",").alias("site_urls"))

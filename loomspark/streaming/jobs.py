@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspark.operators import merging, reports
@@ -29,6 +30,30 @@ def sessions(rows: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes",
     return out.select(key, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
 
 
+def progress(rows: DataFrame, work: DataFrame, run: str, ts: str = "ts", gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Sessions of each run's results as they are complete, with the size of the run's work list: run, start, end, n, n_items.
+
+    work (run, item), which does not change meanwhile, is counted and joined with the stream. Runs without a list have no size.
+    """
+    sizes = work.select(run, "item").distinct().groupBy(run).agg(F.count("*").alias("n_items"))
+    return sessions(rows, run, ts, gap, delay).join(sizes, run, "left")
+
+
+def estimates(done: DataFrame, run: str, gap: str = "30 minutes") -> DataFrame:
+    """What progress() has given out so far, with results so far, those pending, the rate and the minutes left.
+
+    The rate is results a minute of working time so far: from each session's first to its last
+    result (the gap at its end is no work), one second at least. Minutes left are pending results by the rate, which counts as
+    a tenth a minute at least. Without a work list both are null.
+    """
+    w = W.partitionBy(run).orderBy("start").rowsBetween(W.unboundedPreceding, 0)
+    seconds = F.unix_micros(F.col("end") - F.expr(f"interval {gap}")) / 1e6 - F.unix_micros("start") / 1e6
+    rows = done.withColumns({"done": F.sum("n").over(w), "_s": F.sum(seconds).over(w)})
+    rate = F.col("done") / F.greatest(F.col("_s"), F.lit(1.0)) * 60
+    pending = F.when(F.col("n_items").isNotNull(), F.greatest(F.col("n_items") - F.col("done"), F.lit(0)))
+    return rows.withColumns({"pending": pending, "rate": rate, "minutes_left": pending / F.greatest(rate, F.lit(0.1))}).drop("_s")
+
+
 def continuous_import(stream: DataFrame, spark: SparkSession, table: str, key: list[str], seq: str, checkpoint: str, buckets: int = 64, keep: int | None = None):
     """Merges micro-batches into a bucketed snapshot, one version for each; a replayed batch changes nothing.
 
