@@ -17,8 +17,9 @@ SECTIONS = {
 }
 
 
-# Fixed value: what ends a section, after its lines.
-SECTION_END = r"(?=\n#{1,3}\s|\n\*\*[а-я]|\z)"
+# What ends a section, after its lines (Java's mark of the text's end is \z); the line that tells the site.
+SECTION_END = r"(?=\n#{1,3}\s|\n\*\*[А-Я]|\z)"
+SITE = r"(?:Веб-сайт|Сайт)[:\s]*(https?://\S+)"
 
 
 def labelled(text: Column, labels: list[str]) -> Column:
@@ -30,7 +31,7 @@ def labelled(text: Column, labels: list[str]) -> Column:
 def card(text: Column) -> Column:
     """struct of a card's sections, site, tax_id and registration_id; null where the text does not tell."""
     t = F.coalesce(text, F.lit(""))
-    site = F.rtrim(F.regexp_extract(t, r"(?iu)(?:Веб-сайт|Сайт)[:\s]*(https?://\S+)", 1), F.lit(")"))
+    site = F.rtrim(F.regexp_extract(t, "(?iu)" + SITE, 1), F.lit(")"))
     ids = [F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in (TAX_ID, REGISTRATION_ID)]
     return F.struct(*[labelled(t, v).alias(k) for k, v in SECTIONS.items()], F.nullif(site, F.lit("")).alias("site"), ids[0].alias("tax_id"), ids[1].alias("registration_id"))
 

@@ -15,7 +15,7 @@ def entity_key(*keys: Column) -> Column:
 
 
 def keep_entities(rows: DataFrame, key: str, match: Column) -> DataFrame:
-    """All rows of every entity of which any row matches: one shuffle by key, partial flags first."""
+    """All rows of every entity of which any row matches; keys are made distinct before they meet the rows, which are computed for both sides."""
     hit = rows.filter(match & F.col(key).isNotNull()).select(key).distinct()
     return rows.join(hit, key, "left_semi")
 
@@ -96,14 +96,18 @@ def early_stop(rows: DataFrame, key: str, order: str, strong: Column, most: int)
 def merge_pages(pages: DataFrame, site: str, order: str, text: str, per_page: int = 15_000, budget: int = 30_000, mark: str = "\n\n---\n\n") -> DataFrame:
     """One text per site: pages in order, each cut, until the budget would be passed; the first always stays.
 
-    Texts, cut to per_page, go through the window with their lengths; what is cut away never leaves its task.
+    Which pages stay follows from lengths alone, so that only (site, order, length) is sorted by site; texts are
+    joined afterwards, and those of pages that do not stay never leave their task. Of pages of one site and place the longest counts.
     """
-    cut = pages.withColumn("_t", F.substring(F.coalesce(F.col(text), F.lit("")), 1, per_page)).withColumn("_l", F.length("_t"))
+    cut = F.substring(F.coalesce(F.col(text), F.lit("")), 1, per_page)
     w = W.partitionBy(site).orderBy(order)
-    run = cut.withColumn("_sum", F.sum("_l").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
-    kept = run.filter((F.col("_sum") <= budget) | (F.col("_n") == 1))
-    parts = F.array_sort(F.collect_list(F.struct("_n", "_t")))
-    return kept.groupBy(site).agg(F.array_join(F.transform(parts, lambda p: p["_t"]), mark).alias("merged"), F.count("*").alias("n_pages"))
+    mark_of = F.struct(F.length(cut).alias("_l"), F.xxhash64(cut).alias("_h"))
+    run = pages.groupBy(site, order).agg(F.max(mark_of).alias("_m")).select(site, order, "_m._l", "_m._h").withColumn("_sum", F.sum("_l").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
+    kept = run.filter((F.col("_sum") <= budget) | (F.col("_n") == 1)).select(F.col(site).alias("_site"), F.col(order).alias("_order"), "_h", "_n")
+    texts = pages.select(site, order, cut.alias("_t"))
+    rows = kept.join(texts, F.col("_site").eqNullSafe(F.col(site)) & F.col("_order").eqNullSafe(F.col(order)) & (F.col("_h") == F.xxhash64("_t")))
+    parts = F.array_sort(F.collect_set(F.struct("_n", "_t")))
+    return rows.groupBy(site).agg(F.array_join(F.transform(parts, lambda p: p["_t"]), mark).alias("merged"), F.size(parts).cast("long").alias("n_pages"))
 
 
 def sample_rows(rows: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:

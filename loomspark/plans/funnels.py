@@ -103,7 +103,7 @@ def entity_union(t: Tables):
 @query("u2_reject_minus_review", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 300000")
 def difference(t: Tables):
     big = t.orders.filter("o_totalprice > 300000")
-    return big.filter("o_orderstatus = 'P'").select("o_custkey").exceptAll(big.filter("o_orderstatus = 'O'").select("o_custkey")).select("o_custkey").distinct().join(big.filter("o_orderstatus = 'O'").select("o_custkey"), "o_custkey", "left_anti")
+    return big.filter("o_orderstatus = 'P'").select("o_custkey").join(big.filter("o_orderstatus = 'O'").select("o_custkey"), "o_custkey", "left_anti").distinct()
 
 
 @query("u3_union_log", "SELECT 'organization' AS kind, s_suppkey AS id, s_name AS title, CAST(NULL AS DOUBLE) AS value FROM supplier UNION ALL SELECT 'event', event_id, event_type, value FROM events")

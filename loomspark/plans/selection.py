@@ -20,8 +20,8 @@ def s(c):
 
 CODES = ["87.30", "88.10", "88", "86.10", "93.29", "96.09", "62.01", "870.1", "8.87", "", None]
 NAMES = [
-    "ОРГАНИЗАЦИЯ ВЕТЕРАНОВ ВОЙНЫ", "Пансионат для престарелых", "Фонд ГЕРОНТОЛОГИЧЕСКИХ исследований", "Центр социального обслуживания", "АНО реабилитации инвалидов", "Школа бизнеса",
-    "Экологическая инициатива", "Клуб старшего поколения", "Старшие братья", "Уход на дому", "Уходим за горизонт", "СЕРЕБРЯНЫЙ возраст", None,
+    "СОВЕТ ВЕТЕРАНОВ района", "Дом престарелых «Заря»", "Институт ГЕРОНТОЛОГИИ", "Отдел социального обслуживания", "Мастерская реабилитации", "Лицей программистов",
+    "Общество охраны птиц", "Клуб старшего поколения", "Старшие братья", "Уход на дому", "Уходим за горизонт", "СЕРЕБРЯНЫЙ возраст", None,
 ]
 TITLES = ["Активное долголетие", "Проект 55+", "Возраст старших", "Третий  возраст", "Помощь БАБУШКАМ", "Детский хор", "Театр у дома", "Уход за садом", None]
 STATES = ["победитель конкурса", "Проект ОТОЗВАН заявителем", "на независимой экспертизе", None]
@@ -167,3 +167,37 @@ def related_articles(t: Tables):
     orgs = t.customer.select(F.col("c_custkey").alias("org"), F.lit("category").alias("kind"), F.col("c_nationkey").cast("long").alias("term")).union(t.orders.filter(k % 3 == 0).select("o_custkey", F.lit("service"), (k % 700).cast("long")))
     articles = t.part.select(p.alias("article_id"), F.explode(F.array(F.struct(F.lit("category").alias("kind"), (p % 40).cast("long").alias("term")), F.struct(F.lit("service").alias("kind"), (p % 900).cast("long").alias("term")))).alias("x"), (p % 365).alias("published_at"))
     return selection.related_articles(orgs, articles.select("article_id", "x.kind", "x.term", "published_at"))
+
+
+# --- platform pages: each page's own title, address and text between the platform's marks
+
+
+def _platform(t: Tables):
+    k, title, host = F.col("page_id"), F.regexp_extract("html", "<title>([^<]*)", 1), F.regexp_extract("url", "://([^/?#]+)", 1)
+    icons = F.concat(F.lit('<div class="icon_project_container">'), F.when(k % 2 == 0, '<i class="icon_project backcolor_tech"></i>').otherwise(""), F.when(k % 3 == 0, '<i class="x icon_project backcolor_health">!</i>').otherwise(""), F.lit("</div>"))
+    block = F.concat(F.lit("<div id='info_popup'>АНО «"), host, F.lit("». Помогаем людям<br>a"), s(k), F.lit("@b.ru<br>+7 900 "), s(k), F.lit('<br><a href="x">https://vk.com/c'), s(k), F.lit("</a><br>https://"), host, F.lit("/</div>"))
+    place = F.concat(F.lit("<p><b>Место проведения:</b><span> "), F.when(k % 4 == 0, "Онлайн, Zoom").otherwise(F.concat(F.lit("Омск, "), s(k))), F.lit(" </span></p><dl><dt>Сроки проведения</dt><dd>"), s(k % 28 + 1), F.lit(" мая</dd></dl>"))
+    link = F.when(k % 5 == 0, '<a href="https://a.timepad.ru/1">x</a>').when(k % 5 == 1, '<a href="/r"><b>Записаться</b> сейчас</a>').otherwise('<a href="/no">нет</a>')
+    html = F.concat(F.lit('<html><script>var a = "<h1>no</h1>";</script><h1 class="titlePage"> '), title, F.lit(' </h1><div class="a region">'), host, F.lit('</div><p class="data">2024</p>'), icons, F.lit('<section class="content"><nav>меню</nav><p>'), s(k), F.lit('</p><div class="region_info">нет</div><p>два</p></section>'), block, place, link)
+    return t.pages.select("page_id", F.when(k % 7 != 6, html).otherwise(F.col("url")).alias("html"))
+
+
+_PLATFORM = "SELECT page_id AS k, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages WHERE page_id % 7 <> 6"
+
+
+@query("p17_practices", f"""
+SELECT k AS page_id, title, host AS region, '2024' AS dates, array_to_string(list_filter([CASE WHEN k % 3 = 0 THEN 'Здоровый образ жизни' END, CASE WHEN k % 2 = 0 THEN 'Психология' END], lambda x: x IS NOT NULL), ',') AS categories,
+  k || chr(10) || 'два' AS description, 'АНО «' || host || '».' AS name, 'a' || k || '@b.ru' AS email, '+7 900 ' || k AS phone, 'https://vk.com/c' || k AS vk, 'https://' || host || '/' AS website FROM ({_PLATFORM})""")
+def practices(t: Tables):
+    from loomspark.sources import marked_pages
+
+    out = marked_pages.practices(_platform(t))
+    return out.select("page_id", "title", "region", "dates", F.array_join("categories", ",").alias("categories"), "description", *[f"organisation.{c}" for c in ("name", "email", "phone", "vk", "website")])
+
+
+@query("p17_event_pages", f"""
+SELECT k AS page_id, title, CASE WHEN k % 4 = 0 THEN 'Онлайн, Zoom' ELSE 'Омск, ' || k END AS location, (k % 28 + 1) || ' мая' AS date_text, CASE k % 5 WHEN 0 THEN 'https://a.timepad.ru/1' WHEN 1 THEN '/r' END AS registration_url, k % 4 = 0 AS is_online FROM ({_PLATFORM})""")
+def event_pages(t: Tables):
+    from loomspark.sources import marked_pages
+
+    return marked_pages.events(_platform(t)).select("page_id", "title", "location", "date_text", "registration_url", "is_online")

@@ -81,14 +81,16 @@ def link_rows(pages: DataFrame, html: str = "html", keep: list[str] = ("page_id"
     return pages.select(*keep, F.posexplode(hrefs).alias("place", "href"))
 
 
+# Fixed value: what parts the blocks of a feed.
+BLOCKS = r"\n---+\n|\n\n(?=\d{1,2}\s+(?:января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря))"
+
+
 def sections(pages: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Sections of a feed page: by ## or ### headings, else by rules and dated blocks of 50 characters, else the whole if over 100."""
-    from loomspark.functions.dates import MONTHS_OF
-
     t = F.coalesce(F.col(text), F.lit(""))
     by_heading = F.filter(F.split(t, r"(?m)^(?=#{2,3}[ \t]+\S)"), lambda s: s.rlike(r"^#{2,3}[ \t]+\S"))
     heads = F.transform(by_heading, lambda s: F.struct(F.regexp_extract(s, r"^#{2,3}[ \t]+([^\n]+)", 1).alias("title"), F.trim(F.regexp_replace(s, r"^[^\n]*\n?", "")).alias("content")))
-    blocks = F.filter(F.transform(F.split(t, r"(?iu)\n---+\n|\n\n(?=\d{1,2}\s+(?:" + "|".join(MONTHS_OF) + "))"), lambda s: F.trim(s)), lambda s: F.length(s) >= 50)
+    blocks = F.filter(F.transform(F.split(t, "(?iu)" + BLOCKS), lambda s: F.trim(s)), lambda s: F.length(s) >= 50)
     cut = F.transform(blocks, lambda s: F.struct(F.substring(F.trim(F.split_part(s, F.lit("\n"), F.lit(1))), 1, 120).alias("title"), s.alias("content")))
     whole = F.when(F.length(F.trim(t)) > 100, F.array(F.struct(F.lit("Запись").alias("title"), t.alias("content")))).otherwise(F.array().cast("array<struct<title:string,content:string>>"))
     picked = F.when(F.size(heads) > 0, heads).when(F.size(cut) > 0, cut).otherwise(whole)
