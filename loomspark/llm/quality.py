@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, grouped, text_bytes
+from .common import discard, fresh, grouped, text_bytes, written
 
 PASSAGE, PIECE, HIDDEN, GATE = 50, 1 << 20, 24, 12
 _CLASSES = np.full(256, 8, np.uint8)  # 8: any other mark
@@ -24,39 +24,56 @@ _CLASSES[128:] = 9  # bytes of letters beyond ASCII
 WIDTH = 100 + 8
 
 
-def _cut(text: bytes):
-    """Pieces of at most PIECE bytes, cut after white space where there is any."""
-    while len(text) > PIECE:
-        at = max(text.rfind(b" ", 1, PIECE), text.rfind(b"\n", 1, PIECE)) + 1 or PIECE
-        yield text[:at]
-        text = text[at:]
-    yield text
+def _starts(kind: np.ndarray) -> np.ndarray:
+    """Where words start in bytes of these classes, the first of which starts one unless it is blank."""
+    blank = kind < 2
+    return np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
 
 
-def encoded_pieces(text: bytes):
+def _count(text: bytes, piece: int) -> int:
+    """Words of a text, counted block by block."""
+    total, inside = 0, False
+    for at in range(0, len(text), piece):
+        kind = _CLASSES[np.frombuffer(text[at : at + piece], np.uint8)]
+        total += len(_starts(kind)) - (inside and kind[0] >= 2)
+        inside = bool(kind[-1] >= 2)
+    return total
+
+
+def encoded_pieces(text: bytes, piece: int | None = None):
     """One row of WIDTH numbers per passage of PASSAGE words, in blocks; an empty text gives none.
 
     The first 100 are shares of byte-class pairs, the others tell how varied,
     how long and how repetitive the passage's words and the document's lines are.
+    A block ends where a passage does, and what is left of it begins the next, so
+    that passages do not depend on the size of blocks. A passage longer than a block makes the block longer.
     """
+    piece = piece or PIECE
     lines = [x for x in text.split(b"\n") if x]
     unlike = 1 - len(set(lines)) / len(lines) if lines else 0.0
-    for piece in _cut(text):
-        codes, words = np.frombuffer(piece, np.uint8), piece.split()
-        count = -(-len(words) // PASSAGE)
-        if not count:
+    del lines
+    n_words, at, size = _count(text, piece), 0, piece
+    while at < len(text):
+        last = at + size >= len(text)
+        kind = _CLASSES[np.frombuffer(text[at : at + size], np.uint8)]
+        starts = _starts(kind)
+        count = -(-len(starts) // PASSAGE) if last else (len(starts) - 1) // PASSAGE
+        if not last and count < 1:
+            size *= 2
             continue
-        kind = _CLASSES[codes]
-        blank = kind < 2
-        starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-        edges = np.append(starts[::PASSAGE], len(codes))
+        if not count:
+            return
+        end = len(kind) if last else int(starts[count * PASSAGE])
+        edges = np.append(starts[: count * PASSAGE : PASSAGE], end)
         edges[0] = 0
         home = np.repeat(np.arange(count), np.diff(edges))
-        pairs = home[:-1] * 100 + kind[:-1] * 10 + kind[1:]
+        first = kind[:end] if not last else kind[:-1]  # each byte but the text's last makes a pair with the next
+        pairs = home[: len(first)] * 100 + first * 10 + kind[1 : len(first) + 1]
         shares = np.bincount(pairs, minlength=count * 100).reshape(count, 100)[:, :100]
         sizes = np.maximum(np.diff(edges), 1)
         x = np.zeros((count, WIDTH))
         x[:, :100] = np.sqrt(shares / sizes[:, None])
+        words = text[at : at + end].split()
         own = [words[k : k + PASSAGE] for k in range(0, len(words), PASSAGE)]
         n = np.array([len(w) for w in own])
         x[:, 100] = [len(set(w)) / len(w) for w in own]
@@ -66,8 +83,9 @@ def encoded_pieces(text: bytes):
         x[:, 104] = [min(max(map(len, w)) / 50, 4) for w in own]
         x[:, 105] = 1
         x[:, 106] = unlike
-        x[:, 107] = np.log1p(len(words)) / 10
+        x[:, 107] = np.log1p(n_words) / 10
         yield x.astype(np.float32)
+        at, size = at + end, piece
 
 
 def encode(text: bytes) -> np.ndarray:
@@ -151,42 +169,38 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 20, rate: floa
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, label: str = "quality", seed: int = 1, passages: int = 400) -> dict:
-    """Fits on at most `sample` labelled rows, taken by a hash of the id, and at most
-    `passages` evenly spaced passages of each (20,000 words at 400): the documented bounds.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, label: str = "quality", seed: int = 1, passages: int = 400_000) -> dict:
+    """Fits on at most `sample` labelled rows, taken by a hash of the id, and of these on as many, in order
+    of a hash of id and text, as have `passages` passages in all: the documented bounds. Rows count whole or not at all; a row that has more
+    than `passages` alone is passed over, and the next ones are tried.
 
-    labels has doc_id and the 0/1 label; null ids and labels are left out.
-    Their count bounds the broadcast of sampled ids. The passages of the
-    sample are encoded in Spark and come to the driver as numbers. Other columns
+    labels has doc_id and the 0/1 label; null ids and labels are left out, and of several labels of an id the smallest
+    counts. Their count bounds the broadcast of sampled ids. The passages of the
+    sample are encoded in Spark, kept as a table, and come to the driver as numbers. Other columns
     than doc_id and text are not read, so that none can clash.
     """
-    picked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"))
-    picked = picked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label").limit(sample).dropDuplicates(["doc_id"])
+    picked = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("double")).alias("label"))
+    picked = picked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
 
     def encoded(batches):
         import pyarrow as pa
 
         for batch in batches:
-            bags = [_thinned(x.as_py(), passages).astype(np.float16).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_pydict({"h": batch.column(0), "label": batch.column(1), "bag": pa.array(bags, pa.binary())})
+            for k in range(batch.num_rows):
+                bag = encode(batch.column(2)[k].as_py())
+                yield pa.RecordBatch.from_pydict({"h": batch.column(0).slice(k, 1), "label": batch.column(1).slice(k, 1), "n": pa.array([len(bag)], pa.int64()), "bag": pa.array([bag.astype(np.float16).tobytes()], pa.binary())})
 
     rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(picked), "doc_id").select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), "label", "text")
-    got = rows.mapInArrow(encoded, "h long, label double, bag binary").orderBy("h", "label").limit(sample).toArrow()
-    bags = [np.frombuffer(x.as_py(), np.float16).reshape(-1, WIDTH).astype(np.float32) for x in got.column("bag")]
-    return fit(bags, got.column("label").to_numpy())
-
-
-def _thinned(text: bytes, most: int) -> np.ndarray:
-    """At most `most` passages of a text, evenly spaced; no more blocks than that are held."""
-    total = sum(len(x) for x in encoded_pieces(text)) if len(text) > PIECE else 0
-    if total <= most:
-        x = encode(text)
-        return x if len(x) <= most else x[np.arange(most) * len(x) // most]
-    wanted, rows, at = np.arange(most) * total // most, [], 0
-    for x in encoded_pieces(text):
-        rows.append(x[wanted[(wanted >= at) & (wanted < at + len(x))] - at])
-        at += len(x)
-    return np.concatenate(rows)
+    bags, at = written(rows.mapInArrow(encoded, "h long, label double, n long, bag binary"), "bags")
+    left, chosen = passages, []
+    for h, n in bags.select("h", "n").orderBy("h", "n").limit(sample).collect():
+        if n <= left:
+            left -= n
+            chosen.append(h)
+    keys = docs.sparkSession.createDataFrame([(h,) for h in sorted(set(chosen))], "h long")
+    got = bags.join(F.broadcast(keys), "h", "left_semi").orderBy("h", "label").limit(len(chosen)).toArrow()
+    discard(docs.sparkSession, at)
+    return fit([np.frombuffer(x.as_py(), np.float16).reshape(-1, WIDTH).astype(np.float32) for x in got.column("bag")], got.column("label").to_numpy())
 
 
 def score(docs: DataFrame, model: dict, keep: list[str], name: str = "score") -> DataFrame:

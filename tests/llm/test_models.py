@@ -116,7 +116,61 @@ def test_long_texts_score_as_short_ones(monkeypatch):
     monkeypatch.setattr(quality, "PIECE", 20_000)
     assert abs(quality.score_long(m, text) - quality._forward(m, quality.encode(text), np.array([0]))[0][0]) < 1e-6
     assert abs(quality.score_long(m, b" ") - quality._forward(m, quality.encode(b""), np.array([0]))[0][0]) < 1e-12
-    every = quality.encode(text)
-    for most in (7, 100):
-        assert np.array_equal(quality._thinned(text, most), every[np.arange(most) * len(every) // most])
-    assert np.array_equal(quality._thinned(text, 10_000), every)
+
+
+def plain_passages(text):
+    """One row of features per passage, byte by byte and word by word."""
+    blank = b" \t\n\r\x0b\x0c"
+    starts = [i for i, c in enumerate(text) if c not in blank and (i == 0 or text[i - 1] in blank)]
+    lines = [x for x in text.split(b"\n") if x]
+    out = []
+    for k in range(0, len(starts), 50):
+        a, b = (0 if k == 0 else starts[k]), (starts[k + 50] if k + 50 < len(starts) else len(text))
+        x, words = np.zeros(quality.WIDTH), text[a:b].split()
+        for i in range(a, b):
+            if i + 1 < len(text):
+                x[int(quality._CLASSES[text[i]]) * 10 + int(quality._CLASSES[text[i + 1]])] += 1
+        x[:100] = np.sqrt(x[:100] / (b - a))
+        x[100:106] = len(set(words)) / len(words), sum(u == v for u, v in zip(words, words[1:])) / len(words), min((b - a) / len(words) / 10, 5), len(words) / 50, min(max(map(len, words)) / 50, 4), 1
+        x[106], x[107] = 1 - len(set(lines)) / len(lines), np.log1p(len(starts)) / 10
+        out.append(x)
+    return np.array(out).reshape(-1, quality.WIDTH)
+
+
+def test_passages_do_not_depend_on_blocks():
+    rng = np.random.default_rng(5)
+    texts = [b"", b" \n", b"one", b"x" * 3000 + b" y", b"\n \n".join(b"w%d" % k for k in range(149)) + b"  ", b" lead " * 120, "é ü\x1c ß ".encode() * 90]
+    texts += [b"".join(rng.choice([b"a", b"Bc", b" ", b"\n", b"9", b"!", b"  "], 4000).tolist()) for _ in range(3)]
+    for text in texts:
+        want = plain_passages(text)
+        for piece in (7, 64, 1000, 1 << 20):
+            got = np.concatenate([*quality.encoded_pieces(text, piece), np.zeros((0, quality.WIDTH))])
+            assert got.shape == want.shape and np.allclose(got, want, atol=1e-5), (text[:20], piece)
+
+
+def test_table_scores_equal_a_plain_forward_pass(spark):
+    """Scores of documents, long ones in blocks, against passages and attention written out for one document at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(40)
+    more = spark.createDataFrame([(-1, None), (-2, "word other " * 120_000)], "doc_id long, text string")
+    rng = np.random.default_rng(6)
+    m = quality.fit([rng.normal(size=(3, quality.WIDTH)).astype(np.float32) for _ in range(40)], rng.integers(0, 2, 40).astype(float), epochs=3)
+    for r in quality.score(docs.union(more), m, ["doc_id", "text"]).collect():
+        text = (r.text or "").encode()
+        x = plain_passages(text) if len(text) < 50_000 else quality.encode(text)
+        x = x if len(x) else np.zeros((1, quality.WIDTH))
+        h = [np.tanh(((v - m["mean"]) / m["std"]) @ m["W"] + m["b"]) for v in x]
+        e = np.array([sum(w * np.tanh(v @ t) / (1 + np.exp(-(v @ u))) for w, t, u in zip(m["w"], m["V"].T, m["U"].T)) for v in h])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        z = sum(w * v for w, v in zip(a, h))
+        assert abs(r.score - 1 / (1 + np.exp(-(z @ m["c"] + m["c0"][0])))) < 1e-5
+
+
+def test_training_rows_count_whole_or_not(spark, monkeypatch):
+    """The bound on passages passes rows over; it cuts none."""
+    docs = spark.createDataFrame([(k, "w%d " % k * (50 * (k % 4 + 1))) for k in range(40)] + [(99, "x " * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in [*range(40), 99]] + [(3, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append(sorted(len(b) for b in bags)))
+    quality.train(docs, labels)
+    quality.train(docs, labels, passages=30)
+    assert len(seen[0]) == 41 and seen[0][-1] == 1000 and sum(seen[1]) <= 30 and sum(seen[1]) > 26 and max(seen[1]) <= 4
