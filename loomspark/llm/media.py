@@ -111,7 +111,7 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple[bytes, ..
 
 
 def sample_table(data: bytes) -> dict:
-    """Codec, times and the byte range of every sample of the first track."""
+    """Codec, times and the byte range of every sample of the first track; the duration is the sum of the samples' where they tell it."""
     got: dict[bytes, tuple[int, int]] = {}
     tracks = 0
     for path, start, end in walk(data):
@@ -143,6 +143,13 @@ def sample_table(data: bytes) -> dict:
     if count and ((offsets < 0) | (offsets + sizes > len(data))).any():
         raise ValueError("samples outside the file")
     keys = table(b"stss", ">u4", 8)[:, 0] - 1 if b"stss" in got else np.arange(count)
+    if len(keys) and not 0 <= keys.min() <= keys.max() < count:
+        raise ValueError("key frames beyond the samples")
+    if b"stts" in got:  # how long each sample lasts, by runs; the samples' sum is what the track lasts
+        times = table(b"stts", ">u4", 8, 2)
+        if times[:, 0].sum() != count:
+            raise ValueError("sample tables disagree")
+        duration = int((times[:, 0] * times[:, 1]).sum())
     return {"codec": codec, "timescale": timescale, "duration": duration, "offsets": offsets, "sizes": sizes, "keys": keys}
 
 
@@ -200,6 +207,7 @@ def round_trip(docs: DataFrame, with_media: bool = False) -> DataFrame:
     a positive multiple of 64, so an empty text is one zero frame. The
     `feature` names codec, timescale, duration, frames, and the number and a
     digest of the key frames' byte ranges. One document is in memory at a time.
+    Repeated rows and null ids each give a row, an empty table none; columns other than doc_id and text are not read.
     with_media adds the container itself.
     """
 

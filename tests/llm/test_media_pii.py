@@ -45,6 +45,30 @@ def test_round_trip_rows(spark):
     assert all(hashlib.sha256(r.media).hexdigest() == r.media_sha256 for r in kept)
 
 
+def test_durations_tracks_and_empty_tables(spark):
+    """The time table is read, and must agree with the others; of two tracks the first counts; no rows give none."""
+    good = media.store(media.padded(b"abc" * 900))
+    at = good.index(b"stts") + 4
+    assert good[at : at + 16] == (0).to_bytes(4, "big") + (1).to_bytes(4, "big") + (43).to_bytes(4, "big") + (64).to_bytes(4, "big")
+    slower = good[: at + 12] + (100).to_bytes(4, "big") + good[at + 16 :]
+    assert media.sample_table(slower)["duration"] == 4300 and media.sample_table(good)["duration"] == 43 * 64
+    fewer = good[: at + 8] + (42).to_bytes(4, "big") + good[at + 12 :]
+    beyond = good.index(b"stss") + 12
+    far = good[:beyond] + (99).to_bytes(4, "big") + good[beyond + 4 :]
+    for bad, why in ((fewer, "disagree"), (far, "beyond")):
+        with pytest.raises(ValueError, match=why):
+            media.sample_table(bad)
+    boxes = {p: (a, b) for p, a, b in media.walk(good)}
+    a, b = boxes[b"moov", b"trak"]
+    other = good[a - 8 : b].replace(b"raw ", b"sowt")
+    start, end = boxes[(b"moov",)]
+    two = good[: start - 8] + media.box(b"moov", good[start:end], other) + good[end:]
+    shifted = {**media.sample_table(two)}
+    assert shifted["codec"] == "raw " and len(shifted["sizes"]) == 43
+    none = spark.createDataFrame([], "doc_id long, text string, media binary")
+    assert media.round_trip(none).count() == 0 and media.probe(none, keep=("doc_id",)).count() == 0
+
+
 FORMS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
