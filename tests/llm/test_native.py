@@ -73,3 +73,16 @@ def test_mix_targets_and_taken(spark):
     assert all(len(r.text.split()) == r["_words"] for r in made)
     assert mixing.schedule(df.limit(0)).count() == 0 and mixing.schedule(df.filter("source = 'zz'")).first().taken == 0
     assert "ArrowEvalPython" not in mixing.schedule(df)._jdf.queryExecution().toString() and F is not None
+
+
+def test_no_python_in_the_plans(spark):
+    """Neither operator's physical plan has a node that runs Python: none of Spark's has a name without one of these words."""
+    docs = spark.createDataFrame([(1, "a b", "s"), (2, None, None)], "doc_id long, text string, source string")
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string")
+    made = [chat.format_chats(turns), chat.digests(chat.format_chats(turns)), chat.read_chats(chat.format_chats(turns)), mixing.schedule(docs), mixing.mix(docs)]
+    words = ("Python", "Arrow", "Pandas", "ExternalRDD")
+    for df in made:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(w in plan for w in words), plan
+    seen = made[0].mapInArrow(lambda b: b, made[0].schema)._jdf.queryExecution().executedPlan().toString()
+    assert any(w in seen for w in words)  # such a node would be seen
