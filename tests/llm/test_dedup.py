@@ -161,8 +161,8 @@ def test_alignment_is_smith_waterman():
     assert decontam.align(items, windows).tolist() == want
 
 
-@pytest.mark.parametrize("block_words", [400_000, 60])
-def test_leaks(spark, block_words):
+@pytest.mark.parametrize("block", [1024, 50])
+def test_leaks(spark, block):
     r = random.Random(1)
     vocab = [f"v{k}" for k in range(400)] + ["the", "of", "and"] * 20
     text = lambda n: [r.choice(vocab) for _ in range(n)]
@@ -181,7 +181,7 @@ def test_leaks(spark, block_words):
     rows += [(300, None, "x"), (301, "", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, hits string").repartition(3)
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(50, None), (51, "the of"), (52, "")], "item_id long, text string")
-    out = decontam.find_leaks(docs, bench, block_words=block_words).collect()
+    out = decontam.find_leaks(docs, bench, block=block).collect()
     assert len(out) == len(rows)
     assert {(r.doc_id, h.item_id) for r in out for h in r.hits} == planted
     assert all(h.score >= 0.5 for r in out for h in r.hits)
