@@ -11,6 +11,7 @@ of neighbours then tell which strings around the anchors are equal.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -299,52 +300,36 @@ def _repeated(rows: DataFrame, span: int, batch_size: int = 4096) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, out_type)
 
 
-def _repeated_hot(rows: DataFrame, span: int) -> DataFrame:
+def _repeated_hot(rows: DataFrame, span: int, hot: int) -> DataFrame:
     """As _repeated(), for keys of so many contexts that these must not meet in one task.
 
-    Each string around an anchor is a row of its key, offset and two 64-bit hashes; rows are
-    counted by shuffles with sums before them, and looked up by a join whose
-    tasks stream, so no task holds more than a batch.
+    A radix step of the sort in Spark: the strings at offsets a to b around an anchor all hold the a bytes
+    before it and the span - b bytes after it, so a key is parted by these bytes. The range of
+    offsets is halved, which fixes ever more bytes, until a part has at most `hot` contexts and is sorted like
+    any key. At one offset a part's strings are equal, and nothing is left to sort. Parts of one
+    context that occurs once go. Hot parts are dealt over tasks where they meet their counts.
     """
-
-    def work(batches):
-        import pyarrow as pa
-
-        up, down = powers(2 * span + 1)
-        names = ["key", "ctx", "n", "o", "h", "g"]
-
-        def batch_of(rows):
-            sizes = [len(r[3]) for r in rows]
-            columns = [pa.array(np.repeat([r[0] for r in rows], sizes), pa.int64()), pa.array([r[1] for r in rows for _ in r[3]], pa.binary()), pa.array(np.repeat([r[2] for r in rows], sizes), pa.int64())]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.concatenate([r[i] for r in rows]), pa.int64()) for i in (3, 4, 5))], names=names)
-
-        for batch in batches:
-            rows = []
-            for key, ctx, n, lo, hi, before, after in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                data = np.frombuffer(before[::-1] + after, np.uint8)
-                o = np.arange(lo, hi + 1)
-                start = len(before) - o
-                hashes = []
-                for codes in (_BYTE[data], mix(_BYTE[data])):
-                    sums = np.zeros(len(data) + 1, np.uint64)
-                    np.cumsum(codes * up[: len(data)], out=sums[1:])
-                    hashes.append(mix((sums[start + span] - sums[start]) * down[start]).view(np.int64))
-                rows.append((key, ctx, n, o, *hashes))
-                if len(rows) == 100:
-                    yield batch_of(rows)
-                    rows = []
-            if rows:
-                yield batch_of(rows)
-
-    # Equal contexts of several tasks are one, with all their counts.
+    half = span // 2
+    # Equal contexts of several tasks are one, with all their counts; the key is carried behind the context's hash.
     one = rows.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.max("before").alias("before"), F.max("after").alias("after"))
-    strings = stored(one.mapInArrow(work, "key long, ctx binary, n long, o long, h long, g long"), "strings")
-    again = strings.groupBy("key", "o", "h", "g").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
-    hit = strings.join(again, ["key", "o", "h", "g"], "left_semi").groupBy("key", "ctx").agg(F.sort_array(F.collect_set("o")).alias("o"))
-    # runs of offsets: a step of 1 goes on with a run
-    first = F.filter("o", lambda x, i: F.coalesce(x - F.get("o", i - 1) != 1, F.lit(True)))
-    last = F.filter("o", lambda x, i: F.coalesce(F.get("o", i + 1) - x != 1, F.lit(True)))
-    return hit.select("key", "ctx", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("offsets"))
+    one = one.withColumn("ctx", F.concat("ctx", F.col("key").cast("string").cast("binary")))
+    left = stored(one.withColumn("a", F.when(F.col("lo") < half, 0).otherwise(half)).withColumn("b", F.when(F.col("lo") < half, half - 1).otherwise(span - 1)), "contexts")
+    found = []
+    while not left.isEmpty():
+        middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b")))
+        parts = left.withColumn("r", F.explode(halves)).withColumn("a", F.col("r.a")).withColumn("b", F.col("r.b")).filter("a <= b and lo <= b and hi >= a")
+        same = F.concat(F.concat_ws("|", "key", "a", "b", F.lit("")).cast("binary"), F.expr("substring(before, 1, a)"), F.expr(f"substring(after, 1, {span} - b)"))
+        parts = stored(parts.withColumn("part", F.unhex(F.md5(same))).drop("r"), "radix")
+        counts = stored(parts.groupBy("part").agg(F.count("*").alias("n_rows"), F.sum("n").alias("total")).filter("total > 1"), "part_sizes")
+        told = stored(spread(parts, counts.select("part", F.col("n_rows").alias("size")), ["part"], counts, by=["ctx"], share=hot), "parted")
+        few = told.filter(F.col("size") <= hot).select(F.xxhash64("part").alias("key"), "ctx", "n", F.greatest("lo", "a").alias("lo"), F.least("hi", "b").alias("hi"), "before", "after")
+        at = F.col("a").cast("long")
+        equal = told.filter((F.col("size") > hot) & (F.col("a") == F.col("b"))).select("ctx", F.array(F.struct(at.alias("a"), at.alias("b"))).alias("offsets"))
+        found += [_repeated(few, span).select("ctx", "offsets"), equal]
+        left = told.filter((F.col("size") > hot) & (F.col("a") < F.col("b"))).drop("part", "size")
+    key = F.expr("cast(cast(substring(ctx, 17) as string) as bigint)").alias("key")
+    return reduce(DataFrame.union, found).select(key, F.expr("substring(ctx, 1, 16)").alias("ctx"), "offsets")
 
 
 def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, hot: int = 20_000) -> DataFrame:
@@ -361,7 +346,7 @@ def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, ho
     Texts are taken once each; only those that share an anchor's key with another
     place are fetched again. Contexts that are equal are counted before they
     meet, so a passage in many documents is one context per task, but
-    for those at its edges. Keys of over `hot` places are not brought together (_repeated_hot),
+    for those at its edges. Keys of over `hot` places are parted by more of their bytes before they are sorted (_repeated_hot),
     and the texts that have one are dealt over tasks (spread).
     """
     half = span // 2
@@ -391,7 +376,7 @@ def remove_repeats(docs: DataFrame, span: int = 400, with_text: bool = False, ho
     found = _repeated(_suffixes(fetched, wanted.withColumn("keys", F.array_except("keys", "hot")), span, True), span)
     with_hot = wanted.filter("size(hot) > 0").select("text_key", F.col("hot").alias("keys"))
     if not with_hot.isEmpty():
-        found = found.union(_repeated_hot(_suffixes(fetched, with_hot, span, True), span))
+        found = found.union(_repeated_hot(_suffixes(fetched, with_hot, span, True), span, hot))
     # one column of both, so that places of one key are not dealt by the key alone
     both = F.concat("ctx", F.col("key").cast("string").cast("binary")).alias("both")
     places = _suffixes(fetched, wanted, span, False).select("text_key", "place", both).join(found.select(both, "offsets"), "both")
