@@ -4,7 +4,7 @@ The forms (e-mail, IP, card, phone) and key-shaped strings are seed entities.
 What stands next to them is a lexical pattern: the word before, the word after, the word
 before with the marks between (`token = "`), the two words before. Spark scores the graph of patterns and instances in
 rounds: a pattern is worth the share of its occurrences in the corpus that
-stand next to trusted instances; an unseen identifier is worth the evidence
+stand next to trusted instances, where those next to unknown identifiers count less; an unseen identifier is worth the evidence
 of its patterns, and counts as an instance in the next round. Identifiers
 beside a pattern of high confidence are spans of kind `id`.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, MARKS, fresh, grouped, mix, powers, stored
+from .common import _BYTE, MARKS, fresh, grouped, mix, powers, stored, text_key
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -240,12 +240,13 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return rows.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
 
 
-def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = 0.8, support: int = 5, rounds: int | None = None) -> DataFrame:
+def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = 0.8, support: int = 5, unseen: float = 0.25, rounds: int | None = None) -> DataFrame:
     """Patterns of high confidence: (pattern), from docs and scan()'s stored rows of them.
 
     Edges (pattern, instance) carry counts; seeds have weight 1. In each round
     a pattern's confidence is the weighted count of its instances over all
-    its occurrences in the texts; it needs `support` different instances. An
+    its occurrences in the texts, of which those beside identifiers that are not known yet count
+    `unseen` each only: they are no evidence against it, as other words are, but much of them is. It needs `support` different instances. An
     unknown instance gets 1 minus the product of (1 - confidence) over its patterns.
     Weights only grow, and so does the set of patterns; rounds end with the first that adds none
     (or after `rounds`, where given). Occurrences are counted for patterns with at least `support`
@@ -262,7 +263,7 @@ def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = 0.8,
             rows = edges.join(weights, "instance", "left").withColumn("w", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
         scored = rows.groupBy("pattern").agg(F.sum(F.col("n") * F.col("w")).alias("hits"), F.sum("n").alias("all"), F.count_if(F.col("w") >= confidence).alias("support"))
         scored = scored.filter(F.col("support") >= support).join(totals, "pattern", "left")
-        scored = scored.withColumn("p", F.col("hits") / F.greatest("all", F.coalesce("total", F.lit(0))))
+        scored = scored.withColumn("p", F.col("hits") / (F.greatest("all", F.coalesce("total", F.lit(0))) - (1 - unseen) * (F.col("all") - F.col("hits"))))
         good = stored(scored.filter(F.col("p") >= confidence).select("pattern", "p"), "patterns")
         before, size, k = size, good.count(), k + 1
         if size == before:
@@ -301,31 +302,57 @@ def redact(docs: DataFrame, **options) -> DataFrame:
 
     Overlapping spans count as one, named by the first. A null text stays null.
     All other columns are kept, whatever their names; an empty table gives no rows.
+
+    Mentions travel under a 16-byte key of the text. Rows stay where they are read: they meet the
+    identifiers found in their texts, which are few, in one join, and the fixed forms are sought again there.
     """
     names = docs.columns
-    found = find(docs.select(F.struct(*names).alias("_row"), "text"), ["_row"], **options)
-    hit = found.filter("spans <> ''")
+    rows = stored(scan(docs.select(F.struct(text_key().alias("key")).alias("kept"), "text")).select("kept.key", "mentions"), "mentions")
+    good = trusted_patterns(docs, rows, **options)
+    own = rows.select("key", F.explode("mentions").alias("m")).filter("not m.base").select("key", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.pattern").alias("pattern"))
+    new = stored(own.join(good, "pattern", "left_semi").groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("new")), "identifiers")
+    both = docs.select(F.struct(*names).alias("_row"), "text", text_key().alias("key")).join(new, "key", "left")
+    row = both.schema["_row"]
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                parts, done = [], 0
-                for kind, a, b in (s.split(":") for s in spans.split(",")):
-                    a, b = int(a), int(b)
-                    if a >= done:
-                        parts += [text[done:a], f"[{kind.upper()}]"]
-                    done = max(done, b)
-                out.append("".join([*parts, text[done:]]))
+            for value, more in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = value.as_py()
+                out.append(text and _replaced(text, sorted([*base_spans(text), *((m["a"], len(KINDS) - 1, m["b"]) for m in more or [])])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_row", "clean"])
 
-    row = found.schema["_row"]
-    cleaned = hit.select("_row", F.col("_row.text").alias("text"), "spans").mapInArrow(work, T.StructType([row, T.StructField("clean", T.StringType())]))
-    both = found.filter("spans = ''").select("_row", F.col("_row.text").alias("clean")).union(cleaned)
-    made = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast("long")}
-    return both.select(*[made[c].alias(c) if c == "text" else F.when(F.col("_row.text").isNull(), F.col("_row.n_chars")).otherwise(made[c]).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in names])
+    done = both.select("_row", "text", "new").mapInArrow(work, T.StructType([row, T.StructField("clean", T.StringType())]))
+    made = {"text": F.col("clean"), "n_chars": F.when(F.col("_row.text").isNull(), F.col("_row.n_chars")).otherwise(F.char_length("clean").cast("long")) if "n_chars" in names else None}
+    return done.select(*[made[c].alias(c) if c in made else F.col("_row")[c].alias(c) for c in names])
+
+
+def _replaced(text: str, spans: list[tuple[int, int, int]]) -> str:
+    parts, done = [], 0
+    for a, kind, b in spans:
+        if a >= done:
+            parts += [text[done:a], f"[{KINDS[kind].upper()}]"]
+        done = max(done, b)
+    return "".join([*parts, text[done:]])
+
+
+def discovery(docs: DataFrame, by: int = 5, **options) -> DataFrame:
+    """n_withheld, n_found, n_others, one row: how well contexts find identifiers that no seed tells.
+
+    Of the key-shaped seeds those whose instance hash modulo `by` is 0 are withheld: they are
+    unknown identifiers like any other. n_found of these n_withheld different ones are beside a trusted pattern;
+    n_others different unknown identifiers that are not key-shaped are, too. An empty table gives 0, 0, 0.
+    """
+    rows = scan(docs.select(F.struct(F.lit(0).alias("none")).alias("kept"), "text")).select("mentions")
+    out = lambda m: ~m["base"] & m["seed"] & (F.pmod(m["instance"], F.lit(by)) == 0)
+    told = F.transform("mentions", lambda m: m.withField("withheld", out(m)).withField("key", ~m["base"] & m["seed"]).withField("seed", m["seed"] & ~out(m)))
+    rows = stored(rows.select(told.alias("mentions")), "mentions")
+    good = trusted_patterns(docs, rows, **options).withColumn("good", F.lit(True))
+    each = rows.select(F.explode("mentions").alias("m")).filter("not m.base").select("m.*").join(good, "pattern", "left")
+    each = each.groupBy("instance").agg(F.max("withheld").alias("withheld"), F.max("key").alias("key"), F.coalesce(F.max("good"), F.lit(False)).alias("found"))
+    return each.agg(F.count_if("withheld").alias("n_withheld"), F.count_if(F.expr("withheld and found")).alias("n_found"), F.count_if(F.expr("found and not key")).alias("n_others"))
 
 
 def digest(joined_spans):

@@ -129,6 +129,29 @@ def test_contexts_are_followed_to_the_end(spark):
     assert all(r.spans for r in pii.find(df, ["doc_id"]).collect())
 
 
+def test_withheld_seeds_are_discovered(spark):
+    docs = spark.read.parquet(f"{DIR.replace('0.001', '0.01')}/documents.parquet")
+    got = pii.discovery(docs, by=3).first()
+    assert got.n_withheld > 0 and got.n_found >= 0.9 * got.n_withheld and got.n_others == 0
+    assert tuple(pii.discovery(docs.limit(0)).first()) == (0, 0, 0)
+
+
+def test_redaction_is_that_of_the_spans(spark):
+    rows = [(k, f"to user{k}. contact: name{k}@mail.com or +1 (499) 555-650{k % 10} now", 1, k) for k in range(30)]
+    rows += [(100 + k, f"contact: ZX-99{k}8817 or 10.0.0.{k}", 2, k) for k in range(5)] + [(1, rows[1][1], 1, 7), (None, None, 5, 0), (7, "", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, key long").repartition(3)
+    spans = {r.text: r.spans for r in pii.find(df, ["text"]).collect()}
+    want = []
+    for doc, text, n, key in rows:
+        clean, done = "", 0
+        for kind, a, b in (x.split(":") for x in spans[text].split(",") if x):
+            clean, done = clean + text[done : int(a)] + f"[{kind.upper()}]", int(b)
+        want.append((doc, text if text is None else clean + text[done:], n if text is None else len(clean + text[done:]), key))
+    got = pii.redact(df)
+    assert got.columns == df.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert sum("[ID]" in (t or "") for _, t, *_ in want) == 5
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     columns, before = docs.columns, docs.count()
@@ -180,7 +203,8 @@ def plain_bootstrap(texts, confidence=0.8, support=5):
     weight, good = {}, {}
     while True:
         w = lambda x: 1.0 if x in seeds else weight.get(x, 0.0)
-        scores = {p: sum(n * w(x) for x, n in of.items()) / max(sum(of.values()), totals[p]) for p, of in edges.items() if sum(w(x) >= confidence for x in of) >= support}
+        hits = {p: sum(n * w(x) for x, n in of.items()) for p, of in edges.items()}
+        scores = {p: hits[p] / (max(sum(of.values()), totals[p]) - 0.75 * (sum(of.values()) - hits[p])) for p, of in edges.items() if sum(w(x) >= confidence for x in of) >= support}
         before, good = len(good), {p: s for p, s in scores.items() if s >= confidence}
         if len(good) == before:
             break
