@@ -315,7 +315,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block:
     Seeds are pairs of words one or two apart, at each segment's rarest places, counted over all
     documents, and so many that no such alignment lacks them (see the module's head).
 
-    Texts are searched in blocks of `block` words that overlap. Their pairs are joined with
+    Texts are searched in blocks of `block` words (the longest alignment's at least) that overlap. Their pairs are joined with
     the seeds, then the blocks that hold enough seeds of a segment with that segment,
     each by a join on a hash whose hot keys are dealt over tasks. The number of passes over docs does not
     depend on the benchmark's size; only filters of at most 2**MOST_BITS bits are broadcast.
@@ -338,6 +338,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, block:
     segments = segments.withColumn("need", need).withColumn("span", F.greatest(F.lit(1), span)).withColumn("ask", F.least(F.lit(ASK), F.col("need") - 1))
     segments = stored(segments, "distinct_segments")
     ask, over = segments.agg(F.min("ask"), F.max("span")).first()
+    block = max(block, over)  # so that no alignment reaches over more than two blocks
 
     texts = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     pairs = stored(_item_grams(segments), "item_grams")
