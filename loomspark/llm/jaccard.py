@@ -26,6 +26,8 @@ from .common import HOT_KEYS, discard, fresh, grouped, settled, shingle_hashes,
 BITS = 11
 #: Where places of shingles meet, in the first 2**COARSE of these, onto which the others are folded.
 COARSE = 8
+#: Sets of more shingles than LONG fill those cells. Before their texts are moved for pairs, their parity in 2**FINE cells is.
+LONG, FINE = 1 << BITS, 14
 #: So many text keys of 16 bytes (and ids) are broadcast at most, to move only their texts or no rows at all; more are joined by a shuffle.
 FEW = 50_000
 #: In each round so many times more members of a shingle have their turn; so many members of it meet in one task.
@@ -39,6 +41,16 @@ def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(hashes, n))
 
 
+def _parity(distinct: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the shingles in 2**bits cells, as 64-bit words."""
+    return np.packbits(np.bincount((distinct >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).view(np.int64)
+
+
+def _named(set_key: str) -> Column:
+    """A group's, or a class's, name where places of shingles meet: 8 bytes instead of 16, as there are many of them."""
+    return F.xxhash64(set_key)
+
+
 def _sets(rows: DataFrame, n: int, num: int, den: int, weights: np.ndarray, keep: list[str]) -> DataFrame:
     """Size, identity and ordered prefix of every row's shingle set."""
     spark = rows.sparkSession
@@ -60,7 +72,7 @@ def _sets(rows: DataFrame, n: int, num: int, den: int, weights: np.ndarray, keep
                     shingles = shingle_hashes(hashes[a:b], n)
                     distinct, where = np.unique(shingles, return_index=True)
                     sizes.append(len(distinct))
-                    bits_of.append(np.packbits(np.bincount((distinct >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS) & 1).view(np.int64))
+                    bits_of.append(_parity(distinct, BITS))
                     keys.append(hashlib.blake2b(distinct.tobytes(), digest_size=16).digest())
                     if not len(distinct):
                         prefixes.append(np.zeros(0, np.int64))
@@ -149,14 +161,21 @@ def _shared_spots(firsts: DataFrame, num: int, den: int) -> DataFrame:
     spots = firsts.select("group", "n_shingles", F.posexplode("prefix").alias("i", "token"))
     # places beyond this can't be where two sets of any allowed sizes first meet
     spots = spots.filter((num + den) * (F.col("n_shingles") - F.col("i")) >= num * (F.col("n_shingles") + F.ceil(num * F.col("n_shingles") / den)))
+    # place and size travel as one number, in whose order they are
+    spots = spots.select("token", "group", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("n_shingles")).alias("at"))
     hot = _hot_tokens(firsts)
-    hub, size = F.min(F.struct("i", "n_shingles", "group")), F.count("*")
+    hub, size = F.min(F.struct("at", "group")), F.count("*")
     met = Window.partitionBy("token")
-    cold = spots.join(F.broadcast(hot.select("token")), "token", "left_anti").select("token", "group", "n_shingles", "i", hub.over(met).alias("hub"), size.over(met).alias("size"))
+    cold = spots.join(F.broadcast(hot.select("token")), "token", "left_anti").select("token", "group", "at", hub.over(met).alias("hub"), size.over(met).alias("size"))
     warm = spots.join(F.broadcast(hot.select("token")), "token", "left_semi")
     by_token = stored(warm.groupBy("token").agg(hub.alias("hub"), size.alias("size")), "tokens")
     warm = spread(warm, by_token, ["token"], by_token.withColumnRenamed("size", "n_rows"), by=["group"])
-    return cold.unionByName(warm).filter("size > 1")
+
+    def apart(at: str) -> list[Column]:
+        return [F.shiftright(at, 32).cast("int").alias("i"), F.col(at).bitwiseAND(F.lit((1 << 32) - 1)).alias("n_shingles")]
+
+    hub = F.struct(*apart("hub.at"), F.col("hub.group").alias("group")).alias("hub")
+    return cold.unionByName(warm).filter("size > 1").select("token", "group", *apart("at"), hub, "size")
 
 
 def _expanded(pairs: DataFrame, of: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -172,19 +191,50 @@ def _expanded(pairs: DataFrame, of: DataFrame, classes: DataFrame, num: int, den
     return p.select(F.least("set_g", "set_h").alias("a"), F.greatest("set_g", "set_h").alias("b"))
 
 
+def _undecided(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) without those of long texts(set_key, n_shingles, text) that finer parity bits tell apart.
+
+    These bits have 2 KB a set, whole texts many times that, and most pairs of long texts are unlike.
+    """
+    source = texts.filter(F.col("n_shingles") > LONG).select("set_key", "n_shingles", "text")
+
+    def work(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bits = []
+            for _, some in grouped(batch.column(2)):
+                hashes, at = word_hashes([t.lower() for t in some])
+                bits += [_parity(shingle_set(hashes[a:b], n), FINE) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.list_(pa.int64()))], names=["set_key", "n_shingles", "bits"])
+
+    fine = stored(source.mapInArrow(work, "set_key binary, n_shingles long, bits array<long>"), "fine")
+    if fine.isEmpty():
+        return pairs
+    left, right = (fine.select(F.col("set_key").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    of_long = stored(pairs.join(fine.select(F.col("set_key").alias("a")), "a", "left_semi").join(fine.select(F.col("set_key").alias("b")), "b", "left_semi").select("a", "b"), "long_pairs")
+    per_a, per_b = (of_long.groupBy(k).agg(F.count("*").alias("n_rows")) for k in "ab")
+    both = spread(spread(of_long, right, ["b"], per_b, by=["a"]), left, ["a"], per_a, by=["b"])
+    unlike = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+    apart = both.filter((num + den) * unlike > (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return stored(pairs.join(apart, ["a", "b"], "left_anti"), "undecided")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those pairs (a, b) of classes whose whole texts have the similarity.
 
-    Texts are fetched and stored once per class, and only for classes in a pair.
+    Texts are fetched and stored once per class, and only for classes in a pair;
+    pairs of long ones that their parity bits tell apart do not get them.
     """
-    needed = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(classes.select("set_key", "text_key"), "set_key")
+    needed = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(classes.select("set_key", "text_key", "n_shingles"), "set_key")
     needed = stored(needed, "needed")
     source = docs.select(text_key().alias("text_key"), text_bytes().alias("text"))
     if needed.count() <= FEW:
         source = source.join(F.broadcast(needed.select("text_key")), "text_key", "left_semi")
     # copies of a text fall together in the tasks that read them, before the shuffle
     texts = source.groupBy("text_key").agg(F.first("text").alias("text"))
-    texts = stored(texts.join(needed, "text_key").select("set_key", "text"), "texts")
+    texts = stored(texts.join(needed, "text_key").select("set_key", "n_shingles", "text"), "texts")
+    pairs = _undecided(pairs, texts, n, num, den)
     left = texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b"))
     per_a, per_b = (pairs.groupBy(k).agg(F.count("*").alias("n_rows")) for k in "ab")
@@ -289,29 +339,29 @@ def _classes_and_roots(docs: DataFrame, n: int, num: int, den: int) -> tuple[Dat
     sets, sets_at = written(_sets(docs.select("doc_id", "text", text_key().alias("text_key")), n, num, den, weights, ["doc_id", "text_key"]), "sets")
     owners = stored(sets.select("doc_id", "text_key", "n_shingles", "set_key"), "owners")
     one = F.min_by(F.struct("text_key", "n_shingles", "bits", "prefix"), "text_key").alias("_c")
-    # a group: same size and same prefix; it is named by its least class
+    # a group: same size and same prefix; it is named after its least class
     named = F.md5(F.array_join("prefix", ",").cast("binary"))
     whole, whole_at = written(sets.filter("n_shingles > 0").groupBy("set_key").agg(one).select("set_key", "_c.*").withColumn("named", named), "classes")
     del sets
     discard(spark, sets_at)
-    names = whole.groupBy("n_shingles", "named").agg(F.min("set_key").alias("group"), F.count("*").alias("n_rows"))
-    whole, grouped_at = written(spread(whole, names.drop("n_rows"), ["n_shingles", "named"], names, by=["set_key"]).drop("named"), "groups")
+    names = whole.groupBy("n_shingles", "named").agg(F.min("set_key").alias("lead"), F.count("*").alias("n_rows")).withColumn("group", _named("lead"))
+    whole, grouped_at = written(spread(whole, names.drop("n_rows"), ["n_shingles", "named"], names, by=["set_key"]).drop("named").withColumn("lead", F.col("lead") == F.col("set_key")), "groups")
     discard(spark, whole_at)
-    spots = stored(_shared_spots(whole.filter("group = set_key"), num, den), "spots")
+    spots = stored(_shared_spots(whole.filter("lead"), num, den), "spots")
     classes = stored(whole.drop("prefix"), "classes")
     del whole
     discard(spark, grouped_at)
 
     first = spots.filter((F.col("group") != F.col("hub.group")) & _close(F.col("n_shingles"), F.col("i"), F.col("hub.n_shingles"), F.col("hub.i"), num, den))
     first = _expanded(first.select(F.col("hub.group").alias("g"), F.col("group").alias("h")), classes.withColumn("root", F.col("set_key")), classes, num, den)
-    own = classes.select(F.col("set_key").alias("group"), F.col("n_shingles").alias("n_h"), F.col("bits").alias("bits_h"))
-    inside = classes.filter("group <> set_key").join(own, "group").filter(_maybe(F.col("n_h"), F.col("bits_h"), F.col("n_shingles"), F.col("bits"), num, den))
-    first = first.union(inside.select(F.col("group").alias("a"), F.col("set_key").alias("b")))
+    own = classes.filter("lead").select("group", F.col("set_key").alias("a"), F.col("n_shingles").alias("n_h"), F.col("bits").alias("bits_h"))
+    inside = classes.filter("not lead").join(own, "group").filter(_maybe(F.col("n_h"), F.col("bits_h"), F.col("n_shingles"), F.col("bits"), num, den))
+    first = first.union(inside.select("a", F.col("set_key").alias("b")))
     links = settled(spark, lambda: _verified(stored(first.distinct(), "pairs"), classes, docs, n, num, den), "links")
     of = classes.select("group", "set_key", F.col("set_key").alias("root"))
     # a group of several classes is like a shingle that they share
-    mates = classes.filter("group <> set_key").select("group").distinct().join(classes, "group")
-    mates = mates.select(F.xxhash64("group").alias("token"), F.col("set_key").alias("member"), F.lit(0).alias("i"), "n_shingles", F.lit(True).alias("lone"), (F.col("group") == F.col("set_key")).alias("done"))
+    mates = classes.filter("not lead").select("group").distinct().join(classes, "group")
+    mates = mates.select(F.col("group").alias("token"), _named("set_key").alias("member"), F.lit(0).alias("i"), "n_shingles", F.lit(True).alias("lone"), F.col("lead").alias("done"))
     open_ = spots.filter("size > 2").select("token", F.col("group").alias("member"), "i", "n_shingles", F.lit(False).alias("lone"), (F.col("group") == F.col("hub.group")).alias("done")).union(mates)
     open_ = open_.withColumn("turn", F.lit(False))
     turns = 1
@@ -339,9 +389,9 @@ def _still_open(members: DataFrame, of: DataFrame, turns: int) -> DataFrame:
     shingle have theirs, all if there are no more; by a hash, so that reruns agree.
     """
     groups = of.groupBy("group").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    single = of.select("set_key", F.col("root").alias("r0"), F.col("root").alias("r1"))
+    single = of.select(_named("set_key").alias("member"), F.col("root").alias("r0"), F.col("root").alias("r1"))
     now = members.select("token", "member", "i", "n_shingles", "lone", (F.col("done") | F.col("turn")).alias("done"))
-    now = now.filter("not lone").join(groups.withColumnRenamed("group", "member"), "member").unionByName(now.filter("lone").join(single.withColumnRenamed("set_key", "member"), "member"))
+    now = now.filter("not lone").join(groups.withColumnRenamed("group", "member"), "member").unionByName(now.filter("lone").join(single, "member"))
     now = stored(now, "members")
     most = now.groupBy("token", "lone", F.when(F.col("r0") == F.col("r1"), F.col("r0")).alias("root")).agg(F.count("*").alias("k"), F.count_if(~F.col("done")).alias("waiting"))
     best = F.max(F.when(F.col("root").isNotNull(), F.struct("k", "root", "waiting")))
@@ -362,7 +412,7 @@ def _round(open_: DataFrame, of: DataFrame, classes: DataFrame, docs: DataFrame,
     coarse = classes.select("group", "set_key", _folded(F.col("bits")).alias("bits"))
     member = stored(open_.select("lone", "member").distinct(), "open_members")
     of_groups = member.filter("not lone").join(coarse.select(F.col("group").alias("member"), "bits"), "member").groupBy("lone", "member").agg(F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
-    of_classes = member.filter("lone").join(coarse.select(F.col("set_key").alias("member"), "bits"), "member")
+    of_classes = member.filter("lone").join(coarse.select(_named("set_key").alias("member"), "bits"), "member")
     open_ = stored(open_.join(of_groups.unionByName(of_classes), ["lone", "member"]), "open_bits")
     hubs = open_.filter("turn").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1))).alias("x")
     rest = open_.filter("not done").withColumn("share", F.pmod(F.xxhash64("member"), shares).cast("int")).alias("y")
@@ -371,7 +421,7 @@ def _round(open_: DataFrame, of: DataFrame, classes: DataFrame, docs: DataFrame,
     on &= (F.col("x.r0") != F.col("y.r1")) | (F.col("x.r1") != F.col("y.r0"))
     on &= _close(F.col("x.n_shingles"), F.col("x.i"), F.col("y.n_shingles"), F.col("y.i"), num, den) & _maybe(F.col("x.n_shingles"), F.col("x.bits"), F.col("y.n_shingles"), F.col("y.bits"), num, den, COARSE)
     met = stored(hubs.join(rest, on).select(F.col("x.lone").alias("lone"), F.col("x.member").alias("g"), F.col("y.member").alias("h")).distinct(), "met")
-    alone = _expanded(met.filter("lone").select("g", "h"), of.withColumn("group", F.col("set_key")), classes, num, den)
+    alone = _expanded(met.filter("lone").select("g", "h"), of.withColumn("group", _named("set_key")), classes, num, den)
     pairs = _expanded(met.filter("not lone").select("g", "h"), of, classes, num, den).union(alone).distinct()
     ra, rb = of.select(F.col("set_key").alias("a"), F.col("root").alias("ra")), of.select(F.col("set_key").alias("b"), F.col("root").alias("rb"))
     pairs = stored(pairs.join(ra, "a").join(rb, "b").filter("ra <> rb"), "pairs")

@@ -231,3 +231,35 @@ def test_keys_of_many_contexts_do_not_meet(spark, monkeypatch):
         assert met[-1] <= hot
     sufdedup.remove_repeats(df, span=100)
     assert met[-1] > 10
+
+
+def test_pairs_of_long_texts_are_told_apart_without_them(spark):
+    r = random.Random(8)
+    base = [f"w{r.randrange(500)}" for _ in range(4 * jaccard.LONG)]
+    some, close = list(base), list(base)
+    for k in r.sample(range(len(base)), 150):
+        some[k] = "new"  # about 750 shingles of five words go and as many come: similar
+    for k in range(0, len(base), 9):
+        close[k] = "other"  # more than half of them go: not similar
+    other = [f"w{r.randrange(500)}" for _ in range(len(base))]
+    texts = {b"0": base, b"1": some, b"2": close, b"3": other, b"4": base[:100]}
+    sets = {k: len(shingles(" ".join(t), 5)) for k, t in texts.items()}
+    df = spark.createDataFrame([(k, sets[k], " ".join(t).encode()) for k, t in texts.items()], "set_key binary, n_shingles long, text binary")
+    pairs = spark.createDataFrame([(b"0", b"1"), (b"0", b"2"), (b"0", b"3"), (b"0", b"4"), (b"1", b"0")], "a binary, b binary")
+    got = sorted((bytes(x.a), bytes(x.b)) for x in jaccard._undecided(pairs, df, 5, 80, 100).collect())
+    assert got == [(b"0", b"1"), (b"0", b"4"), (b"1", b"0")]  # a short text's bits have said what they can
+    assert jaccard._undecided(pairs, df.filter("set_key = '4'"), 5, 80, 100).count() == 5
+
+
+@pytest.mark.parametrize("long", [0, 40])
+def test_components_are_brute_force_if_most_texts_are_long(spark, monkeypatch, long):
+    monkeypatch.setattr(jaccard, "LONG", long)
+    rows = corpus(9)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.similar_components(df, 5, 80, 100).collect())
+    assert got == brute_components(rows, 5, 80, 100)
+
+
+def test_places_of_shingles_carry_short_names(spark):
+    _, of = jaccard._classes_and_roots(spark.createDataFrame(corpus(), "doc_id long, text string"), 5, 80, 100)
+    assert dict(of.dtypes)["group"] == "bigint"
