@@ -209,12 +209,10 @@ def _undecided(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.list_(pa.int64()))], names=["set_key", "n_shingles", "bits"])
 
     fine = stored(source.mapInArrow(work, "set_key binary, n_shingles long, bits array<long>"), "fine")
-    if fine.isEmpty():
-        return pairs
     left, right = (fine.select(F.col("set_key").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    of_long = stored(pairs.join(fine.select(F.col("set_key").alias("a")), "a", "left_semi").join(fine.select(F.col("set_key").alias("b")), "b", "left_semi").select("a", "b"), "long_pairs")
-    per_a, per_b = (of_long.groupBy(k).agg(F.count("*").alias("n_rows")) for k in "ab")
-    both = spread(spread(of_long, right, ["b"], per_b, by=["a"]), left, ["a"], per_a, by=["b"])
+    # one join at a time: small plans spare the driver
+    half = stored(spread(pairs, right, ["b"], pairs.groupBy("b").agg(F.count("*").alias("n_rows")), by=["a"]), "half_told")
+    both = spread(half, left, ["a"], half.groupBy("a").agg(F.count("*").alias("n_rows")), by=["b"])
     unlike = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
     apart = both.filter((num + den) * unlike > (den - num) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     return stored(pairs.join(apart, ["a", "b"], "left_anti"), "undecided")
@@ -229,12 +227,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num
     needed = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct().join(classes.select("set_key", "text_key", "n_shingles"), "set_key")
     needed = stored(needed, "needed")
     source = docs.select(text_key().alias("text_key"), text_bytes().alias("text"))
-    if needed.count() <= FEW:
+    many, long = needed.agg(F.count("*"), F.count_if(F.col("n_shingles") > LONG)).first()
+    if many <= FEW:
         source = source.join(F.broadcast(needed.select("text_key")), "text_key", "left_semi")
     # copies of a text fall together in the tasks that read them, before the shuffle
     texts = source.groupBy("text_key").agg(F.first("text").alias("text"))
     texts = stored(texts.join(needed, "text_key").select("set_key", "n_shingles", "text"), "texts")
-    pairs = _undecided(pairs, texts, n, num, den)
+    pairs = _undecided(pairs, texts, n, num, den) if long else pairs
     left = texts.select(F.col("set_key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("set_key").alias("b"), F.col("text").alias("text_b"))
     per_a, per_b = (pairs.groupBy(k).agg(F.count("*").alias("n_rows")) for k in "ab")

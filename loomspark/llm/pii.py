@@ -33,6 +33,8 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9_.@%+-])[A-Za-z_-]*+[0-9][A-Za-z0-9_-]*+(?![
 _KEY = re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})")
 _DIGIT = re.compile(r"[0-9]")
 _BITS, REACH = 24, 80
+#: So many rows at once are redacted and given back.
+SLICE = 500
 
 
 def _luhn(digits: str) -> bool:
@@ -311,22 +313,27 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     good = trusted_patterns(docs, rows, **options)
     own = rows.select("key", F.explode("mentions").alias("m")).filter("not m.base").select("key", F.col("m.a").alias("a"), F.col("m.b").alias("b"), F.col("m.pattern").alias("pattern"))
     new = stored(own.join(good, "pattern", "left_semi").groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("new")), "identifiers")
-    both = docs.select(F.struct(*names).alias("_row"), "text", text_key().alias("key")).join(new, "key", "left")
-    row = both.schema["_row"]
+    key, spans = fresh(docs, "key", "new")
+    both = docs.withColumn(key, text_key()).join(new.select(F.col("key").alias(key), F.col("new").alias(spans)), key, "left").select(*names, spans)
+    at = names.index("text")
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for value, more in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text = value.as_py()
-                out.append(text and _replaced(text, sorted([*base_spans(text), *((m["a"], len(KINDS) - 1, m["b"]) for m in more or [])])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_row", "clean"])
-
-    done = both.select("_row", "text", "new").mapInArrow(work, T.StructType([row, T.StructField("clean", T.StringType())]))
-    made = {"text": F.col("clean"), "n_chars": F.when(F.col("_row.text").isNull(), F.col("_row.n_chars")).otherwise(F.char_length("clean").cast("long")) if "n_chars" in names else None}
-    return done.select(*[made[c].alias(c) if c in made else F.col("_row")[c].alias(c) for c in names])
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                out = []
+                for value, more in zip(part.column(at), part.column(len(names)).to_pylist(), strict=True):
+                    text = value.as_py()
+                    out.append(text and _replaced(text, sorted([*base_spans(text), *((m["a"], len(KINDS) - 1, m["b"]) for m in more or [])])))
+                columns = part.columns[:-1]
+                columns[at] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    done = both.mapInArrow(work, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    counted = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")).alias("n_chars") if "n_chars" in names else None
+    return done.select(*[counted if c == "n_chars" else F.col(c) for c in names])
 
 
 def _replaced(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -263,3 +263,15 @@ def test_components_are_brute_force_if_most_texts_are_long(spark, monkeypatch, l
 def test_places_of_shingles_carry_short_names(spark):
     _, of = jaccard._classes_and_roots(spark.createDataFrame(corpus(), "doc_id long, text string"), 5, 80, 100)
     assert dict(of.dtypes)["group"] == "bigint"
+
+
+def test_components_that_are_stars_need_no_round(spark, monkeypatch):
+    from loomspark.llm import components
+
+    made, stored = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: made.append(name) or stored(df, name))
+    star = spark.createDataFrame([(1, 5), (6, 1), (1, 6), (2, 9), (3, 3)], "a long, b long")
+    assert sorted(map(tuple, components.connected(star).collect())) == [(1, 1), (2, 2), (5, 1), (6, 1), (9, 2)] and len(made) == 1
+    path = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(30, 31)], "a long, b long")
+    assert sorted(map(tuple, components.connected(path).collect())) == [*((k, 0) for k in range(21)), (30, 30), (31, 30)]
+    assert components.connected(path.limit(0)).count() == 0

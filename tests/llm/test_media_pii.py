@@ -234,3 +234,16 @@ def test_rounds_are_brute_force(spark, seed):
     out = {x.doc_id: x.spans for x in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), ["doc_id"]).collect()}
     got = [{tuple(map(int, s.split(":")[1:])) for s in out[k].split(",") if s.startswith("id:")} for k in range(len(texts))]
     assert got == want and sum(map(len, want)) > 20 and any(p[0] in "GT" for p in good)
+
+
+def test_redaction_moves_each_text_once(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SLICE", 2)
+    rows = [(k, f"write to a{k}@b.org") for k in range(7)] + [(7, None), (8, ""), (8, "nothing")]
+    df = spark.createDataFrame([(x, k, "de") for k, x in rows], "text string, doc_id long, key string").coalesce(1)
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    want = sorted((k, x and ("write to [EMAIL]" if "@" in x else x), "de") for k, x in rows if x is not None) + [(7, None, "de")]
+    assert sorted(((r.doc_id, r.text, r["key"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    there = next(line for line in plan.split("\n") if "MapInArrow" in line)
+    assert there.count("text#") == 2 and "_row" not in there  # once to the tasks and once back: no second copy within a row
