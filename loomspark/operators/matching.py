@@ -29,6 +29,8 @@ def contained_pairs(a: DataFrame, a_key: str, b: DataFrame, b_key: str, q: int =
     The shorter text goes by its rarest q-gram, the longer by all of its
     q-grams; whatever holds it has that one too. Texts under q characters are
     compared with every text that has their gram of that length. Both ways are exact.
+    Grams are many times larger than their texts, which Spark's estimates do not know:
+    the joins are merge joins, so that none of them goes through the driver.
     """
     left, right = a.select(F.col(a_key).alias("s")).filter("s <> ''").distinct(), b.select(F.col(b_key).alias("s")).filter("s <> ''").distinct()
 
@@ -39,12 +41,12 @@ def contained_pairs(a: DataFrame, a_key: str, b: DataFrame, b_key: str, q: int =
     def one_way(probe: DataFrame, build: DataFrame) -> DataFrame:
         every = grams(build, F.lit(q))
         counts = every.groupBy("gram").agg(F.count("*").alias("n"))
-        long = grams(probe.filter(F.length("s") >= q), F.lit(q)).join(counts, "gram")
+        long = grams(probe.filter(F.length("s") >= q), F.lit(q)).join(counts.hint("merge"), "gram")
         rarest = long.groupBy("s").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-        pairs = rarest.select(F.col("s").alias("p"), "gram").join(every.select(F.col("s").alias("t"), "gram"), "gram")
+        pairs = rarest.select(F.col("s").alias("p"), "gram").join(every.select(F.col("s").alias("t"), "gram").hint("merge"), "gram")
         for size in range(1, q):
             short = probe.filter(F.length("s") == size).select(F.col("s").alias("p"), F.col("s").alias("gram"))
-            pairs = pairs.unionByName(short.join(grams(build, F.lit(size)).select(F.col("s").alias("t"), "gram"), "gram"))
+            pairs = pairs.unionByName(short.join(grams(build, F.lit(size)).select(F.col("s").alias("t"), "gram").hint("merge"), "gram"))
         return pairs.filter(F.col("t").contains(F.col("p"))).select("p", "t")
 
     there = one_way(left, right).select(F.col("p").alias(a_key), F.col("t").alias(b_key))
