@@ -106,7 +106,7 @@ def test_platform_pages(spark):
     assert o[1].name == " ".join(["слово"] * 10) and o[2].name == "Фонд «Добро помощи»" and o[3].name == "Вер." and o[4].name == "" and o[4].website is None
 
 
-@pytest.mark.parametrize("name", ["p17_event_pages"])
+@pytest.mark.parametrize("name", ["p17_event_pages", "p17_practices"])
 def test_platform_titles_equal_sql(spark, tmp_path, name):
     import duckdb
 
