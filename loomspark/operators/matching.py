@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from loomspark.sources.shared import new_folder
 
+# The most ids of one place that travel together; the points of a cell, or about, that are dealt out together.
+GATHERED, DEALT = 256, 4096
+
 
 def match_or_create(rows: DataFrame, known: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """rows plus matched id by the first key that finds one, and the action: matched or created.
@@ -109,11 +112,20 @@ def resolve_entities(rows: DataFrame, id_col: str, keys: list[str]) -> DataFrame
         label = kept(new.join(further, "entity", "left").select("id", F.coalesce("next", "entity").alias("entity")), "labels")
 
 
+def _gathered(rows: DataFrame, id_col: str, lat: str, lon: str) -> DataFrame:
+    """(lat, lon, ids) of rows with a place: at most GATHERED ids of one place each."""
+    rows = rows.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(lat, lon, F.struct(F.col(id_col).alias("id")).alias("_id"))
+    rows = rows.repartition(lat, lon).sortWithinPartitions(lat, lon, "_id").withColumn("_block", F.floor(F.monotonically_increasing_id() / GATHERED))
+    return rows.groupBy(lat, lon, "_block").agg(F.collect_list("_id").alias("_ids")).select(lat, lon, F.transform("_ids", lambda x: x["id"]).alias("ids"))
+
+
 def geo_pairs(points: DataFrame, centres: DataFrame, km: float) -> DataFrame:
     """(point_id, centre_id, metres) within km, by cells of at least that size: an equi-join on a cell and its neighbours.
 
     points: point_id, lat, lon; centres: centre_id, lat, lon. Cells are bands of latitude and, within a
     band, steps of longitude that are as long as the radius where the band is narrowest. Nulls match nothing.
+    Ids of one place travel together, so that each two places are measured once; a cell's points are dealt
+    out by some thousands, so that dense cells are shared among tasks.
     """
     from loomspark.functions.rules import distance
 
@@ -122,12 +134,18 @@ def geo_pairs(points: DataFrame, centres: DataFrame, km: float) -> DataFrame:
     wide = lambda b: step / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.4), F.greatest(F.abs(b * step), F.abs((b + 1) * step))))))
     turn = lambda b: F.greatest(F.lit(1), F.floor(360 / wide(b))).cast("long")
     place = lambda lon, b: F.pmod(F.floor((lon + 180) / (360 / turn(b))).cast("long"), turn(b))
-    p = points.filter("lat is not null and lon is not null").withColumn("b", band(F.col("lat"))).withColumn("c", place(F.col("lon"), F.col("b")))
-    c = centres.filter("lat is not null and lon is not null").select("centre_id", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
+    p = _gathered(points, "point_id", "lat", "lon").withColumnRenamed("ids", "points").withColumn("b", band(F.col("lat"))).withColumn("c", place(F.col("lon"), F.col("b")))
+    c = _gathered(centres.select("centre_id", F.col("lat").alias("lat0"), F.col("lon").alias("lon0")), "centre_id", "lat0", "lon0").withColumnRenamed("ids", "centres")
     c = c.withColumn("b", F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: band(F.col("lat0")) + k)))
     c = c.withColumn("c", F.explode(F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.pmod(place(F.col("lon0"), F.col("b")) + k, turn(F.col("b")))))))
-    near = p.join(c, ["b", "c"]).withColumn("metres", distance(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0")))
-    return near.filter(F.col("metres") <= km * 1000).select("point_id", "centre_id", "metres")
+    cells = p.groupBy("b", "c").agg(F.ceil(F.sum(F.size("points")) / DEALT).alias("deals"))
+    p = p.join(cells, ["b", "c"]).withColumn("deal", F.pmod(F.xxhash64("lat", "lon", F.get("points", F.lit(0))), "deals")).drop("deals")
+    c = c.join(cells, ["b", "c"]).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    tasks, key = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["b", "c", "deal"]  # few bytes make many pairs: their number stays
+    near = p.repartition(tasks, *key).join(c.repartition(tasks, *key).hint("merge"), key).withColumn("metres", distance(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0")))
+    # a lambda is not in the code that Spark makes for the join, which would hold all pairs of a row of points in memory
+    near = near.filter(F.col("metres") <= km * 1000).select("points", F.explode(F.transform("centres", lambda x: x)).alias("centre_id"), "metres")
+    return near.select(F.explode("points").alias("point_id"), "centre_id", "metres")
 
 
 def merge_duplicates(rows: DataFrame, id_col: str, key: str) -> DataFrame:
